@@ -32,6 +32,9 @@ from corpusmill.llm.words import mix, shingles, words
 #: Width of the frequency table, in bits; its size does not depend on the input.
 SKETCH_BITS = 18
 
+#: A table of (class, row) pairs up to this length, 16 bytes each, is broadcast; its length is checked first.
+BROADCAST_ROWS = 1 << 17
+
 
 def set_identity(s: np.ndarray) -> tuple[int, int]:
     """Two 64-bit signatures of a set of hashes (a sum and an exclusive or of mixed members)."""
@@ -180,16 +183,21 @@ def ngram_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", size
     first = first.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
     first = materialize(first, "pairs")
 
-    wanted = posts.select("cls").distinct().join(sets.select(F.col("s1").alias("cls"), "rep"), "cls").groupBy("cls").agg(F.min("rep").alias("rep"))
-    bodies = base.join(wanted, base.row_key == wanted.rep, "inner").groupBy("cls").agg(F.first("body").alias("body"))
-    grams = materialize(bodies.select("cls", "body").mapInArrow(_sets(size), "cls long, grams binary"), "sets")
+    reps = sets.groupBy(F.col("s1").alias("cls")).agg(F.min("rep").alias("rep"))
 
     def verified(pairs: DataFrame) -> DataFrame:
+        wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(reps, "cls"), "wanted")
+        few = wanted.count() <= BROADCAST_ROWS  # its size is known here; beyond the bound the join shuffles
+        at = F.broadcast(wanted) if few else wanted
+        bodies = base.join(at, base.row_key == at.rep).groupBy("cls").agg(F.first("body").alias("body"))
+        grams = materialize(bodies.select("cls", "body").mapInArrow(_sets(size), "cls long, grams binary"), "sets")
         x = grams.select(F.col("cls").alias("a"), F.col("grams").alias("x"))
         y = grams.select(F.col("cls").alias("b"), F.col("grams").alias("y"))
-        return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long, linked boolean")
+        out = materialize(pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long, linked boolean"), "verified")
+        discard(grams)
+        return out
 
-    done = materialize(verified(first), "verified")
+    done = verified(first)
     links = done.where("linked").select("a", "b")
     comp = materialize(components(links), "stars")
 
@@ -199,8 +207,8 @@ def ngram_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", size
     left = mixed.select("gram", "comp", F.struct("cls", "n", "pos").alias("x"))
     right = mixed.select("gram", F.col("comp").alias("comp2"), F.struct("cls", "n", "pos").alias("y"))
     across = _candidates(left.join(right, "gram").where("comp < comp2").select("x", "y"), percent)
-    across = across.join(done.select("a", "b"), ["a", "b"], "left_anti")
-    more = materialize(verified(across), "verified2")
+    across = materialize(across.join(done.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+    more = verified(across)
     comp = materialize(components(links.union(more.where("linked").select("a", "b"))), "classes")
 
     joined = sets.withColumnRenamed("s1", "cls").join(comp, F.col("cls") == F.col("node"), "left").select(F.col("cls").alias("c1"), "s2", F.col("n").alias("n2"), "rep", F.coalesce("component", "cls").alias("group"))
