@@ -137,10 +137,17 @@ def _verify(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
     return run
 
 
+def _close(percent: int):
+    """Length filter, and positional filter on one shared prefix member: what may be shared before it, itself, and the shorter rest."""
+    lengths = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
+    bound = F.least("x.m", "y.m") + 1 + F.least(F.col("x.n") - F.col("x.pos") - 1, F.col("y.n") - F.col("y.pos") - 1)
+    return (F.col("x.cls") != F.col("y.cls")) & lengths & (bound * (100 + percent) >= percent * (F.col("x.n") + F.col("y.n")))
+
+
 def _candidates(pairs: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs (a < b) that pass the length and positional filters. pairs: one row per shared prefix n-gram, with x and y postings."""
     swap = F.col("x.cls") > F.col("y.cls")
-    rows = pairs.where("x.cls <> y.cls").where(100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")).select(F.when(swap, F.col("y")).otherwise(F.col("x")).alias("x"), F.when(swap, F.col("x")).otherwise(F.col("y")).alias("y"))
+    rows = pairs.where(_close(percent)).select(F.when(swap, F.col("y")).otherwise(F.col("x")).alias("x"), F.when(swap, F.col("x")).otherwise(F.col("y")).alias("y"))
     shared = rows.groupBy(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).agg(F.count("*").alias("k"), F.max("x.n").alias("na"), F.max("y.n").alias("nb"), F.max("x.pos").alias("pa"), F.max("y.pos").alias("pb"))
     # every common member up to the last shared prefix one has been counted in k
     bound = F.col("k") + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1)
@@ -170,16 +177,15 @@ def ngram_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", size
     posts = base.select("body").mapInArrow(_prefixes(size, percent, shared), "gram long, cls long, n int, pos int")
     posts = posts.repartition(shuffle_width(spark), "gram").dropDuplicates(["gram", "cls"])
     posts = posts.withColumn("lists", F.expr("count(1) over (partition by gram)")).where("lists > 1").drop("lists")
+    # m: members of the same prefix before this one that are in shared lists, the only ones that a partner can have
+    posts = posts.selectExpr("gram", "cls", "n", "pos", "row_number() over (partition by cls order by pos) - 1 as m", "count(1) over (partition by cls) as held")
     posts = materialize(posts, "postings")
 
     # The pivot of an n-gram is the member with most of its prefix in shared lists: an original rather than an edited copy.
-    degree = posts.groupBy("cls").agg(F.count("*").alias("held"))
-    ranked = posts.join(degree, "cls")
     full = F.col("held") / (F.col("n") - F.expr(f"cast(ceil({percent} * n / 100.0) as int)") + 1)
-    pivots = ranked.groupBy("gram").agg(F.max(F.struct(full.alias("f"), (-F.col("cls")).alias("c"), "cls", "n", "pos")).alias("p"))
-    star = posts.join(pivots, "gram").select(F.struct("cls", "n", "pos").alias("x"), F.struct("p.cls", "p.n", "p.pos").alias("y"))
-    # the positional bound of _candidates needs all shared prefix members of a pair, which a star does not list: only its first filter is used
-    first = star.where("x.cls <> y.cls").where(100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
+    pivots = posts.groupBy("gram").agg(F.max(F.struct(full.alias("f"), (-F.col("cls")).alias("c"), "cls", "n", "pos", "m")).alias("p"))
+    star = posts.join(pivots, "gram").select(F.struct("cls", "n", "pos", "m").alias("x"), F.struct("p.cls", "p.n", "p.pos", "p.m").alias("y"))
+    first = star.where(_close(percent))
     first = first.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
     first = materialize(first, "pairs")
 
@@ -201,11 +207,11 @@ def ngram_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", size
     links = done.where("linked").select("a", "b")
     comp = materialize(components(links), "stars")
 
-    tagged = posts.join(comp, posts.cls == comp.node, "left").select("gram", "cls", "n", "pos", F.coalesce("component", "cls").alias("comp"))
+    tagged = posts.join(comp, posts.cls == comp.node, "left").select("gram", "cls", "n", "pos", "m", F.coalesce("component", "cls").alias("comp"))
     split = tagged.groupBy("gram").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("gram")
     mixed = materialize(tagged.join(split, "gram"), "mixed")
-    left = mixed.select("gram", "comp", F.struct("cls", "n", "pos").alias("x"))
-    right = mixed.select("gram", F.col("comp").alias("comp2"), F.struct("cls", "n", "pos").alias("y"))
+    left = mixed.select("gram", "comp", F.struct("cls", "n", "pos", "m").alias("x"))
+    right = mixed.select("gram", F.col("comp").alias("comp2"), F.struct("cls", "n", "pos", "m").alias("y"))
     across = _candidates(left.join(right, "gram").where("comp < comp2").select("x", "y"), percent)
     across = materialize(across.join(done.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
     more = verified(across)
