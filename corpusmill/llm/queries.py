@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm.shared import documents
+from corpusmill.llm.shared import documents, new_path
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,41 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_classes(documents(spark, sf_dir)).withColumnRenamed("component", "component_id")
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusmill.llm.secrets import scan_secrets
+
+    return scan_secrets(documents(spark, sf_dir)).select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusmill.llm.bpe import encode_decode
+
+    rows = encode_decode(documents(spark, sf_dir))
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusmill.llm.token_counts import count_tokens
+
+    return count_tokens(documents(spark, sf_dir))
+
+
+def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusmill.llm.token_store import stored_offsets, write_store
+
+    where = new_path(spark, "tokens")
+    write_store(documents(spark, sf_dir), where)
+    return stored_offsets(spark, where).withColumnRenamed("key", "doc_id")
+
+
+def op10_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusmill.llm.mpeg import read_media, text_media
+
+    rows = read_media(text_media(documents(spark, sf_dir)))
+    tail = F.expr("crc32(substring(payload, greatest(length(payload) - 15, 1), 16))")
+    return rows.select(F.col("key").alias("doc_id"), "n_bytes", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), tail.alias("tail_crc32"), F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
