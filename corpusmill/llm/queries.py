@@ -55,6 +55,12 @@ def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored_offsets(spark, where).withColumnRenamed("key", "doc_id")
 
 
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusmill.llm.embed_dedup import near_vectors
+
+    return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op10_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusmill.llm.mpeg import read_media, text_media
 
