@@ -55,6 +55,12 @@ def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored_offsets(spark, where).withColumnRenamed("key", "doc_id")
 
 
+def op8_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusmill.llm.lm import score_documents
+
+    return score_documents(documents(spark, sf_dir))
+
+
 def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusmill.llm.embed_dedup import near_vectors
 

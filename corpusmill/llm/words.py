@@ -80,8 +80,27 @@ def hash_block(data: np.ndarray, bounds: np.ndarray, sep: np.ndarray) -> tuple[n
     return mix(np.add.reduceat(values, begin) + lengths.astype(np.uint64) * _ORDER[7]), starts, lengths
 
 
-def words(column: pa.Array, sep: np.ndarray = SPACE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, word hashes, offsets of each row's words) for consecutive groups of rows of about BLOCK bytes.
+def endings(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """For each word its last two bytes, lower-cased, before one closing punctuation mark, as a number below 2**16."""
+    last = starts + lengths - 1
+    last = last - ((lengths > 1) & PUNCTUATED[data[last]])
+    return _LOWER[data[last]].astype(np.int64) * 256 + np.where(last > starts, _LOWER[data[np.maximum(last - 1, 0)]], 0)
+
+
+def _slices(piece: np.ndarray, sep: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Parts of one long text of about BLOCK bytes, cut after a separator."""
+    a = 0
+    while a < len(piece):
+        b = min(a + BLOCK, len(piece))
+        while b < len(piece) and not sep[piece[b - 1]]:
+            more = np.flatnonzero(sep[piece[b : b + BLOCK]])
+            b = b + int(more[0]) + 1 if len(more) else min(b + BLOCK, len(piece))
+        yield a, b
+        a = b
+
+
+def words(column: pa.Array, sep: np.ndarray = SPACE, ends: bool = False) -> Iterator[tuple]:
+    """(first row, end row, word hashes, offsets of each row's words[, endings]) for consecutive groups of rows of about BLOCK bytes.
 
     A longer text forms a group of its own and is hashed piecewise, cut at separators.
     """
@@ -92,24 +111,13 @@ def words(column: pa.Array, sep: np.ndarray = SPACE) -> Iterator[tuple[int, int,
         high = min(max(high, low + 1), n)
         piece, bounds = data[at[low] : at[high]], at[low : high + 1] - at[low]
         if len(piece) <= 2 * BLOCK:
-            h, starts, _ = hash_block(piece, bounds, sep)
-            offsets = np.searchsorted(starts, bounds)
+            h, starts, lengths = hash_block(piece, bounds, sep)
+            offsets, tails = np.searchsorted(starts, bounds), endings(piece, starts, lengths) if ends else None
         else:  # one long text
-            parts, a = [], 0
-            while a < len(piece):
-                b = min(a + BLOCK, len(piece))
-                if b < len(piece):
-                    cut = np.flatnonzero(sep[piece[a:b]])
-                    while not len(cut) and b < len(piece):
-                        nxt = min(b + BLOCK, len(piece))
-                        cut = np.flatnonzero(sep[piece[b:nxt]]) + (b - a)
-                        b = nxt
-                    b = a + int(cut[-1]) + 1 if len(cut) and b < len(piece) else b
-                parts.append(hash_block(piece[a:b], np.array([0, b - a]), sep)[0])
-                a = b
-            h = np.concatenate(parts)
-            offsets = np.array([0, len(h)])
-        yield low, high, h, offsets
+            parts = [(piece[a:b], hash_block(piece[a:b], np.array([0, b - a]), sep)) for a, b in _slices(piece, sep)]
+            h = np.concatenate([x[0] for _, x in parts])
+            offsets, tails = np.array([0, len(h)]), np.concatenate([endings(d, *x[1:]) for d, x in parts]) if ends else None
+        yield (low, high, h, offsets, tails) if ends else (low, high, h, offsets)
         low = high
 
 
