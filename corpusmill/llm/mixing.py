@@ -125,3 +125,15 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     rest = placed.where("size = 0 or passes = 0").select(*keys, F.lit(0).cast("long").alias("taken"))
     out = taken.unionByName(rest)
     return out.select(F.col("key").alias(key), "body", "source", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"), "passes")
+
+
+def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+    """The rows of docs, all columns, once for each pass in which the mix takes any of the document; rows it does not take are left out."""
+    plan = mix(docs, key, text, source, **options).where("passes > 0")
+    plan = plan.select(F.col(key).cast("long").alias("__key"), F.col("body").alias("__body"), F.col("source").alias("__source"), "passes")
+    # equal rows are alike: the n-th of them takes the n-th greatest number of passes
+    plan = plan.withColumn("__copy", F.expr("row_number() over (partition by __key, __source, __body order by passes desc)"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")).select("row", F.col(f"row.`{key}`").cast("long").alias("k"), F.col(f"row.`{source}`").cast("string").alias("s"), F.xxhash64(f"row.`{text}`").alias("b"))
+    rows = rows.withColumn("c", F.expr("row_number() over (partition by k, s, b order by k)"))
+    met = rows.join(plan, F.col("k").eqNullSafe(F.col("__key")) & F.col("s").eqNullSafe(F.col("__source")) & (F.col("b") == F.col("__body")) & (F.col("c") == F.col("__copy")))
+    return met.select("row", F.explode(F.sequence(F.lit(1), F.col("passes")))).select("row.*")
