@@ -295,7 +295,7 @@ def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, at = text_buffer(batch.column(1))
         low = 0
         while low < batch.num_rows:
-            high = min(max(int(np.searchsorted(at, at[low] + (4 << 20), "right")) - 1, low + 1), batch.num_rows)
+            high = min(max(int(np.searchsorted(at, at[low] + (1 << 20), "right")) - 1, low + 1), batch.num_rows)
             media = [store_bytes(pad(data[at[k] : at[k + 1]].tobytes())) for k in range(low, high)]
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(np.diff(at[low : high + 1])), pa.array(media, pa.binary())], names=["key", "n_bytes", "media"])
             low = high
@@ -306,8 +306,8 @@ _PARSED = "key long, n_bytes long, media binary, payload binary, feature string,
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for low in range(0, batch.num_rows, 1024):
-            part = batch.slice(low, 1024)
+        for low in range(0, batch.num_rows, 256):
+            part = batch.slice(low, 256)
             rows = []
             for value in part.column(2):
                 payload, s = load_bytes(value.as_py())
@@ -330,3 +330,13 @@ def text_media(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 def read_media(media: DataFrame) -> DataFrame:
     """The rows of text_media() with the payload read back from the stored bytes, features, exact duration and frame seek offsets."""
     return media.mapInArrow(_parse, _PARSED)
+
+
+def _round_trip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _parse(_store(batches))
+
+
+def media_round_trip(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """read_media(text_media(docs)) with one worker for both, which halves what Python holds."""
+    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("body"))
+    return rows.mapInArrow(_round_trip, _PARSED)

@@ -68,9 +68,9 @@ def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from corpusmill.llm.mpeg import read_media, text_media
+    from corpusmill.llm.mpeg import media_round_trip
 
-    rows = read_media(text_media(documents(spark, sf_dir)))
+    rows = media_round_trip(documents(spark, sf_dir))
     tail = F.expr("crc32(substring(payload, greatest(length(payload) - 15, 1), 16))")
     return rows.select(F.col("key").alias("doc_id"), "n_bytes", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), tail.alias("tail_crc32"), F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature")
 
