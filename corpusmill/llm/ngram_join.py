@@ -32,9 +32,12 @@ from corpusmill.llm.words import mix, shingles, words
 #: Width of the frequency table, in bits; its size does not depend on the input.
 SKETCH_BITS = 18
 
-#: A table of (class, row) pairs up to this length, 16 bytes each, is broadcast; its length is checked first.
+#: A table of where texts go, up to this length and 32 bytes a row, is broadcast; its length is checked first.
 BROADCAST_ROWS = 1 << 17
 
+#: Partners of a centre that are verified in one run.
+PART = 512
+
 
 def set_identity(s: np.ndarray) -> tuple[int, int]:
     """Two 64-bit signatures of a set of hashes (a sum and an exclusive or of mixed members)."""
@@ -98,17 +101,6 @@ def _prefixes(size: int, percent: int, table) -> Callable[[Iterator[pa.RecordBat
     return run
 
 
-def _sets(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cls = batch.column(0)
-            for low, high, h, at in words(batch.column(1)):
-                sets = [shingles(h[at[k] : at[k + 1]], size).tobytes() for k in range(high - low)]
-                yield pa.RecordBatch.from_arrays([cls.slice(low, high - low), pa.array(sets, pa.binary())], names=["cls", "grams"])
-
-    return run
-
-
 def suffix_bound(x: np.ndarray, y: np.ndarray, depth: int = 2) -> int:
     """Upper bound of the intersection of two sorted arrays: split both at a median and add the smaller part sizes."""
     if not depth or len(x) < 8 or len(y) < 8:
@@ -118,19 +110,28 @@ def suffix_bound(x: np.ndarray, y: np.ndarray, depth: int = 2) -> int:
     return suffix_bound(x[:i], y[:j], depth - 1) + suffix_bound(x[i:], y[j:], depth - 1)
 
 
-def _verify(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _verify(size: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (group, salt, role, cls, body) in this order: the text of a group's centre (role 0) stands before its partners' texts (role 1)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centre, x = None, np.zeros(0, np.uint64)
         for batch in batches:
+            group, salt, role, cls = (batch.column(k).to_pylist() for k in range(4))
             out = []
-            for a, b, x, y in zip(*(batch.column(k) for k in range(4)), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                least = need(len(x), len(y), percent)
-                inter = 0
-                if suffix_bound(x, y) >= least:
-                    both = np.concatenate((x, y))
-                    both.sort()
-                    inter = int((both[1:] == both[:-1]).sum())
-                out.append((a.as_py(), b.as_py(), inter >= least))
+            for low, high, h, at in words(batch.column(4)):
+                for k in range(low, high):
+                    y = shingles(h[at[k - low] : at[k - low + 1]], size)
+                    if not len(y) or set_identity(y)[0] != cls[k]:
+                        continue  # another text under the same key
+                    if role[k] == 0:
+                        centre, x = (group[k], salt[k]), y
+                    elif centre == (group[k], salt[k]):
+                        least, inter = need(len(x), len(y), percent), 0
+                        if suffix_bound(x, y) >= least:
+                            both = np.concatenate((x, y))
+                            both.sort()
+                            inter = int((both[1:] == both[:-1]).sum())
+                        out.append((group[k], cls[k], inter >= least))
             a, b, ok = zip(*out, strict=True) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(ok, pa.bool_())], names=["a", "b", "linked"])
 
@@ -186,21 +187,23 @@ def ngram_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", size
     pivots = posts.groupBy("gram").agg(F.max(F.struct(full.alias("f"), (-F.col("cls")).alias("c"), "cls", "n", "pos", "m")).alias("p"))
     star = posts.join(pivots, "gram").select(F.struct("cls", "n", "pos", "m").alias("x"), F.struct("p.cls", "p.n", "p.pos", "p.m").alias("y"))
     first = star.where(_close(percent))
-    first = first.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
-    first = materialize(first, "pairs")
+    first = first.select(F.col("y.cls").alias("a"), F.col("x.cls").alias("b")).distinct()
+    # two classes may be each other's pivots
+    first = materialize(first.withColumn("low", F.least("a", "b")).withColumn("high", F.greatest("a", "b")).groupBy("low", "high").agg(F.min("a").alias("a"), F.min_by("b", "a").alias("b")).select("a", "b"), "pairs")
 
     reps = sets.groupBy(F.col("s1").alias("cls")).agg(F.min("rep").alias("rep"))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(reps, "cls"), "wanted")
-        few = wanted.count() <= BROADCAST_ROWS  # its size is known here; beyond the bound the join shuffles
-        at = F.broadcast(wanted) if few else wanted
-        bodies = base.join(at, base.row_key == at.rep).groupBy("cls").agg(F.first("body").alias("body"))
-        grams = materialize(bodies.select("cls", "body").mapInArrow(_sets(size), "cls long, grams binary"), "sets")
-        x = grams.select(F.col("cls").alias("a"), F.col("grams").alias("x"))
-        y = grams.select(F.col("cls").alias("b"), F.col("grams").alias("y"))
-        out = materialize(pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long, linked boolean"), "verified")
-        discard(grams)
+        """a, b, linked for pairs (a, b): the texts of a's partners go to a's group, those of a large group in parts of about PART."""
+        groups = pairs.groupBy("a").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+        partners = pairs.join(groups, "a").select(F.col("a").alias("group"), F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("salt"), F.lit(1).alias("role"), F.col("b").alias("cls"))
+        centres = groups.select(F.col("a").alias("group"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("a").alias("cls"))
+        routes = materialize(partners.union(centres).join(reps, "cls").select("group", "salt", "role", "cls", "rep"), "routes")
+        few = routes.count() <= BROADCAST_ROWS  # its size is known here; beyond the bound the join shuffles
+        texts = base.join(F.broadcast(routes) if few else routes, base.row_key == routes.rep).select("group", "salt", "role", "cls", "body")
+        dealt = texts.repartition(shuffle_width(spark), "group", "salt").sortWithinPartitions("group", "salt", "role", "cls")
+        out = materialize(dealt.mapInArrow(_verify(size, percent), "a long, b long, linked boolean").dropDuplicates(["a", "b"]), "verified")
+        discard(routes)
         return out
 
     done = verified(first)
@@ -213,7 +216,7 @@ def ngram_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", size
     left = mixed.select("gram", "comp", F.struct("cls", "n", "pos", "m").alias("x"))
     right = mixed.select("gram", F.col("comp").alias("comp2"), F.struct("cls", "n", "pos", "m").alias("y"))
     across = _candidates(left.join(right, "gram").where("comp < comp2").select("x", "y"), percent)
-    across = materialize(across.join(done.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+    across = materialize(across.join(done.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
     more = verified(across)
     comp = materialize(components(links.union(more.where("linked").select("a", "b"))), "classes")
 
