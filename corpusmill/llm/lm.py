@@ -26,9 +26,9 @@ from corpusmill.llm.words import Lookup, mix, words
 HEAD, CLASS, TAILS, HIDDEN = 1024, 32, 32, 16
 N_HEAD = HEAD // CLASS
 #: Word counts held in every worker: at most so many, 16 bytes each. Steps of a window in training and in scoring; widest batch.
-LOCAL, WINDOW, SPAN, LANES = 1 << 18, 20, 64, 512
+LOCAL, WINDOW, SPAN, LANES = 1 << 18, 20, 32, 512
 #: Tokens taken together in a worker.
-CHUNK = 1 << 20
+CHUNK = 1 << 21
 END = int(mix(np.array([0x5EED], np.uint64))[0])
 RATE = 0.01
 
@@ -93,30 +93,40 @@ def initial(v: Vocabulary) -> np.ndarray:
     return flat
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
-
-
 def _forward(p: dict, ids: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: bool) -> tuple[np.ndarray, np.ndarray, list]:
     """States after each of the steps of ids (steps x lanes); fresh: where a text starts. Returns states, last state, what backward needs."""
     n = HIDDEN
     out, saved = np.empty((*ids.shape, n), np.float32), []
+    inputs, starts, u = p["x"][ids], fresh.any(1), p["u"]
     for t in range(len(ids)):
-        h = np.where(fresh[t][:, None], np.float32(0), h)
-        gx, gh = p["x"][ids[t]], h @ p["u"]
-        zr = _sigmoid(gx[:, : 2 * n] + gh[:, : 2 * n])
+        if starts[t]:
+            h = h.copy()
+            h[fresh[t]] = 0
+        gx, gh = inputs[t], h @ u
+        zr = gx[:, : 2 * n] + gh[:, : 2 * n]
+        zr *= 0.5
+        np.tanh(zr, out=zr)
+        zr *= 0.5
+        zr += 0.5
         z, r = zr[:, :n], zr[:, n:]
-        c = np.tanh(gx[:, 2 * n :] + r * gh[:, 2 * n :])
-        new = c + z * (h - c)
+        c = r * gh[:, 2 * n :]
+        c += gx[:, 2 * n :]
+        np.tanh(c, out=c)
         if keep:
             saved.append((h, z, r, c, gh[:, 2 * n :]))
+        new = h - c
+        new *= z
+        new += c
         out[t] = h = new
     return out, h, saved
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+def _exp_sums(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp of the rows of x, which is overwritten, and their sums; rows are shifted only where a value is large enough to need it."""
+    if x.size and x.max() > 60:
+        x -= x.max(1, keepdims=True)
+    np.exp(x, out=x)
+    return x, x.sum(1)
 
 
 def _groups(target: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -133,11 +143,12 @@ def _groups(target: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 def log_probabilities(p: dict, states: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Natural log of the model's probability of each target id; for tail ids that of the class only."""
-    log_class = _log_softmax(states @ p["c"] + p["cb"])
-    out = log_class[np.arange(len(target)), output_class(target)].astype(np.float64)
+    e, total = _exp_sums(states @ p["c"] + p["cb"])
+    chosen = e[np.arange(len(target)), output_class(target)].astype(np.float64) / total
     for k, at in _groups(target):
-        out[at] += _log_softmax(states[at] @ p["w"][k] + p["wb"][k])[np.arange(len(at)), target[at] % CLASS]
-    return out
+        e, total = _exp_sums(states[at] @ p["w"][k] + p["wb"][k])
+        chosen[at] *= e[np.arange(len(at)), target[at] % CLASS] / total
+    return np.log(np.maximum(chosen, 1e-300))
 
 
 def gradients(p: dict, ids: np.ndarray, fresh: np.ndarray, target: np.ndarray, weight: np.ndarray, h0: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -148,22 +159,23 @@ def gradients(p: dict, ids: np.ndarray, fresh: np.ndarray, target: np.ndarray, w
     grad = np.zeros(SIZE, np.float32)
     g = views(grad)
     scale = np.float32(1 / max(1.0, flat_w.sum()))
-    d = -np.exp(_log_softmax(flat_s @ p["c"] + p["cb"]))
-    d[np.arange(len(flat_t)), output_class(flat_t)] += 1
-    d *= (flat_w * scale)[:, None]
+    d, total = _exp_sums(flat_s @ p["c"] + p["cb"])
+    share = flat_w * scale
+    d *= (-share / total)[:, None]
+    d[np.arange(len(flat_t)), output_class(flat_t)] += share
     g["c"][:], g["cb"][:] = flat_s.T @ d, d.sum(0)
     ds = d @ p["c"].T
     for k, at in _groups(flat_t):
         s = flat_s[at]
-        e = -np.exp(_log_softmax(s @ p["w"][k] + p["wb"][k]))
-        e[np.arange(len(at)), flat_t[at] % CLASS] += 1
-        e *= (flat_w[at] * scale)[:, None]
+        e, total = _exp_sums(s @ p["w"][k] + p["wb"][k])
+        e *= (-share[at] / total)[:, None]
+        e[np.arange(len(at)), flat_t[at] % CLASS] += share[at]
         g["w"][k], g["wb"][k] = s.T @ e, e.sum(0)
         ds[at] += e @ p["w"][k].T
     ds = ds.reshape(steps, lanes, HIDDEN)
     n, dh = HIDDEN, np.zeros((lanes, HIDDEN), np.float32)
     dg = np.empty((steps, lanes, 3 * n), np.float32)
-    u_t = p["u"].T.copy()
+    u_t, starts = p["u"].T.copy(), fresh.any(1)
     for t in range(steps - 1, -1, -1):
         h, z, r, c, hc = saved[t]
         dh = dh + ds[t]
@@ -175,7 +187,10 @@ def gradients(p: dict, ids: np.ndarray, fresh: np.ndarray, target: np.ndarray, w
         gh = a.copy()
         gh[:, 2 * n :] *= r
         g["u"] += h.T @ gh
-        dh = np.where(fresh[t][:, None], np.float32(0), dh * z + gh @ u_t)
+        dh = dh * z
+        dh += gh @ u_t
+        if starts[t]:
+            dh[fresh[t]] = 0
     order = np.argsort(ids.reshape(-1), kind="stable")
     sorted_ids = ids.reshape(-1)[order]
     first = np.flatnonzero(np.r_[True, sorted_ids[1:] != sorted_ids[:-1]])
@@ -211,29 +226,44 @@ class Trainer:
 
 
 def score_texts(p: dict, ids: np.ndarray, target: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """log_probabilities() of the tokens of consecutive texts with offsets at. Texts are laid end to end in lanes of about equal length."""
+    """log_probabilities() of the tokens of consecutive texts with offsets at.
+
+    Texts are laid end to end in lanes of about equal length; the lanes stand by length, so that those with tokens left are the first ones.
+    """
     n = np.diff(at)
-    total, longest = int(at[-1]), int(n.max(initial=1))
-    lanes = int(np.clip(-(-total // max(longest, 1)), 1, LANES))
+    total = int(at[-1])
+    lanes = int(np.clip(total // 4096, 1, LANES))
     heap, where = [(0, k) for k in range(lanes)], np.zeros((len(n), 2), np.int64)
     for k in np.argsort(-n, kind="stable").tolist():
         size, lane = heap[0]
         where[k] = size, lane
         heapq.heapreplace(heap, (size + int(n[k]), lane))
-    length = max(size for size, _ in heap)
-    row = np.repeat(where[:, 0] - at[:-1], n) + np.arange(total)
-    col = np.repeat(where[:, 1], n)
-    grid, fresh, goal = np.full((length, lanes), START, np.int32), np.zeros((length, lanes), bool), np.full((length, lanes), -1, np.int32)
-    grid[row, col], goal[row, col] = ids, target
-    fresh[where[n > 0, 0], where[n > 0, 1]] = True
-    logs = np.zeros((length, lanes))
+    lengths = np.zeros(lanes, np.int64)
+    for size, lane in heap:
+        lengths[lane] = size
+    order = np.argsort(-lengths, kind="stable")
+    place = np.empty(lanes, np.int64)
+    place[order] = np.arange(lanes)
+    lengths = lengths[order]
+    col = np.repeat(place[where[:, 1]], n)
+    # a lane's tokens lie one after another in flat arrays
+    begin = np.r_[0, np.cumsum(lengths)[:-1]]
+    spot = begin[col] + np.repeat(where[:, 0] - at[:-1], n) + np.arange(total)
+    flat_ids, flat_goal, flat_new = np.empty(total, np.int32), np.empty(total, np.int32), np.zeros(total, bool)
+    flat_ids[spot], flat_goal[spot] = ids, target
+    flat_new[spot[at[:-1]]] = True
+    logs = np.empty(total)
     h = np.zeros((lanes, HIDDEN), np.float32)
-    for t in range(0, length, SPAN):
-        s = slice(t, min(t + SPAN, length))
-        states, h, _ = _forward(p, grid[s], fresh[s], h, False)
-        here = goal[s] >= 0
-        logs[s][here] = log_probabilities(p, states[here], goal[s][here])
-    return logs[row, col]
+    for t in range(0, int(lengths[0]), SPAN):
+        active = int(np.searchsorted(-lengths, -t, "left"))  # lanes longer than t
+        steps = np.arange(t, min(t + SPAN, int(lengths[0])))
+        grid = begin[None, :active] + steps[:, None]
+        inside = steps[:, None] < lengths[None, :active]
+        grid = np.where(inside, grid, 0)
+        states, last, _ = _forward(p, np.where(inside, flat_ids[grid], START), inside & flat_new[grid], h[:active], False)
+        h[:active] = last
+        logs[grid[inside]] = log_probabilities(p, states[inside], flat_goal[grid[inside]])
+    return logs[spot]
 
 
 def _streams(batches: Iterator[pa.RecordBatch], v: Vocabulary, first: int) -> Iterator[tuple]:
