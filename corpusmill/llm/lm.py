@@ -90,6 +90,7 @@ def initial(v: Vocabulary) -> np.ndarray:
     p["wb"].reshape(-1)[len(v.head) :] = -30  # ids that no word has
     totals = np.r_[head.reshape(N_HEAD, CLASS).sum(1), v.tail_total, v.end_count]
     p["cb"][:] = np.log(totals + 0.5) - np.log(totals.sum() + 1)
+    p["cb"][-(-len(v.head) // CLASS) : N_HEAD] = -30  # head classes without words
     return flat
 
 

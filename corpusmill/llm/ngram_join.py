@@ -59,17 +59,17 @@ def _profile(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
         counts = np.zeros(1 << SKETCH_BITS, np.int64)
         names = ("row_key", "n", "s1", "s2", "bucket", "hits")
         for batch in batches:
-            keys, rows = batch.column(0).to_numpy(zero_copy_only=False), []
+            rows: list[tuple[int, int, int]] = []
             for low, high, h, at in words(batch.column(1)):
                 for k in range(low, high):
                     s = shingles(h[at[k - low] : at[k - low + 1]], size)
                     if len(s):
                         np.add.at(counts, (s & np.uint64(len(counts) - 1)).astype(np.int64), 1)
-                        rows.append((keys[k], len(s), *set_identity(s)))
+                        rows.append((len(s), *set_identity(s)))
                     else:
-                        rows.append((keys[k], 0, 0, 0))
-            key, n, s1, s2 = (np.array(x, np.int64) for x in zip(*rows, strict=True)) if rows else [np.zeros(0, np.int64)] * 4
-            yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in (key, n, s1, s2)), pa.nulls(len(key), pa.int32()), pa.nulls(len(key), pa.int64())], names=names)
+                        rows.append((0, 0, 0))
+            figures = [pa.array(x) for x in np.array(rows, np.int64).reshape(-1, 3).T.copy()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *figures, pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), pa.int64())], names=names)
         used = np.flatnonzero(counts)
         for k in range(0, len(used), 1 << 16):
             u = used[k : k + (1 << 16)]

@@ -1,0 +1,672 @@
+"""Each operator against brute force, an exact round trip or held-out accuracy, and its defined results for awkward rows."""
+
+import collections
+import hashlib
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+import tokenizers
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from corpusmill.llm import bpe, embed_dedup, graph, lm, mixing, mpeg, ngram_join, queries, secrets, token_counts, token_store, toxicity, words
+from corpusmill.llm.shared import new_path
+from corpusmill.llm.tokenizers_io import pieces, vocabulary_path
+from tests.conftest import SF
+from tests.llm.conftest import awkward_rows
+
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+ROWS = [(r[0], r[1]) for r in awkward_rows()]
+
+
+def split(text):
+    return WORD.findall((text or "").translate(LOWER))
+
+
+def documents(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+def texts(spark):
+    return {r["doc_id"]: r["text"] for r in documents(spark).select("doc_id", "text").collect()}
+
+
+class Union:
+    def __init__(self):
+        self.up = {}
+
+    def root(self, x):
+        while self.up.setdefault(x, x) != x:
+            x = self.up[x]
+        return x
+
+    def join(self, a, b):
+        a, b = self.root(a), self.root(b)
+        if a != b:
+            self.up[max(a, b)] = min(a, b)
+
+
+# --- words and graph -------------------------------------------------------
+
+
+def test_words_are_those_of_the_definition():
+    column = pa.array(["A b\tC", None, "", "é É x", "a b c"])
+    (low, high, h, at), *more = words.words(column)
+    assert (low, high) == (0, 5) and not more
+    assert np.diff(at).tolist() == [3, 0, 0, 3, 3]
+    assert h[0] == h[6] and h[3] != h[4] and (h[:3] == h[6:]).all()
+
+
+def test_a_long_text_is_hashed_in_parts(monkeypatch):
+    text = " ".join(f"w{k}" for k in range(3000))
+    whole = next(iter(words.words(pa.array([text]), ends=True)))
+    monkeypatch.setattr(words, "BLOCK", 1000)
+    part = next(iter(words.words(pa.array([text]), ends=True)))
+    assert (whole[2] == part[2]).all() and (whole[4] == part[4]).all()
+
+
+def test_lookup():
+    keys = np.random.default_rng(1).integers(0, 1 << 63, 5000, dtype=np.uint64)
+    table = words.Lookup(keys)
+    assert (table.find(keys) == np.arange(5000)).all()
+    assert (table.find(keys + np.uint64(1)) == -1).sum() >= 4999
+
+
+def test_components(spark):
+    r = random.Random(3)
+    edges = [(r.randrange(400), r.randrange(400)) for _ in range(260)] + [(k, k + 1) for k in range(1000, 1200)] + [(5, 5), (None, 7)]
+    u = Union()
+    for a, b in edges:
+        if a is not None and a != b:
+            u.join(a, b)
+    got = {row["node"]: row["component"] for row in graph.components(spark.createDataFrame(edges, "a long, b long").repartition(5)).collect()}
+    assert got == {x: u.root(x) for x in list(u.up)}
+
+
+# --- 1 ---------------------------------------------------------------------
+
+
+def brute_classes(rows, size, percent):
+    sets = [frozenset([tuple(w)]) if 0 < len(w) < size else frozenset(tuple(w[k : k + size]) for k in range(len(w) - size + 1)) for w in (split(t) for _, t in rows)]
+    u = Union()
+    for a in range(len(rows)):
+        for b in range(a):
+            if rows[a][0] is not None and rows[b][0] is not None and sets[a] and sets[b]:
+                inter = len(sets[a] & sets[b])
+                if rows[a][0] == rows[b][0] or 100 * inter >= percent * (len(sets[a]) + len(sets[b]) - inter):
+                    u.join(rows[a][0], rows[b][0])
+    return [(k, len(s), u.root(k)) for (k, _), s in zip(rows, sets, strict=True)]
+
+
+def test_ngram_classes_on_documents(spark):
+    rows = sorted(texts(spark).items())
+    for size, percent in ((4, 85), (5, 80)):
+        got = ngram_join.ngram_classes(documents(spark), size=size, percent=percent).collect()
+        assert sorted(map(tuple, got)) == sorted(brute_classes(rows, size, percent))
+
+
+def test_ngram_classes_of_a_large_near_copy_group(spark):
+    """Copies with different numbers of edits, some linked to the original, some only to each other, some to none."""
+    r = random.Random(9)
+    base = [f"t{k}" for k in range(150)]
+    rows = [(0, " ".join(base))]
+    for k in range(1, 260):
+        w = base[:]
+        for _ in range(r.randrange(1, 12)):
+            w[r.randrange(150)] = f"e{r.randrange(40)}" if k % 2 else f"u{k}"
+        rows.append((k, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(map(tuple, ngram_join.ngram_classes(df).collect())) == sorted(brute_classes(rows, 4, 85))
+
+
+def test_ngram_classes_of_awkward_rows(spark, awkward, nothing):
+    got = sorted(map(str, ngram_join.ngram_classes(awkward).collect()))
+    assert len(got) == len(ROWS)
+    by = collections.defaultdict(set)
+    for r in ngram_join.ngram_classes(awkward).collect():
+        by[r["doc_id"]].add((r["n_shingles"], r["component"]))
+    assert by[3] == {(0, 3)} and by[4] == {(0, 4)} and by[5] == {(0, 5)}
+    assert by[6] == {(1, 6)} and by[7] == {(1, 6)} and by[8] == {(1, 8)}
+    assert {c for _, c in by[0] | by[1] | by[2]} == {0} and {c for _, c in by[9] | by[10]} == {9}
+    assert ngram_join.ngram_classes(nothing).count() == 0
+
+
+def test_suffix_bound_is_a_bound():
+    r = np.random.default_rng(2)
+    for _ in range(50):
+        x, y = (np.unique(r.integers(0, 200, r.integers(1, 150), dtype=np.uint64)) for _ in range(2))
+        assert ngram_join.suffix_bound(x, y) >= len(np.intersect1d(x, y))
+
+
+# --- 2 ---------------------------------------------------------------------
+
+
+def brute_base(text):
+    text = text or ""
+    out = [(m.start(), 0, m.end()) for m in re.finditer(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m[2]) >= 6]
+    out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    out += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    return ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in sorted(out))
+
+
+@pytest.fixture(scope="module")
+def model():
+    return secrets.fit()
+
+
+def test_base_secrets(spark, model):
+    want = {k: brute_base(t) for k, t in texts(spark).items()}
+    got = {r["doc_id"]: (r["base"], r["spans"]) for r in secrets.scan_secrets(documents(spark), model=model).collect()}
+    assert {k: v[0] for k, v in got.items()} == want
+    assert all(set(filter(None, base.split(","))) <= set(spans.split(",")) for base, spans in got.values())
+
+
+@pytest.mark.parametrize("text", ["token: token: abcdefgh", "secret=abc", "toKEN='a.b=c-d'", "ſecret=abcdefgh", "apiKey : zzzzzz", "api_key=\"123456", "AKIAAKIA" + "Z" * 14, "AKIA" + "Z" * 15, "f" * 23 + " " + "e" * 24, "password=password=secret=12"])
+def test_base_secret_corners(text):
+    spans = secrets.base_spans(text)
+    assert ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, b, k in sorted(spans, key=lambda s: (s[0], s[2]))) == brute_base(text)
+
+
+def test_model_finds_what_patterns_miss(model):
+    def found(text):
+        return [text[a:b] for a, b, _ in secrets.model_spans(text, model, secrets.base_spans(text))]
+
+    assert found("use password is hunter2Xy99abc now") == ["hunter2Xy99abc"]
+    assert found("the header Bearer abcDEF123456ghiJKL7890mnoPQR end") == ["abcDEF123456ghiJKL7890mnoPQR"]
+    assert found("call +49 170 1234567 or mail a.b1@example.com at 10.0.0.1 see https://x.example/a1?b=2") == []
+
+
+def test_decoding_runs_equals_decoding_everything(model):
+    for text in ["plain words only", *(" ".join(t) for t, _, _ in secrets.examples(200, seed=77))]:
+        base = secrets.base_spans(text)
+        assert secrets.model_spans(text, model, base) == secrets.model_spans(text, model, base, whole=True)
+
+
+def test_viterbi_is_the_best_path(model):
+    r = random.Random(4)
+    for tokens, _, file in secrets.examples(30, seed=5):
+        active = [secrets.described(tokens[:5], k, file) for k in range(min(5, len(tokens)))]
+
+        def score(path):
+            return sum(model.emit[f, t].sum() for f, t in zip(active, path, strict=True)) + sum(model.step[a, b] for a, b in zip(path, path[1:], strict=False))
+
+        best = max(np.ndindex(*[3] * len(active)), key=score)
+        assert score(model.viterbi(active)) == pytest.approx(score(best))
+    assert r
+
+
+def test_model_accuracy_on_other_sequences(model):
+    right = total = 0
+    for tokens, labels, file in secrets.examples(400, seed=99):
+        tags = model.viterbi([secrets.described(tokens, k, file) for k in range(len(tokens))])
+        right += sum(a == b for a, b in zip(tags, labels, strict=True))
+        total += len(tags)
+    assert right / total > 0.97
+
+
+def test_secrets_of_awkward_rows(awkward, nothing, model):
+    got = secrets.scan_secrets(awkward, model=model).collect()
+    assert sorted(((r["doc_id"], r["base"]) for r in got), key=str) == sorted(((k, brute_base(t)) for k, t in ROWS), key=str)
+    assert secrets.scan_secrets(nothing, model=model).count() == 0
+    red = secrets.redact_secrets(awkward, model=model)
+    assert red.columns == awkward.columns and red.count() == len(ROWS)
+    line = red.where("doc_id = 11").first()
+    assert "hunter2xyz" not in line["text"] and "[assign]" in line["text"] and line["body"] == "y"
+    assert red.where("doc_id = 3").first()["text"] is None
+
+
+# --- 3, 5, 7: tokens -------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def lib():
+    return tokenizers.Tokenizer.from_file(vocabulary_path())
+
+
+def ids_of(lib, text):
+    return lib.encode(text or "", add_special_tokens=False).ids
+
+
+TRICKY = ["", " ", "   x", "aaaa aaaaaaa aaa", "<|endoftext|>", "a<|endoftext|><|endoftext|> b", "<|endoftext|", "it's we'll I'M don't", "héé \n\n  漢字 🙂🙂 á", "\x00\x01\x7f", "1234567890 12 a1b2", "x" * 3000, " " * 500 + "y", "ab" * 2000, "\r\n\t mixed   space"]
+
+
+def test_bpe_equals_the_library(spark, lib):
+    for r in bpe.encode_decode(documents(spark)).join(documents(spark), "doc_id").select("ids", "decoded", "text").collect():
+        assert r["ids"] == ids_of(lib, r["text"]) and r["decoded"] == lib.decode(r["ids"], skip_special_tokens=False)
+
+
+def test_bpe_on_tricky_texts(lib):
+    codec = bpe.PairIndexBPE(vocabulary_path())
+    for text, ids in zip(TRICKY, codec.encode(TRICKY), strict=True):
+        assert ids.tolist() == ids_of(lib, text)
+        assert codec.decode(ids) == lib.decode(ids.tolist(), skip_special_tokens=False)
+    assert codec.decode(np.array([128, 130])) == lib.decode([128, 130], skip_special_tokens=False)  # parts of characters
+
+
+def test_bpe_of_awkward_rows(awkward, nothing, lib):
+    got = sorted(((r["doc_id"], tuple(r["ids"]), r["decoded"]) for r in bpe.encode_decode(awkward).collect()), key=str)
+    assert got == sorted(((k, tuple(ids_of(lib, t)), t or "") for k, t in ROWS), key=str)
+    assert bpe.encode_decode(nothing).count() == 0
+
+
+def test_pieces_are_safe(lib):
+    text = " ".join(TRICKY) * 3
+    for limit in (1, 7, 50):
+        parts = list(pieces(text, limit))
+        assert "".join(parts) == text and len(parts) > 3
+        assert [i for p in parts for i in ids_of(lib, p)] == ids_of(lib, text)
+    assert list(pieces("", 5)) == [""]
+
+
+def test_counts(spark, awkward, nothing, lib, monkeypatch):
+    monkeypatch.setattr(token_counts, "PIECE", 200)
+    got = sorted((tuple(r) for r in token_counts.count_tokens(awkward).collect()), key=str)
+    want = sorted(((k, len((t or "").encode()), len(ids_of(lib, t)), len(ids_of(lib, t)) > 1024) for k, t in ROWS), key=str)
+    assert got == want and token_counts.count_tokens(nothing).count() == 0
+    got = {r["doc_id"]: r["n_tokens"] for r in token_counts.count_tokens(documents(spark)).collect()}
+    assert got == {k: len(ids_of(lib, t)) for k, t in texts(spark).items()}
+
+
+def test_counts_of_sentencepiece(awkward):
+    import sentencepiece
+
+    path = vocabulary_path("piece_bpe_32k.model")
+    m = sentencepiece.SentencePieceProcessor(model_file=path)
+    got = sorted(((r["doc_id"], r["n_tokens"]) for r in token_counts.count_tokens(awkward, path=path).collect()), key=str)
+    assert got == sorted(((k, len(m.encode(t or ""))) for k, t in ROWS), key=str)
+
+
+def brute_store(rows, lib):
+    out, at = [], 0
+    for k, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
+        ids = [*ids_of(lib, t), 2]
+        out.append((k, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    return out
+
+
+def test_token_store(spark, lib):
+    got = queries.op7_token_store(spark, SF).select("doc_id", "start", "n_tokens", "ids_crc32").orderBy("doc_id").collect()
+    assert [tuple(r) for r in got] == brute_store(list(texts(spark).items()), lib)
+
+
+def test_token_store_of_awkward_rows(spark, awkward, nothing, lib):
+    where = new_path(spark, "t")
+    token_store.write_store(awkward, where)
+    got = token_store.stored_offsets(spark, where).collect()
+    want = brute_store(ROWS, lib)
+    assert sorted(((r["key"], r["n_tokens"], r["ids_crc32"]) for r in got), key=str) == sorted(((k, n, c) for k, _, n, c in want), key=str)
+    spans = sorted((r["start"], r["start"] + r["n_tokens"]) for r in got)
+    assert spans[0][0] == 0 and all(a[1] == b[0] for a, b in zip(spans, spans[1:], strict=False))
+    keys = [r["key"] for r in sorted(got, key=lambda r: r["start"])]
+    assert keys == sorted(keys, key=lambda k: (k is not None, k or 0))
+    empty = new_path(spark, "t")
+    token_store.write_store(nothing, empty)
+    assert token_store.stored_offsets(spark, empty).count() == 0
+
+
+def test_one_document_is_read_by_its_offset():
+    samples = [token_store.pack(np.arange(k, k + 300) % 900, 2) for k in range(40)]
+    dictionary = token_store.train_dictionary(samples, 2048)
+    assert dictionary and token_store.train_dictionary(samples[:3]) == b""
+    import zstandard
+
+    c = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(dictionary))
+    blob = token_store.build_container([7, None, 9], [300, 300, 300], [c.compress(s) for s in samples[:3]], 2, hashlib.sha256(dictionary).digest())
+    box = token_store.Container(blob, dictionary)
+    assert box.keys == [7, None, 9] and box.ids(1).tolist() == token_store.unpack(samples[1], 2).tolist()
+    with pytest.raises(ValueError, match="another dictionary"):
+        token_store.Container(blob, b"other")
+
+
+# --- 4 ---------------------------------------------------------------------
+
+
+def toxic_corpus(spark):
+    r = random.Random(6)
+    rows, labels = [], []
+    bad = ["vilewordone", "vilewordtwo", "vilewordthree"]
+    for k in range(900):
+        w = [f"w{int(r.paretovariate(0.7)) % 400}" for _ in range(r.randint(20, 120))]
+        toxic = k % 6 == 0
+        if toxic:
+            for _ in range(r.randint(2, 6)):
+                w[r.randrange(len(w))] = r.choice(bad)
+        rows.append((k, " ".join(w)))
+        labels.append((k, int(toxic)))
+    return spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"), dict(labels)
+
+
+def test_toxicity_on_held_out_rows(spark):
+    docs, labels, truth = toxic_corpus(spark)
+    got = toxicity.score_toxicity(docs, labels).collect()
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) and 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7) for r in got)
+    held = [(r["predicted"], truth[r["doc_id"]]) for r in got if r["held_out"]]
+    assert sum(p for p, t in held if t) / sum(t for _, t in held) > 0.9
+    assert sum(p for p, t in held if not t) / sum(not t for _, t in held) < 0.01
+
+
+def test_held_out_labels_are_not_used(spark):
+    docs, labels, _ = toxic_corpus(spark)
+    flipped = labels.withColumn("toxic", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    a, b = ({r["doc_id"]: r["score"] for r in toxicity.score_toxicity(docs, x).collect()} for x in (labels, flipped))
+    assert a == b
+
+
+def test_toxicity_of_awkward_rows(spark, awkward, nothing):
+    docs, labels, _ = toxic_corpus(spark)
+    assert toxicity.score_toxicity(awkward, labels).count() == len(ROWS)
+    assert toxicity.score_toxicity(nothing, labels).count() == 0
+    none = toxicity.score_toxicity(awkward, labels.where("1 = 0")).collect()
+    assert {r["score"] for r in none} == {0.0} and {r["predicted"] for r in none} == {0}
+    kept = toxicity.drop_toxic(docs, labels)
+    assert kept.columns == docs.columns and 0 < kept.count() < docs.count()
+
+
+# --- 6 ---------------------------------------------------------------------
+
+
+def brute_targets(sizes):
+    order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(order)}
+    left, free, out = 1.5 * sum(sizes.values()), set(order), {}
+    while free:
+        unit = left / sum(weight[s] for s in free)
+        over = {s for s in free if unit * weight[s] > 2 * sizes[s]}
+        if not over:
+            return out | {s: unit * weight[s] for s in free}
+        for s in over:
+            out[s] = 2.0 * sizes[s]
+            left -= out[s]
+        free -= over
+    return out
+
+
+def check_mix(rows, got):
+    sizes, by = collections.Counter(), collections.defaultdict(list)
+    for s, t in rows:
+        sizes[s] += len(WORD.findall(t or ""))
+    want = brute_targets(dict(sizes))
+    for r in got:
+        by[r["source"]].append(r)
+        assert 0 <= r["taken"] <= 2 * r["size"] and r["source_size"] == sizes[r["source"]]
+        assert r["target"] == pytest.approx(want[r["source"]])
+    for s, rs in by.items():
+        assert sum(r["taken"] for r in rs) == math.floor(want[s] + 1e-9)
+
+
+def test_mix(spark):
+    got = mixing.mix(documents(spark)).collect()
+    check_mix([(r["source"], r["text"]) for r in documents(spark).collect()], got)
+    again = mixing.mix(documents(spark).orderBy(F.desc("doc_id")).repartition(5)).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+
+
+def test_mix_of_awkward_rows(awkward, nothing):
+    got = mixing.mix(awkward).collect()
+    assert len(got) == len(ROWS)
+    check_mix([(r[3], r[1]) for r in awkward_rows()], got)
+    assert mixing.mix(nothing).count() == 0
+    out = mixing.mixed_documents(awkward)
+    assert out.columns == awkward.columns and out.count() == sum(r["passes"] for r in got)
+
+
+def test_capped_targets(spark):
+    sizes = {"a": 10, "b": 1000, "c": 5, "d": 0, None: 7}
+    df = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+    got = {r["source"]: r["target"] for r in mixing.targets(df).collect()}
+    assert got == pytest.approx(brute_targets(sizes))
+
+
+def test_schedule_is_low_discrepancy(spark):
+    plan = spark.createDataFrame([("a", 60_000), ("b", 30_000), ("c", 10_000)], "source string, goal long")
+    slots = mixing.schedule(plan, 1000, 3, 100).collect()
+    assert sum(r["tokens"] for r in slots) == 100_000
+    order = [r["source"] for r in sorted(slots, key=lambda r: r["slot"])]
+    for n in (50, 200, 700):
+        assert abs(order[:n].count("a") - 0.6 * n) <= 4 and abs(order[:n].count("c") - 0.1 * n) <= 4
+    for s in "abc":
+        assert sorted(r["block"] for r in slots if r["source"] == s) == list(range(sum(r["source"] == s for r in slots)))
+
+
+def test_mix_runs_no_python(spark):
+    plan = mixing.mix(documents(spark))._jdf.queryExecution().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+
+
+# --- 8 ---------------------------------------------------------------------
+
+
+def brute_base_scores(rows):
+    tokens = [split(t) + [None] for _, t in rows]
+    held = [k is not None and zlib.crc32(str(k).encode()) % 5 == 1 for k, _ in rows]
+    c = collections.Counter(x for t, h in zip(tokens, held, strict=True) if not h for x in t)
+    n, v = sum(c.values()), len(c)
+    return [(k, h, len(t), sum(c[x] > 0 for x in t), n, round(sum(math.log10((c[x] + 0.5) / (n + 0.5 * (v + 1))) for x in t), 6)) for (k, _), t, h in zip(rows, tokens, held, strict=True)]
+
+
+@pytest.mark.parametrize("local", [1 << 18, 40])
+def test_lm_base_scores(spark, awkward, monkeypatch, local):
+    monkeypatch.setattr(lm, "LOCAL", local)
+    monkeypatch.setattr(lm, "HEAD", 1024)
+    for df, rows in ((awkward, ROWS), (documents(spark), list(texts(spark).items()))):
+        got = lm.score_documents(df).collect()
+        mine = [(r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"]) for r in got]
+        for a, b in zip(sorted(mine, key=str), sorted(brute_base_scores(rows), key=str), strict=True):
+            assert a[:5] == b[:5] and a[5] == pytest.approx(b[5], rel=1e-9, abs=1e-5)
+        assert all(r["score"] < 0 for r in got)
+
+
+def test_lm_beats_the_base_on_held_out_documents(spark):
+    got = [r for r in lm.score_documents(documents(spark)).collect() if r["held_out"]]
+    assert sum(r["score"] for r in got) > sum(r["base_score"] for r in got)
+
+
+def test_lm_of_nothing(nothing):
+    assert lm.score_documents(nothing).count() == 0
+
+
+def tiny_vocabulary():
+    keys = np.arange(1, 60, dtype=np.uint64) * np.uint64(7919)
+    v = lm.Vocabulary(keys, np.arange(200, 141, -1), np.arange(50), 30, np.full(lm.TAILS, 40.0), np.full(lm.TAILS, 9.0))
+    v.prepare()
+    return v
+
+
+def test_lm_probabilities_sum_to_one():
+    p = lm.views(lm.initial(tiny_vocabulary()))
+    states = np.random.default_rng(0).normal(size=(3, lm.HIDDEN)).astype(np.float32)
+    for s in states:
+        ids = np.r_[np.arange(50), lm.HEAD + np.arange(lm.TAILS), lm.END_ID]
+        assert np.exp(lm.log_probabilities(p, np.repeat(s[None], len(ids), 0), ids)).sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_lm_gradients():
+    v = tiny_vocabulary()
+    r = np.random.default_rng(1)
+    flat = lm.initial(v) + r.normal(0, 0.2, lm.SIZE).astype(np.float32)
+    lm.views(flat)["wb"].reshape(-1)[50:] = -30
+    ids, target = r.integers(0, 50, (6, 4)), np.where(r.random((6, 4)) < 0.3, lm.HEAD + r.integers(0, lm.TAILS + 1, (6, 4)), r.integers(0, 50, (6, 4)))
+    fresh = r.random((6, 4)) < 0.2
+    weight, h0 = np.ones((6, 4), np.float32), np.zeros((4, lm.HIDDEN), np.float32)
+    grad, _ = lm.gradients(lm.views(flat), ids, fresh, target, weight, h0)
+
+    def value(f):
+        states, _, _ = lm._forward(lm.views(f), ids, fresh, h0, False)
+        return lm.log_probabilities(lm.views(f), states.reshape(-1, lm.HIDDEN), target.reshape(-1)).mean()
+
+    for at in np.argsort(-np.abs(grad))[[0, 5, 20, 60, 150]]:
+        up, down = flat.astype(np.float64).copy(), flat.astype(np.float64).copy()
+        up[at] += 1e-3
+        down[at] -= 1e-3
+        assert (value(up) - value(down)) / 2e-3 == pytest.approx(grad[at], rel=0.02, abs=1e-5)
+
+
+def test_lm_state_runs_through_a_text():
+    """Scoring texts together in lanes equals scoring each by itself, step by step."""
+    v = tiny_vocabulary()
+    p = lm.views(lm.initial(v) + np.random.default_rng(2).normal(0, 0.3, lm.SIZE).astype(np.float32))
+    r = np.random.default_rng(3)
+    n = np.array([5, 300, 1, 90, 4000, 77])
+    at = np.r_[0, np.cumsum(n)]
+    target = r.integers(0, 50, at[-1])
+    ids = np.r_[lm.START, target[:-1]]
+    ids[at[:-1]] = lm.START
+    got = lm.score_texts(p, ids, target, at)
+    for a, b in zip(at, at[1:], strict=False):
+        states, _, _ = lm._forward(p, ids[a:b, None], np.arange(b - a)[:, None] == 0, np.zeros((1, lm.HIDDEN), np.float32), False)
+        assert got[a:b] == pytest.approx(lm.log_probabilities(p, states[:, 0], target[a:b]), abs=1e-3)
+
+
+# --- 9 ---------------------------------------------------------------------
+
+
+def brute_vectors(rows, threshold):
+    good = [(k, np.array(v, float), y) for k, v, y in rows if k is not None and y is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v)]
+    links, u = collections.Counter(), Union()
+    for i, (a, x, y) in enumerate(good):
+        for b, z, w in good[:i]:
+            if y == w and len(x) == len(z) and x @ z / (np.linalg.norm(x) * np.linalg.norm(z)) >= threshold:
+                links[a] += 1
+                links[b] += 1
+                u.join(a, b)
+    return [(k, links[k], u.root(k) if k is not None else None, k is not None and u.root(k) == k) for k, _, _ in rows]
+
+
+def test_near_vectors(spark, monkeypatch):
+    monkeypatch.setattr(embed_dedup, "TILE", 40)
+    r = np.random.default_rng(5)
+    centres = r.normal(size=(12, 24))
+    rows = []
+    for k in range(500):
+        v = (centres[k % 12] + r.normal(size=24) * (0.15 if k % 3 else 0.6)).astype(np.float32)
+        rows.append((k, v.tolist(), int(k % 12 % 3)))
+    rows += [(1000 + k, rows[7][1], rows[7][2]) for k in range(60)]
+    rows += [(2000, None, 1), (2001, [0.0] * 24, 1), (2002, [float("nan")] * 24, 1), (2003, rows[0][1], None), (2004, [None, 1.0], 1), (2005, [], 1), (2006, [1.0, 0.0], 1), (2007, [1.0, 0.1], 1), (None, rows[0][1], 0), (2008, [float("inf")] * 24, 1)]
+    df = spark.createDataFrame([(*x, 1, "z") for x in rows], "vec_id long, embedding array<float>, label int, rep long, vec string").repartition(4)
+    got = sorted(map(tuple, embed_dedup.near_vectors(df).collect()), key=str)
+    assert got == sorted(brute_vectors(rows, 0.93), key=str)
+    assert embed_dedup.near_vectors(df.where("1 = 0")).count() == 0
+
+
+def test_near_vectors_of_the_table(spark):
+    rows = [(r["vec_id"], r["embedding"], r["label"]) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
+    for threshold in (0.93, 0.5):
+        got = embed_dedup.near_vectors(spark.read.parquet(f"{SF}/embeddings.parquet"), threshold=threshold).collect()
+        assert sorted(map(tuple, got)) == sorted(brute_vectors(rows, threshold))
+
+
+# --- 10 --------------------------------------------------------------------
+
+
+def test_media(spark):
+    got = {r["doc_id"]: r for r in queries.op10_mpeg_audio(spark, SF).collect()}
+    for k, t in texts(spark).items():
+        payload = mpeg.pad(t.encode())
+        r = got[k]
+        assert len(payload) % 192 == 0 and r["payload_bytes"] == len(payload) and r["n_bytes"] == len(t.encode())
+        assert r["payload_sha256"] == hashlib.sha256(payload).hexdigest() and r["tail_crc32"] == zlib.crc32(payload[-16:])
+        media = mpeg.store_bytes(payload)
+        assert (r["media_bytes"], r["media_sha256"]) == (len(media), hashlib.sha256(media).hexdigest())
+
+
+def test_media_of_awkward_rows(awkward, nothing):
+    got = mpeg.read_media(mpeg.text_media(awkward)).collect()
+    assert sorted(((r["key"], bytes(r["payload"])) for r in got), key=str) == sorted(((k, mpeg.pad((t or "").encode())) for k, t in ROWS), key=str)
+    assert all(r["n_frames"] == len(r["offsets"]) for r in got)
+    assert mpeg.media_round_trip(nothing).count() == 0
+
+
+def test_resynchronisation_and_checksums():
+    payload = bytes(random.Random(1).randrange(256) for _ in range(5000))
+    data = mpeg.store_bytes(payload)
+    assert mpeg.load_bytes(data)[0] == payload
+    whole = mpeg.parse(data)
+    at = whole.offsets[2]
+    torn = mpeg.parse(b"\xff\xfbjunk" + data[:at] + b"\xff\xe0noise" + data[at:])
+    assert len(torn.offsets) == len(whole.offsets) and torn.skipped == 6 + 7
+    broken = bytearray(data)
+    broken[at + 10] ^= 1  # side information
+    assert mpeg.parse(bytes(broken)).bad == 1
+    with pytest.raises(ValueError, match="intact"):
+        mpeg.load_bytes(bytes(broken))
+    assert whole.table["frames"] == len(whole.offsets) and len(whole.table["toc"]) == 100
+    assert mpeg.parse(b"").offsets == [] and mpeg.parse(data[:-300]).skipped > 0
+
+
+def test_durations_and_seeking():
+    s = mpeg.parse(mpeg.store_bytes(b"x" * 9000))
+    assert s.duration() == len(s.offsets) * mpeg.Fraction(1152, 48000)
+    assert s.seek(0) == s.offsets[0] and s.seek(mpeg.Fraction(1152 * 3, 48000)) == s.offsets[3] and s.seek(999) == s.offsets[-1]
+
+
+@pytest.mark.parametrize(("four", "want"), [(bytes((0xFF, 0xFB, 0x90, 0x00)), (3, 3, 128, 44100, 417, 1152)), (bytes((0xFF, 0xF3, 0x40, 0xC0)), (2, 3, 32, 22050, 104, 576)), (bytes((0xFF, 0xE3, 0x18, 0xC0)), (0, 3, 8, 8000, 72, 576)), (bytes((0xFF, 0xFF, 0xE4, 0x00)), (3, 1, 448, 48000, 448, 384)), (bytes((0xFF, 0xFD, 0xE4, 0x00)), (3, 2, 384, 48000, 1152, 1152))])
+def test_headers(four, want):
+    h = mpeg.header(four)
+    assert (h.version, h.layer, h.kbps, h.rate, h.size, h.samples) == want
+
+
+@pytest.mark.parametrize("four", [b"\xff\xff\xff\xff", b"\xff\xfb\x00\x00", b"\xff\xfb\xf0\x00", b"\xff\xeb\x90\x00", b"\xff\xfb\x9c\x00", b"\xff"])
+def test_no_headers(four):
+    assert mpeg.header(four) is None
+
+
+def test_tags():
+    tag = mpeg._id3({"a": "b"}) + b"TAG" + b"Song".ljust(30, b"\0") + b"Me".ljust(30, b"\0") + bytes(65)
+    assert mpeg.parse(tag).tags == {"TXXX:a": "b", "id3v1:title": "Song", "id3v1:artist": "Me"}
+
+
+def test_vbri_table():
+    import struct
+
+    h = mpeg.header(bytes((0xFF, 0xFB, 0x90, 0x00)))
+    frame = bytes((0xFF, 0xFB, 0x90, 0x00)) + bytes(32) + b"VBRI" + struct.pack(">HHHIIHHHH", 1, 0, 0, 4170, 10, 2, 1, 2, 5) + b"\0\5\0\6"
+    assert mpeg._table(frame.ljust(417, b"\0"), h) == {"kind": "VBRI", "frames": 10, "bytes": 4170, "toc": [5, 6], "per": 5}
+
+
+# --- pipeline --------------------------------------------------------------
+
+
+def test_pipeline_stages(spark):
+    docs = documents(spark)
+    columns = docs.columns
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "secrets", "mixing", "bpe"]
+    for name, stage in corpus_pipeline.STAGES:
+        path = new_path(spark, name)
+        stage(spark, docs, SF).write.parquet(path)
+        out = spark.read.parquet(path)
+        before, after = {r["doc_id"]: r["text"] for r in docs.collect()}, out.collect()
+        if name == "bpe":
+            lib = tokenizers.Tokenizer.from_file(vocabulary_path())
+            assert len(after) == docs.count()
+            assert all(r["ids"] == ids_of(lib, before[r["doc_id"]]) and r["decoded_sha256"] == hashlib.sha256(before[r["doc_id"]].encode()).hexdigest() for r in after)
+            break
+        assert out.columns == columns
+        kept = {r["doc_id"] for r in after}
+        if name == "toxicity":
+            scores = toxicity.score_toxicity(docs, spark.read.parquet(f"{SF}/labels.parquet")).collect()
+            assert kept == {r["doc_id"] for r in scores if not r["predicted"]}
+        elif name == "near_duplicates":
+            assert kept == {k for k, _, c in brute_classes(sorted(before.items()), 5, 80) if k == c}
+        elif name == "secrets":
+            assert kept == set(before) and all(not brute_base(r["text"]) and r["n_chars"] == len(r["text"]) for r in after)
+        else:
+            passes = {r["doc_id"]: r["passes"] for r in mixing.mix(docs).collect()}
+            assert collections.Counter(r["doc_id"] for r in after) == collections.Counter({k: n for k, n in passes.items() if n})
+        docs = out
+
+
+def test_pipeline_of_awkward_rows(spark, awkward, nothing):
+    for start in (awkward, nothing):
+        docs = start
+        for name, stage in corpus_pipeline.STAGES:
+            path = new_path(spark, name)
+            stage(spark, docs, SF).write.parquet(path)
+            docs = spark.read.parquet(path)
+        assert (docs.count() > 0) is (start is awkward)
