@@ -13,7 +13,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from corpusmill.functions import text as X
 
@@ -114,7 +113,7 @@ def dense(queries: DataFrame, points: DataFrame, top_k: int = 5, min_score: floa
         part = rows.mapInArrow(_best(table.column("query_id").combine_chunks(), q / np.where(norm > 0, norm, 1), top_k), "query_id string, chunk_id string, score double")
         out = part if out is None else out.unionByName(part)
     if out is None:
-        out = points.sparkSession.createDataFrame([], T.StructType.fromDDL("query_id string, chunk_id string, score double"))
+        out = points.sparkSession.createDataFrame([], "query_id string, chunk_id string, score double")
     if min_score is not None:
         out = out.where(F.col("score") >= min_score)
     return ranked(out, top_k)

@@ -1,22 +1,25 @@
-"""Record layouts, declared once."""
+"""Record layouts, declared once. They need no session."""
 
 from __future__ import annotations
 
 from pyspark.sql import types as T
 
+STRING, INT, DOUBLE, BOOLEAN, TIME = T.StringType(), T.IntegerType(), T.DoubleType(), T.BooleanType(), T.TimestampType()
+STRINGS, DOUBLES = T.ArrayType(STRING), T.ArrayType(DOUBLE)
 
-def _struct(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
 
+def _struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
 
-DOCUMENT = _struct("doc_id string, source_path string, title string, num_pages int, file_hash string, ingested_at timestamp")
-PAGE = _struct("doc_id string, page_number int, text string, tables array<string>, headings array<string>, char_count int, text_quality double")
-BLOCK = _struct("doc_id string, page_number int, page_width double, page_height double, x0 double, y0 double, x1 double, y1 double, text string, font_sizes array<double>, has_bold_span boolean")
-GRID = _struct("doc_id string, page_number int, grid array<array<string>>")
-WARNING = _struct("page_number int, kind string, message string")
-CHUNK = _struct("chunk_id string, doc_id string, text string, chunk_type string, page_start int, page_end int, section_heading string, subheading string, token_count int, text_quality double, chunk_index int")
-PAYLOAD = _struct("chunk_id string, doc_id string, source_file string, page_start int, page_end int, section_heading string, subheading string, chunk_type string, text string, token_count int, text_quality double, embedding_model string")
-POINT = _struct(f"id string, vector array<float>, payload struct<{', '.join(f'{f.name}: {f.dataType.simpleString()}' for f in PAYLOAD)}>")
-HIT = _struct("query_id string, chunk_id string, doc_id string, source_file string, page_start int, page_end int, section_heading string, subheading string, chunk_type string, text string, score double, rank int, retriever string")
-GOLD = _struct("query_id string, query string, relevant_chunk_ids array<string>, note string")
-EVIDENCE_RESPONSE = _struct("status string, selections array<struct<evidence_id: string, quote: string>>")
+
+DOCUMENT = _struct(doc_id=STRING, source_path=STRING, title=STRING, num_pages=INT, file_hash=STRING, ingested_at=TIME)
+PAGE = _struct(doc_id=STRING, page_number=INT, text=STRING, tables=STRINGS, headings=STRINGS, char_count=INT, text_quality=DOUBLE)
+BLOCK = _struct(doc_id=STRING, page_number=INT, page_width=DOUBLE, page_height=DOUBLE, x0=DOUBLE, y0=DOUBLE, x1=DOUBLE, y1=DOUBLE, text=STRING, font_sizes=DOUBLES, has_bold_span=BOOLEAN)
+GRID = _struct(doc_id=STRING, page_number=INT, grid=T.ArrayType(STRINGS))
+WARNING = _struct(page_number=INT, kind=STRING, message=STRING)
+CHUNK = _struct(chunk_id=STRING, doc_id=STRING, text=STRING, chunk_type=STRING, page_start=INT, page_end=INT, section_heading=STRING, subheading=STRING, token_count=INT, text_quality=DOUBLE, chunk_index=INT)
+PAYLOAD = _struct(chunk_id=STRING, doc_id=STRING, source_file=STRING, page_start=INT, page_end=INT, section_heading=STRING, subheading=STRING, chunk_type=STRING, text=STRING, token_count=INT, text_quality=DOUBLE, embedding_model=STRING)
+POINT = _struct(id=STRING, vector=T.ArrayType(T.FloatType()), payload=PAYLOAD)
+HIT = _struct(query_id=STRING, chunk_id=STRING, doc_id=STRING, source_file=STRING, page_start=INT, page_end=INT, section_heading=STRING, subheading=STRING, chunk_type=STRING, text=STRING, score=DOUBLE, rank=INT, retriever=STRING)
+GOLD = _struct(query_id=STRING, query=STRING, relevant_chunk_ids=STRINGS, note=STRING)
+EVIDENCE_RESPONSE = _struct(status=STRING, selections=T.ArrayType(_struct(evidence_id=STRING, quote=STRING)))
