@@ -13,7 +13,7 @@ LOW_QUALITY = 0.9
 
 # Legal suffixes, table labels, section markers and year ranges that decide which headings count.
 TABLE_LABEL = r",$|^\d{4}(\s+\d{4})+\s+\(|Data:$|\d{4} and \d{4}$|^\s*\(|^Years ended |^As of "
-COMPANY = r"(?i)\b(INC\.?|CORP\.?|CORPORATION|LLC\.?|LTD\.?|LIMITED|CO\.?|COMPANY)\.?$|\bAND\s+SUBSIDIARIES\.?$"
+COMPANY = r"(?i)(?<![\p{L}\p{N}_])(INC\.?|CORP\.?|CORPORATION|LLC\.?|LTD\.?|LIMITED|CO\.?|COMPANY)\.?$|(?<![\p{L}\p{N}_])AND\s+SUBSIDIARIES\.?$"
 ITEM = r"(?i)^ITEM\s+\d+[A-C]?\.\s*\S"
 MARKERS = ("REPORT OF INDEPENDENT REGISTERED PUBLIC ACCOUNTING FIRM", "INDEX TO CONSOLIDATED FINANCIAL STATEMENTS", "SIGNATURES", "PART I", "PART II", "PART III", "PART IV")
 YEAR_RANGE = r"^\d{4}\s*(?:[-–]\s*\d{4})?\s*$|^\d{4}\s+and\s+\d{4}$|Years ended |As of |\(.*\)"

@@ -124,7 +124,7 @@ _HEADS = f"""h AS (SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN 'Item ' || (doc_id
     WHEN 6 THEN ['REPORT OF INDEPENDENT REGISTERED PUBLIC ACCOUNTING FIRM', 'INDEX TO CONSOLIDATED FINANCIAL STATEMENTS', 'SIGNATURES', 'PART I', 'PART II', 'PART III', 'PART IV'][doc_id % 7 + 1] ELSE {_HEAD} END AS h FROM documents),
     t AS (SELECT doc_id, {_strip("h")} AS s FROM h),
     f AS (SELECT *, regexp_matches(s, ',$|^\\d{{4}}(\\s+\\d{{4}})+\\s+\\(|Data:$|\\d{{4}} and \\d{{4}}$|^\\s*\\(|^Years ended |^As of ') AS label,
-        regexp_matches(s, '(?i)\\b(INC\\.?|CORP\\.?|CORPORATION|LLC\\.?|LTD\\.?|LIMITED|CO\\.?|COMPANY)\\.?$|\\bAND\\s+SUBSIDIARIES\\.?$') AS company,
+        regexp_matches(s, '(?i)(^|[^\\p{{L}}\\p{{N}}_])(INC\\.?|CORP\\.?|CORPORATION|LLC\\.?|LTD\\.?|LIMITED|CO\\.?|COMPANY)\\.?$|(^|[^\\p{{L}}\\p{{N}}_])AND\\s+SUBSIDIARIES\\.?$') AS company,
         regexp_matches(s, '(?i)^ITEM\\s+\\d+[A-C]?\\.\\s*\\S') AS item,
         upper(s) IN ('REPORT OF INDEPENDENT REGISTERED PUBLIC ACCOUNTING FIRM', 'INDEX TO CONSOLIDATED FINANCIAL STATEMENTS', 'SIGNATURES', 'PART I', 'PART II', 'PART III', 'PART IV') AS marker FROM t)"""
 
