@@ -36,7 +36,7 @@ SKETCH_BITS = 18
 BROADCAST_ROWS = 1 << 17
 
 #: Partners of a centre that are verified in one run.
-PART = 512
+PART = 64
 
 
 def set_identity(s: np.ndarray) -> tuple[int, int]:

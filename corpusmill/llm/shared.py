@@ -25,9 +25,23 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/corpusmill/{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/corpusmill/{name}-{uuid.uuid4().hex}"
+    return f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all tables that operators of this application wrote to the shared folder; results not yet stored elsewhere go with them."""
+    _delete(spark, _own_folder(spark))
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -44,9 +58,7 @@ def discard(df: DataFrame) -> None:
     """Delete the files of a table made by materialize(), once nothing will read it again."""
     path = getattr(df, "_corpusmill_path", None)
     if path:
-        spark = df.sparkSession
-        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        _delete(df.sparkSession, path)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -670,3 +670,29 @@ def test_pipeline_of_awkward_rows(spark, awkward, nothing):
             stage(spark, docs, SF).write.parquet(path)
             docs = spark.read.parquet(path)
         assert (docs.count() > 0) is (start is awkward)
+
+
+# --- SQL -------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_query_equals_sql(spark, name):
+    import duckdb
+
+    c = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    df = queries.queries()[name](spark, SF)
+    want = c.sql(queries.oracle_sql()[name])
+    assert want.columns == df.columns
+    assert sorted(want.fetchall()) == sorted(map(tuple, df.collect()))
+
+
+def test_release(spark):
+    from corpusmill.llm import shared
+
+    path = shared.new_path(spark, "x")
+    spark.range(3).write.parquet(path)
+    shared.release(spark)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path).count()
