@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as X
+from corpusmill.operators.embed import token_stats
 
 
 def chunk_summary(chunks: DataFrame) -> DataFrame:
@@ -47,6 +48,20 @@ def page_quality(pages: DataFrame) -> DataFrame:
     return pages.groupBy("doc_id").agg(F.count("*").alias("pages"), F.count_if(F.col("text_quality") < X.LOW_QUALITY).alias("low_quality"))
 
 
+def model_token_summary(chunks: DataFrame, keys: list[str], limit: int = 512) -> DataFrame:
+    """Per key, over text chunks: count, rows over the limit and per cent, interpolated median, nearest-rank 95th and 99th and most of
+    model_tokens, median of token_count, and the median ratio of the two."""
+    rows = chunks.where("chunk_type = 'text'")
+    stats = token_stats(rows, keys, "model_tokens", limit).drop("median", "least")
+    medians = rows.groupBy(*keys).agg(F.expr("percentile(model_tokens, 0.5)").alias("median_model_tokens"), F.expr("percentile(token_count, 0.5)").alias("median_tokens"), F.expr("percentile(case when token_count > 0 then model_tokens / token_count end, 0.5)").alias("median_ratio"))
+    return stats.join(medians, keys)
+
+
+def index_run_totals(runs: DataFrame) -> DataFrame:
+    """Sums over the sync counts of a run's documents."""
+    return runs.agg(F.count("*").alias("documents"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("upserted", "deleted", "skipped", "payload_updated")))
+
+
 def ingestion_totals(records: DataFrame) -> DataFrame:
     """One row of totals. records: status, pages (array of page structs), warnings (array)."""
     done = F.col("status") == "processed"

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as X
-from corpusmill.operators import chunking, embed, evaluate, evidence, headings, index, layout, reports, retrieval
+from corpusmill.operators import chunking, embed, evaluate, evidence, headings, index, layout, reports, retrieval, service
 from corpusmill.sources import files
 from corpusmill.streaming import incremental
 
@@ -432,6 +432,29 @@ def turn_chunks(spark: SparkSession, d: str) -> DataFrame:
     return c.select(F.concat_ws("-", "conv_id", "turn").alias("chunk_id"), F.col("conv_id").cast("string").alias("doc_id"), "text", F.when(F.col("turn") % 3 == 0, "table").otherwise("text").alias("chunk_type"), F.col("turn").cast("int").alias("page_start"), F.col("turn").cast("int").alias("page_end"), F.when(F.length("text") % 4 == 0, None).otherwise(F.col("role")).alias("section_heading"), X.token_count(F.col("text")).alias("token_count"), F.col("turn").cast("int").alias("chunk_index"))
 
 
+@query
+def model_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Terms as model tokens against the estimate, by language and source."""
+    rows = corpus(spark, d).withColumn("model_tokens", F.size(X.terms(F.col("text"))))
+    out = reports.model_token_summary(rows, ["lang", "doc_id"], 400)
+    return out.select("lang", "doc_id", "n", "n_over", F.round("percent_over", 6).alias("percent_over"), "median_model_tokens", "p95", "p99", "most", "median_tokens", F.round("median_ratio", 6).alias("median_ratio"))
+
+
+@query
+def index_run_totals(spark: SparkSession, d: str) -> DataFrame:
+    actions = index.sync_actions(*index_sides(spark, d), SIDE_FIELDS)
+    per_doc = actions.groupBy("doc_id").agg(*(F.count_if(F.col("action") == a).alias(n) for a, n in (("upsert", "upserted"), ("delete", "deleted"), ("patch", "payload_updated"))), F.count_if(F.col("action").isin("patch", "keep")).alias("skipped"))
+    return reports.index_run_totals(per_doc)
+
+
+@query
+def document_states(spark: SparkSession, d: str) -> DataFrame:
+    """Users' events in the role of document events."""
+    names = ["accept", "start", "parsed", "indexed", "error", "delete", "erased", "interrupted"]
+    e = table(spark, d, "events").select(F.col("user_id").cast("string").alias("doc_id"), F.col("event_id").alias("seq"), F.element_at(F.array(*map(F.lit, names)), (F.col("event_id") % 8 + 1).cast("int")).alias("event"))
+    return service.document_states(e)
+
+
 @query
 def heading_coverage(spark: SparkSession, d: str) -> DataFrame:
     return reports.heading_coverage(turn_chunks(spark, d))

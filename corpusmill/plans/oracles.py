@@ -225,6 +225,10 @@ ORACLES: dict[str, str] = {
     "chunk_summary": f"""WITH x AS (SELECT source AS doc_id, CAST(greatest(1, length(text) // 4) AS INTEGER) AS n_tok, doc_id % 9 <> 0 AS is_text, text AS x FROM documents), y AS (SELECT *, is_text AND {_MID} AS mid FROM x),
         z AS (SELECT doc_id, count(*) AS n, avg(n_tok) AS m, quantile_cont(n_tok, 0.5) AS med, list_sort(list(n_tok)) AS v, count(*) FILTER (is_text) AS nt, count(*) FILTER (mid) AS nm FROM y GROUP BY GROUPING SETS ((doc_id), ()))
         SELECT 'document' AS strategy, doc_id, n, round(m, 6) AS mean_tokens, CAST(med AS DOUBLE) AS median_tokens, v[CAST(floor(n * 0.95) AS BIGINT) + 1] AS p95_tokens, round(CASE WHEN nt > 0 THEN nm / nt ELSE 0 END, 6) AS mid_share, n - nt AS n_tables FROM z""",
+    "model_tokens": rf"""WITH x AS (SELECT lang, source AS doc_id, CAST(len(regexp_extract_all(lower(text), '{WORD}')) AS INTEGER) AS m, CAST(greatest(1, length(text) // 4) AS INTEGER) AS t FROM documents),
+        y AS (SELECT lang, doc_id, count(*) AS n, count(*) FILTER (m > 400) AS n_over, quantile_cont(m, 0.5) AS mm, list_sort(list(m)) AS v, quantile_cont(t, 0.5) AS mt, quantile_cont(m / t, 0.5) AS mr FROM x GROUP BY 1, 2)
+        SELECT lang, doc_id, n, n_over, round(100 * n_over / n, 6) AS percent_over, CAST(mm AS DOUBLE) AS median_model_tokens, v[CAST(floor(n * 0.95) AS BIGINT) + 1] AS p95, v[CAST(floor(n * 0.99) AS BIGINT) + 1] AS p99, v[len(v)] AS most, CAST(mt AS DOUBLE) AS median_tokens, round(mr, 6) AS median_ratio FROM y""",
+    "index_run_totals": f"WITH {_SIDES} SELECT count(DISTINCT doc_id) AS documents, count(*) FILTER (action = 'upsert') AS upserted, count(*) FILTER (action = 'delete') AS deleted, count(*) FILTER (action IN ('patch', 'keep')) AS skipped, count(*) FILTER (action = 'patch') AS payload_updated FROM ac",
     "heading_coverage": """SELECT CAST(conv_id AS VARCHAR) AS doc_id, count(*) FILTER (length(text) % 4 <> 0) AS with_heading, count(*) FILTER (length(text) % 4 = 0) AS without_heading FROM conversations GROUP BY 1""",
     "top_headings": """WITH x AS (SELECT CAST(conv_id AS VARCHAR) AS doc_id, role AS heading, count(*) AS n, CAST(min(turn) AS INTEGER) AS first_page, CAST(max(turn) AS INTEGER) AS last_page FROM conversations WHERE length(text) % 4 <> 0 GROUP BY 1, 2),
         y AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first_page, heading) AS INTEGER) AS place FROM x) SELECT * FROM y WHERE place <= 10""",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as X
+from corpusmill.operators import layout
 from corpusmill.schemas import BLOCK, CHUNK, PAGE
 
 PDF_SIGNATURE = bytes((0x25, 0x50, 0x44, 0x46, 0x2D))
@@ -82,6 +84,48 @@ def read_blocks(files: DataFrame, reader: Callable[[], Reader] = pymupdf_reader)
     return files.select("doc_id", "content").mapInArrow(run, f"{ddl}, status string, error string")
 
 
+GridReader = Callable[[bytes], list[tuple[int, list[list[str | None]]]]]
+
+
+def pdfplumber_grids() -> GridReader:
+    """Ruled tables by the pdfplumber library, where it is installed; lines within three points count as one."""
+    try:
+        import pdfplumber
+    except ImportError as error:
+        raise RuntimeError("pdfplumber is not installed; give read_grids() another reader") from error
+
+    def read(content: bytes) -> list[tuple[int, list[list[str | None]]]]:
+        with pdfplumber.open(io.BytesIO(content)) as pdf:
+            return [(n, grid) for n, page in enumerate(pdf.pages, 1) for grid in page.extract_tables({"snap_tolerance": 3, "join_tolerance": 3})]
+
+    return read
+
+
+def read_grids(files: DataFrame, reader: Callable[[], GridReader] = pdfplumber_grids) -> DataFrame:
+    """doc_id, page_number, grid, error: the tables of every file; a file whose tables cannot be read gives one row with an error, a warning rather than a failure."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = None
+        for batch in batches:
+            for doc, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                try:
+                    read = read or reader()
+                    rows = [(doc, n, grid, None) for n, grid in read(content)]
+                except Exception as error:  # noqa: BLE001  tables that cannot be read are a warning
+                    rows = [(doc, None, None, f"{type(error).__name__}: {error}")]
+                if rows:
+                    types = (pa.string(), pa.int32(), pa.list_(pa.list_(pa.string())), pa.string())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["doc_id", "page_number", "grid", "error"])
+
+    return files.select("doc_id", "content").mapInArrow(run, "doc_id string, page_number int, grid array<array<string>>, error string")
+
+
+def page_tables(grids: DataFrame) -> DataFrame:
+    """doc_id, page_number, tables: the usable grids of each page as Markdown, in a defined order."""
+    good = grids.where(F.col("grid").isNotNull()).where(layout.is_usable_table(F.col("grid"))).select("doc_id", "page_number", layout.markdown(F.col("grid")).alias("markdown"))
+    return good.groupBy("doc_id", "page_number").agg(F.array_sort(F.collect_list("markdown")).alias("tables"))
+
+
 def html_pages(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """Web pages as schemas.PAGE: first-level headings, the text of paragraphs and list items; navigation and footers are edges and go."""
     body = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<(nav|footer|script|style|head)\b[^>]*>.*?</\1>", " ")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import text as X
 from corpusmill.functions.packing import Packer, QuarterTokens
-from corpusmill.operators import chunking, embed, evaluate, evidence, headings, index, layout, retrieval
+from corpusmill.operators import chunking, embed, evaluate, evidence, headings, index, layout, reports, retrieval, service
 from corpusmill.sources import files
 from corpusmill.streaming import incremental
 
@@ -326,3 +326,83 @@ def test_streaming_sync(spark, tmp_path):
     q = stream.writeStream.foreachBatch(step).trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
     q.awaitTermination(120)
     assert {r["id"] for r in state["points"].collect()} == {"1", "2"}
+
+
+PAYLOAD = "chunk_id string, doc_id string, source_file string, page_start int, page_end int, section_heading string, subheading string, chunk_type string, text string"
+
+
+@pytest.fixture(scope="module")
+def points(spark):
+    rows = [("c1", "d", "a.pdf", 1, 2, "Revenue", None, "text", "apple banana revenue rose"), ("c2", "d", "a.pdf", 3, 3, None, None, "text", "banana cherry costs fell"), ("c3", "e", "b.pdf", 1, 1, "", None, "table", "durian")]
+    return spark.createDataFrame(rows, PAYLOAD).withColumn("vector", embed.hash_embedding(F.col("text")))
+
+
+def test_retrieve_by_strategy(spark, points):
+    q = ask(spark, " banana ").withColumn("vector", embed.hash_embedding(F.col("query")))
+    for strategy in service.RETRIEVERS:
+        hits = service.retrieve(q, points, service.Request(strategy, top_k=2)).orderBy("rank").collect()
+        assert [h["rank"] for h in hits] == [1, 2] and {h["retriever"] for h in hits} == {strategy}
+    hits = service.retrieve(q, points, service.Request("bm25", top_k=1, rerank=True)).collect()
+    assert len(hits) == 1 and hits[0]["retriever"] == "reranked"
+    assert service.retrieve(q, points, service.Request("bm25", chunk_type="table")).count() == 0
+    with pytest.raises(ValueError, match="strategy"):
+        service.Request("other")
+    with pytest.raises(ValueError, match="candidates"):
+        service.Request("bm25", top_k=30, rerank=True)
+    with pytest.raises(Exception, match="blank"):
+        service.retrieve(ask(spark, "  "), points).collect()
+
+
+def test_answers(spark, points):
+    import json
+
+    q = ask(spark, "banana revenue", "durian", "nothing here", "cherry")
+    hits = service.retrieve(q, points, service.Request("bm25"))
+
+    def client():
+        def reply(system, user):
+            body = json.loads(user)
+            first = body["evidence"][0]
+            if "durian" in body["question"]:
+                return json.dumps({"status": "insufficient_evidence", "selections": []})
+            quote = "not in it" if "cherry" in body["question"] else first["text"][:5]
+            return json.dumps({"status": "answered", "selections": [{"evidence_id": first["evidence_id"], "quote": quote}]})
+
+        return reply
+
+    got = {r["query_id"]: r for r in service.answer(q, hits, client).collect()}
+    assert got["0"]["status"] == "answered" and got["0"]["answer"] == 'The retrieved documents state:\n\n"apple" [a.pdf, pp. 1-2, Revenue]'
+    assert (got["1"]["status"], got["1"]["reason"]) == ("insufficient_evidence", "model_abstained")
+    assert (got["2"]["status"], got["2"]["reason"]) == ("insufficient_evidence", "no_evidence")
+    assert (got["3"]["status"], got["3"]["answer"]) == ("invalid_response", None)
+
+
+def test_document_states(spark):
+    def log(doc, *events):
+        return [(doc, k, e) for k, e in enumerate(events)]
+
+    rows = [*log("a", "accept", "start", "parsed", "indexed"), *log("b", "accept", "accept", "start", "error", "accept"), *log("c", "accept", "delete", "indexed"), *log("d", "accept", "start", "parsed", "uncertain"), *log("e", "indexed")]
+    got = {r["doc_id"]: (r["status"], r["readable"]) for r in service.document_states(spark.createDataFrame(rows, "doc_id string, seq int, event string")).collect()}
+    assert got == {"a": ("ready", True), "b": ("queued", True), "c": ("deleting", False), "d": ("cleanup_required", False), "e": ("none", True)}
+
+
+def test_grids_become_page_tables(spark):
+    content = spark.createDataFrame([("d", bytearray(b"x")), ("e", bytearray(b"bad"))], "doc_id string, content binary")
+
+    def reader():
+        def read(data):
+            if data == b"bad":
+                raise ValueError("no tables")
+            return [(1, [["a", "b"], ["c", None]]), (1, [["prose"]])]
+
+        return read
+
+    grids = files.read_grids(content, reader)
+    assert grids.where("error is not null").select("doc_id").first()[0] == "e"
+    assert files.page_tables(grids).first()["tables"] == ["| a | b |\n| --- | --- |\n| c |  |"]
+
+
+def test_model_token_summary(spark):
+    rows = spark.createDataFrame([("d", "text", 10, 12), ("d", "text", 20, 18), ("d", "table", 1, 900)], "doc_id string, chunk_type string, token_count int, model_tokens int")
+    got = reports.model_token_summary(rows, ["doc_id"], 15).first()
+    assert (got["n"], got["n_over"], got["median_model_tokens"], got["median_ratio"]) == (2, 1, 15.0, pytest.approx(1.05))
