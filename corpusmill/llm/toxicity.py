@@ -80,17 +80,24 @@ class Model:
         return out
 
     def evidence(self, h: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Per text: mean ratio, log of the strong positive part, the same by length."""
+        """Per text: mean ratio, log of what strong expressions carry, and the same by length.
+
+        A strong word counts by the logarithm of how often it stands in the text, so that a text which only repeats itself gains little.
+        """
         r = self.ratios(h, at)
         n = np.diff(at)
-
-        def sums(x: np.ndarray) -> np.ndarray:
-            c = np.r_[0.0, np.cumsum(x)]
-            return c[at[1:]] - c[at[:-1]]
-
-        strong = sums(np.maximum(r - STRONG, 0))
+        c = np.r_[0.0, np.cumsum(r)]
         size = np.maximum(n, 1)
-        return np.stack([sums(r) / size, np.log1p(strong), 100 * strong / (size + 50.0)], 1)
+        strong = np.zeros(len(n))
+        k = np.flatnonzero(r > STRONG)
+        if len(k):
+            text = np.searchsorted(at, k, "right") - 1
+            order = np.lexsort((h[k], text))
+            k, text = k[order], text[order]
+            first = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (h[k][1:] != h[k][:-1])])
+            many = np.diff(np.r_[first, len(k)])
+            np.add.at(strong, text[first], np.maximum.reduceat(r[k] - STRONG, first) * np.log2(1 + many))
+        return np.stack([(c[at[1:]] - c[at[:-1]]) / size, np.log1p(strong), 100 * strong / (size + 50.0)], 1)
 
     def score(self, evidence: np.ndarray) -> np.ndarray:
         z = self.weights[0] + evidence @ self.weights[1:]
