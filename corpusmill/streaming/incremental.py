@@ -9,23 +9,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from corpusmill.operators.index import synchronise
+from corpusmill.operators.index import FIELDS, synchronise
 
 
-def sync_stream(chunks: DataFrame, load: Callable[[], DataFrame], store: Callable[[DataFrame], None], embed, checkpoint: str) -> StreamingQuery:
+def sync_stream(chunks: DataFrame, load: Callable[[], DataFrame], store: Callable[[DataFrame], None], embed, checkpoint: str, fields: list[str] = FIELDS, **trigger) -> StreamingQuery:
     """Keep an index in step with a stream of chunk payloads: each micro-batch replaces the documents it holds.
 
     load returns the stored points, store writes the next state (to another place than load's until it is complete). A batch that is
-    replayed after a failure gives the same state.
+    replayed after a failure gives the same state. trigger: as for DataStreamWriter.trigger.
     """
 
     def step(batch: DataFrame, _: int) -> None:
         stored = load()
         touched = batch.select("doc_id").distinct()
         rest = stored.join(touched, "doc_id", "left_anti")
-        store(rest.unionByName(synchronise(batch, stored.join(touched, "doc_id", "left_semi"), embed).select(rest.columns)))
+        fresh = synchronise(batch, stored.join(touched, "doc_id", "left_semi"), embed, fields)
+        store(rest.unionByName(fresh.select(rest.columns)))
 
-    return chunks.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).start()
+    writer = chunks.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+    return (writer.trigger(**trigger) if trigger else writer).start()
 
 
 def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:

@@ -315,15 +315,7 @@ def test_streaming_sync(spark, tmp_path):
         state["points"] = spark.read.parquet(str(tmp_path / "out"))
 
     stream = spark.readStream.schema(fields).parquet(str(tmp_path / "in"))
-
-    def step(batch, n):
-        from corpusmill.operators.index import synchronise
-
-        touched = batch.select("doc_id").distinct()
-        rest = state["points"].join(touched, "doc_id", "left_anti").select("id", "doc_id", "text", "vector")
-        store(rest.unionByName(synchronise(batch, state["points"], lambda t: embed.hash_embedding(t)).select("id", "doc_id", "text", "vector")))
-
-    q = stream.writeStream.foreachBatch(step).trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
+    q = incremental.sync_stream(stream, lambda: state["points"], store, embed.hash_embedding, str(tmp_path / "cp"), ["text"], availableNow=True)
     q.awaitTermination(120)
     assert {r["id"] for r in state["points"].collect()} == {"1", "2"}
 
