@@ -35,15 +35,17 @@ def _count(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
             n_tokens = np.zeros(len(column), np.int64)
             rows: list[int] = []
             texts: list[str] = []
-            held = 0
+            held = 0.0
             for k, value in enumerate(column):
-                for part in pieces(value.as_py() or "", PIECE) if cut else [value.as_py() or ""]:
+                text = value.as_py() or ""
+                wide = n_bytes[k] / max(len(text), 1)  # bytes a character
+                for part in pieces(text, PIECE) if cut else [text]:
                     rows.append(k)
                     texts.append(part)
-                    held += len(part)
+                    held += wide * len(part)
                     if held >= BATCH:
                         np.add.at(n_tokens, rows, lengths(texts))
-                        rows, texts, held = [], [], 0
+                        rows, texts, held = [], [], 0.0
             if texts:
                 np.add.at(n_tokens, rows, lengths(texts))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_bytes), pa.array(n_tokens)], names=["key", "n_bytes", "n_tokens"])
