@@ -194,9 +194,16 @@ def ngram_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", size
     reps = sets.groupBy(F.col("s1").alias("cls")).agg(F.min("rep").alias("rep"))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """a, b, linked for pairs (a, b): the texts of a's partners go to a's group, those of a large group in parts of about PART."""
-        groups = pairs.groupBy("a").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
-        partners = pairs.join(groups, "a").select(F.col("a").alias("group"), F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("salt"), F.lit(1).alias("role"), F.col("b").alias("cls"))
+        """a, b, linked for the pairs. Of a pair, the class in more pairs is the centre: its text goes to its partners' group once, theirs to
+        each centre; a group of many partners is verified in parts of about PART."""
+        degree = materialize(pairs.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("deg")), "degree")
+        small = F.broadcast if degree.count() <= BROADCAST_ROWS else (lambda df: df)  # one row a class; its size is known here
+        weigh = lambda side: small(degree.select(F.col("cls").alias(side), F.struct("deg", "cls").alias(f"w{side}")))
+        sided = pairs.join(weigh("a"), "a").join(weigh("b"), "b")
+        ahead = F.col("wa") > F.col("wb")
+        sided = materialize(sided.select(F.when(ahead, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(ahead, F.col("b")).otherwise(F.col("a")).alias("b")), "sided")
+        groups = small(materialize(sided.groupBy("a").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")), "centres"))
+        partners = sided.join(groups, "a").select(F.col("a").alias("group"), F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("salt"), F.lit(1).alias("role"), F.col("b").alias("cls"))
         centres = groups.select(F.col("a").alias("group"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("a").alias("cls"))
         routes = materialize(partners.union(centres).join(reps, "cls").select("group", "salt", "role", "cls", "rep"), "routes")
         few = routes.count() <= BROADCAST_ROWS  # its size is known here; beyond the bound the join shuffles
