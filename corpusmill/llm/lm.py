@@ -28,13 +28,13 @@ N_HEAD = HEAD // CLASS
 #: Word counts held in every worker: at most so many, 16 bytes each. Steps of a window in training and in scoring; widest batch.
 LOCAL, WINDOW, SPAN, LANES = 1 << 18, 20, 32, 512
 #: Tokens taken together in a worker.
-CHUNK = 1 << 21
+CHUNK = 5 << 18
 END = int(mix(np.array([0x5EED], np.uint64))[0])
-RATE = 0.01
+RATE = 0.016
 
 
 def tail_class(ends: np.ndarray) -> np.ndarray:
-    return (mix(ends.astype(np.uint64) + np.uint64(77)) % np.uint64(TAILS)).astype(np.int64)
+    return (mix(ends.astype(np.uint64) + np.uint64(77)) % np.uint64(TAILS)).astype(np.int32)
 
 
 @dataclass
@@ -50,14 +50,14 @@ class Vocabulary:
 
     def prepare(self) -> None:
         self.lookup = Lookup(self.keys)
-        self.rank = np.full(len(self.keys) + 1, -1)
+        self.rank = np.full(len(self.keys) + 1, -1, np.int32)
         self.rank[self.head] = np.arange(len(self.head))
 
     def ids(self, h: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Input ids (head rank, or HEAD + tail class) and counts (-1: not in the table) of words."""
         at = self.lookup.find(h)
         rank = np.where(at >= 0, self.rank[at], -1)
-        return np.where(rank >= 0, rank, HEAD + tail_class(ends)), np.where(at >= 0, self.counts[at], -1)
+        return np.where(rank >= 0, rank, HEAD + tail_class(ends)).astype(np.int32), np.where(at >= 0, self.counts[at], -1)
 
 
 #: Input ids: head words, tail classes, start of text. Output classes: head classes, tail classes, end.
@@ -208,7 +208,7 @@ class Trainer:
     def run(self, ids: np.ndarray, target: np.ndarray, fresh: np.ndarray) -> None:
         """One pass over a stream: inputs, targets, and where texts start."""
         n = len(ids)
-        lanes = int(np.clip(n // 4000, 8, LANES))
+        lanes = int(np.clip(n // 2500, 8, LANES))
         length = -(-n // lanes)
         length = -(-length // WINDOW) * WINDOW
         pad = lanes * length - n
@@ -374,12 +374,10 @@ def _score(shared, flat: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Ite
             value = np.where(counts >= 0, np.log10(np.maximum(counts, 0) + 0.5), 0.0)  # of words outside the table the join adds it
             per_token = np.full(len(target), np.log10(v.end_count + 0.5))
             per_token[inside] = value
-            is_tail = np.zeros(len(target), bool)
-            is_tail[inside] = target[inside] >= HEAD
             logs[inside] += np.where(target[inside] >= HEAD, value - tail_log[tail_class(tails)], 0)
-            known = np.full(len(target), int(v.end_count > 0))
+            known = np.full(len(target), v.end_count > 0)
             known[inside] = counts > 0
-            base, score, seen = (np.add.reduceat(x, at[:-1]) for x in (per_token, logs, known))
+            base, score, seen = (np.add.reduceat(x, at[:-1], dtype=kind) for x, kind in ((per_token, float), (logs, float), (known, np.int64)))
             n = np.diff(at)
             yield pa.RecordBatch.from_arrays([pa.array(rows.astype(np.int64)), pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.int32()), pa.array(n.astype(np.int64)), pa.array(seen.astype(np.int64)), pa.array(base), pa.array(score)], names=names)
             text = np.repeat(np.arange(len(n)), n - 1)
