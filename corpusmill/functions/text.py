@@ -94,6 +94,11 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
 
 
+def term_count(text: Column) -> Column:
+    """Number of terms()."""
+    return F.regexp_count(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"))
+
+
 def ends_mid_sentence(text: Column) -> Column:
     """True unless the text, without closing quotes and brackets, ends in . ! or ?; blank text is complete, closers alone are not."""
     bare = F.regexp_replace(text, r"[\s\"'”’)\]}]+$", "")

@@ -57,7 +57,8 @@ def bm25(queries: DataFrame, index: DataFrame, top_k: int = 5, min_score: float
     validate_top_k(top_k)
     index = filtered(index, **equal)
     lists = index.select("chunk_id", X.terms(F.coalesce("text", F.lit(""))).alias("terms"))
-    stats = lists.agg(F.count("*").alias("total"), F.avg(F.size("terms")).alias("mean"))
+    # lengths are counted without building the arrays again
+    stats = index.select(X.term_count(F.coalesce("text", F.lit(""))).alias("length")).agg(F.count("*").alias("total"), F.avg("length").alias("mean"))
     wanted = queries.select("query_id", F.explode(F.array_distinct(X.terms(F.coalesce("query", F.lit(""))))).alias("term"))
     tokens = lists.select("chunk_id", F.size("terms").alias("length"), F.explode("terms").alias("term"))
     # only the queries' terms are counted
