@@ -2,9 +2,9 @@
 
 Tokens are runs of non-space characters, tagged begin, inside or outside from their shape, their neighbours' words and figures of the
 whole text. The weights are fitted by gradient ascent on the conditional log-likelihood of seeded, generated sequences, a bounded number
-of them, so they do not depend on the corpus. Decoding is Viterbi's. A plain word (letters and punctuation) is outside on every best path:
-after fitting, its weight for outside is set above all that its surroundings and two transitions can add for another tag. So the chain
-falls apart at plain words, and decoding the runs around the other tokens gives what decoding every token gives.
+of them, so they do not depend on the corpus. Decoding is Viterbi's, of every token of a text. Most tokens are seen to be outside on every
+best path by bounds on what the tokens before and after them can add for another tag; there the chain falls apart, and only the runs
+between them are decoded step by step, which gives what decoding the whole chain gives.
 """
 
 from __future__ import annotations
@@ -34,10 +34,15 @@ DULL = frozenset(("commit", "sha", "sha256", "md5", "revision", "hash", "version
 
 FEATURES = (
     "bias", "plain", "len4", "len8", "len16", "len24", "len40", "digits", "lower_upper_digit", "lower_digit", "upper_digit", "hex", "base64", "diverse", "assign", "assign_lure", "url", "email", "numeric", "dash_block",
-    "known_prefix", "prev_lure", "prev2_lure", "prev_dull", "next_lure", "prev_plain", "next_plain", "prev_dash", "next_dash", "doc_dense", "doc_base", "doc_plain",
+    "known_prefix", "letters_cased", "letters_dashed", "told", "prev_lure", "prev2_lure", "prev_dull", "next_lure", "prev_plain", "next_plain", "prev_dash", "next_dash", "doc_dense", "doc_base", "doc_plain",
 )
 _AT = {f: k for k, f in enumerate(FEATURES)}
 _EDGE = "\"'`,;:.!?()[]{}<>"
+_CASED = re.compile(r"[^\W\d_]*[a-z][A-Z]")
+_DASHED = re.compile(r"\w+(-\w+){2,}")
+_LENGTHS = (("len4", 4), ("len8", 8), ("len16", 16), ("len24", 24), ("len40", 40))
+#: Words that stand between a lure and what it names.
+_LINKS = frozenset(("is", "was", ":", "=", "ist", "lautet", "est", "es"))
 _PREFIX = re.compile(r"(AKIA|ASIA)[A-Z0-9]{12,}|gh[pousr]_\w{20,}|sk[-_]\w{16,}|eyJ[\w-]{10,}|xox[abps]-|AIza[\w-]{20,}|glpat-")
 _B64 = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
 _HEXED = re.compile(r"[0-9a-fA-F]{16,}")
@@ -50,7 +55,7 @@ def own(token: str) -> tuple[int, ...]:
     t = token.strip(_EDGE)
     f = ["bias"]
     if t.isalpha() or not t or not re.search(r"[0-9=+/_]|-----", t):
-        f.append("plain")
+        f += ["plain", *(x for x, least in _LENGTHS if len(t) >= least), *["letters_cased"] * bool(_CASED.match(t)), *["letters_dashed"] * bool(_DASHED.fullmatch(t))]
         return tuple(_AT[x] for x in f)
     if m := _VALUE.fullmatch(t):
         f.append("assign")
@@ -58,7 +63,7 @@ def own(token: str) -> tuple[int, ...]:
             f.append("assign_lure")
         t = m[2].strip(_EDGE)
     n = len(t)
-    f += [x for x, least in (("len4", 4), ("len8", 8), ("len16", 16), ("len24", 24), ("len40", 40)) if n >= least]
+    f += [x for x, least in _LENGTHS if n >= least]
     low, up, dig = (any(map(p, t)) for p in (str.islower, str.isupper, str.isdigit))
     if dig:
         f.append("digits")
@@ -72,22 +77,31 @@ def _word(token: str) -> str:
     return token.strip(_EDGE + "=").lower()
 
 
+_LURE, _DULL, _PLAIN, _DASH, _NAMES, _LINK = (1 << k for k in range(6))
+
+
+@lru_cache(1 << 15)
+def marks(token: str) -> int:
+    """What a token tells its neighbours, as bits."""
+    word = _word(token)
+    lure = word in LURES
+    return _LURE * lure | _DULL * (word in DULL) | _PLAIN * (_AT["plain"] in own(token)) | _DASH * ("-----" in token) | _NAMES * (lure and token[-1] in ":=") | _LINK * (token in _LINKS)
+
+
+def _before(last: int, second: int) -> list[int]:
+    """Features that the marks of the token before and of the one before that give."""
+    out = [_AT[x] for x, bit in (("prev_lure", _LURE), ("prev_plain", _PLAIN), ("prev_dash", _DASH), ("prev_dull", _DULL)) if last & bit]
+    return out + [_AT["prev2_lure"]] * bool(second & _LURE) + [_AT["told"]] * bool(last & _NAMES or last & _LINK and second & _LURE)
+
+
+def _after(mark: int) -> list[int]:
+    return [_AT[x] for x, bit in (("next_lure", _LURE), ("next_plain", _PLAIN), ("next_dash", _DASH)) if mark & bit]
+
+
 def described(tokens: list[str], k: int, file: tuple[int, ...]) -> list[int]:
     """Indices of the active features of tokens[k]; file: those of the whole text."""
-    out = [*own(tokens[k]), *file]
-    for at, lure, plain, dash in ((k - 1, "prev_lure", "prev_plain", "prev_dash"), (k + 1, "next_lure", "next_plain", "next_dash")):
-        if 0 <= at < len(tokens):
-            if _word(tokens[at]) in LURES:
-                out.append(_AT[lure])
-            if _AT["plain"] in own(tokens[at]):
-                out.append(_AT[plain])
-            if "-----" in tokens[at]:
-                out.append(_AT[dash])
-    if k > 0 and _word(tokens[k - 1]) in DULL:
-        out.append(_AT["prev_dull"])
-    if k > 1 and _word(tokens[k - 2]) in LURES:
-        out.append(_AT["prev2_lure"])
-    return out
+    last, second = marks(tokens[k - 1]) if k else 0, marks(tokens[k - 2]) if k > 1 else 0
+    return [*own(tokens[k]), *file, *_before(last, second), *(_after(marks(tokens[k + 1])) if k + 1 < len(tokens) else ())]
 
 
 def file_features(n_tokens: int, n_triggers: int, n_base: int) -> tuple[int, ...]:
@@ -107,7 +121,14 @@ def examples(count: int, seed: int = 5) -> list[tuple[list[str], list[int], tupl
         w = rand(letters, 1, 11)
         return r.choice((w, w, w, w.title(), w + ",", w + ".", r.choice(sorted(LURES | DULL))))
 
-    mixed = letters + letters.upper() + digits
+    def camel(a: int, b: int) -> str:
+        return "".join(rand(letters, 3, 8).title() for _ in range(r.randint(a, b)))
+
+    def dashed(a: int, b: int) -> str:
+        return "-".join(rand(letters, 2, 8) for _ in range(r.randint(a, b)))
+
+    cased = letters + letters.upper()
+    mixed = cased + digits
     out = []
     for _ in range(count):
         tokens, labels = [], []
@@ -117,7 +138,7 @@ def examples(count: int, seed: int = 5) -> list[tuple[list[str], list[int], tupl
             labels.extend([label] * len(items))
 
         put(*(word() for _ in range(r.randint(1, 4))))
-        kind = r.randrange(16)
+        kind = r.randrange(22)
         if kind == 0:
             put(r.choice(("password", "passphrase", "pwd", "secret")), r.choice(("is", "was", ":", "=")))
             put(rand(mixed + "_+", 10, 20) + r.choice(digits), label=1)
@@ -131,7 +152,8 @@ def examples(count: int, seed: int = 5) -> list[tuple[list[str], list[int], tupl
         elif kind == 4:
             put("-----BEGIN", "RSA", "PRIVATE", "KEY-----")
             put(rand(mixed + "+/", 48, 64), label=1)
-            put(*(rand(mixed + "+/", 48, 64) for _ in range(r.randint(1, 3))), label=2)
+            put(*(rand(mixed + "+/", 48, 64) for _ in range(r.randint(0, 3))), label=2)
+            put(rand(r.choice((mixed + "+/", cased)), 4, 64), label=2)
             put("-----END", "RSA", "PRIVATE", "KEY-----")
         elif kind == 5:
             put("AKIA" + rand(letters.upper() + digits, 16, 16), label=1)
@@ -149,6 +171,18 @@ def examples(count: int, seed: int = 5) -> list[tuple[list[str], list[int], tupl
             put(rand(letters, 2, 8) + "=" + rand(letters, 2, 8), "/".join(rand(letters, 3, 8) for _ in range(3)), rand(letters, 2, 6) + "_" + rand(letters, 2, 6))
         elif kind == 13:
             put(r.choice(("password", "token", "secret", "key")), word(), word())
+        elif kind == 14:
+            put(*r.choice((("password", "is"), ("passphrase", "was"), ("password:",), ("passphrase:",), ("pwd", "="), ("secret:",), ("secret", ":"))))
+            put(r.choice((camel, dashed))(3, 5) if r.randrange(4) else rand(r.choice((cased, letters)), 16, 40), label=1)
+        elif kind == 15:
+            put(r.choice(("Bearer", "Authorization:", "token:", "key", "token")))
+            put(rand(r.choice((cased, cased, letters)), 24, 60), label=1)
+        elif kind == 16:
+            put(r.choice((camel, dashed))(2, 4), word(), rand(r.choice((cased, letters)), 12, 60))
+        elif kind in (17, 19):
+            put(*r.choice((("password", "is"), ("key", "is"), ("token", "was"), ("password:",), ("passphrase:",), ("pwd", "is"), ("secret", ":"))), rand(letters, 1, 13), *(word() for _ in range(r.randrange(3))))
+        elif kind == 18:
+            put(r.choice(("key", "token", "secret", "password")), r.choice((camel, dashed))(2, 3))
         put(*(word() for _ in range(r.randint(1, 4))))
         out.append((tokens, labels, file_features(r.choice((20, 400)), r.choice((1, 3)), r.randrange(2))))
     return out
@@ -158,26 +192,58 @@ class ChainModel:
     """Emission weights (features x 3) and transition weights (3 x 3) of tags outside, begin, inside."""
 
     def __init__(self, emit: np.ndarray, step: np.ndarray):
-        self.emit, self.step = emit.copy(), step
-        span = float(step.max() - step.min())
-        gain = np.maximum(emit[:, 1], emit[:, 2]) - emit[:, 0]
-        around = [_AT[x] for x in ("prev_lure", "prev2_lure", "prev_dull", "next_lure", "doc_dense", "doc_base", "doc_plain", "prev_plain", "next_plain")]
-        own_gain = max(emit[_AT["bias"], t] + emit[_AT["plain"], t] - emit[_AT["bias"], 0] - emit[_AT["plain"], 0] for t in (1, 2))
-        worst = own_gain + np.maximum(gain[around], 0).sum() + 2 * span
-        #: A plain word is no secret, whatever stands around it: its weight for outside is raised until no path can gain by another tag.
-        self.emit[_AT["plain"], 0] += max(0.0, worst + 1e-6)
-
-    def viterbi(self, active: list[list[int]]) -> list[int]:
-        score, back = self.emit[active[0]].sum(0), []
+        self.emit, self.step = emit, step
+        self.gain = emit[:, 1:] - emit[:, :1]
+        self.room = [max(0.0, (step[:, t] - step[:, 0]).max()) + max(0.0, (step[t] - step[0]).max()) + 1e-6 for t in (1, 2)]
+        bits = range(1 << 6)
+        self.before = np.array([[self.gain[_before(m, n)].sum(0) for n in bits] for m in bits])
+        self.after = np.array([self.gain[_after(m)].sum(0) for m in bits])
+        #: Classes of tokens: own features and marks, numbered as they come; what a class gains by itself, its marks.
+        self.classes: dict[tuple[tuple[int, ...], int], int] = {}
+        self.known = _Classes(self.classes)
+        self.own_gain, self.mark = np.zeros((0, 2)), np.zeros(0, int)
+
+    def viterbi(self, active: list[list[int]], after_outside: bool = False, before_outside: bool = False) -> list[int]:
+        """The best path; after_outside, before_outside: the token before the first, after the last, is outside."""
+        score, back = self.emit[active[0]].sum(0) + self.step[0] * after_outside, []
         for f in active[1:]:
             total = score[:, None] + self.step
             back.append(total.argmax(0))
             score = total.max(0) + self.emit[f].sum(0)
-        path = [int(score.argmax())]
+        path = [int((score + self.step[:, 0] * before_outside).argmax())]
         for b in reversed(back):
             path.append(int(b[path[-1]]))
         return path[::-1]
 
+    def gains(self, kinds: np.ndarray, file: tuple[int, ...]) -> np.ndarray:
+        """(2 x tokens) what tags begin and inside gain over outside by the features alone; kinds: the tokens' classes."""
+        if len(self.mark) < len(self.classes):
+            self.own_gain = np.array([self.gain[list(f)].sum(0) for f, _ in self.classes])
+            self.mark = np.array([m for _, m in self.classes])
+        m = self.mark[kinds]
+        last, second, coming = np.zeros_like(m), np.zeros_like(m), np.zeros_like(m)
+        last[1:], second[2:], coming[:-1] = m[:-1], m[:-2], m[1:]
+        return (self.own_gain[kinds] + self.before[last, second] + self.after[coming] + self.gain[list(file)].sum(0)).T
+
+    def open_tokens(self, gains: np.ndarray) -> np.ndarray:
+        """Positions of the tokens that are not sure to be outside on every best path.
+
+        Whatever tags a path has before and after a token, changing the token's tag to outside loses at most self.room by transitions.
+        """
+        return np.flatnonzero((gains[0] >= -self.room[0]) | (gains[1] >= -self.room[1]))
+
+
+class _Classes(dict):
+    """Token to the number of its class; cleared by the caller when it has grown long."""
+
+    def __init__(self, classes: dict[tuple[tuple[int, ...], int], int]):
+        self.classes = classes
+
+    def __missing__(self, token: str) -> int:
+        kind = (own.__wrapped__(token), marks.__wrapped__(token))
+        self[token] = number = self.classes.setdefault(kind, len(self.classes))
+        return number
+
 
 def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     m = x.max(axis, keepdims=True)
@@ -229,66 +295,51 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def model_spans(text: str, model: ChainModel, base: list[tuple[int, int, int]], whole: bool = False) -> list[tuple[int, int, int]]:
     """Spans the model tags, trimmed of enclosing punctuation, without those that overlap a pattern's span.
 
-    whole: decode every token; otherwise only around tokens that are not plain words, which gives the same spans.
+    whole: decode every token step by step; otherwise only those that bounds leave open, which gives the same spans.
     """
-    hits = list(_TRIGGER.finditer(text))
-    if not hits:
+    tokens = text.split()
+    if not tokens:
         return []
-    n_tokens = text.count(" ") + text.count("\n") + 1
-    file = file_features(n_tokens, len(hits), len(base))
+    hits = sum(1 for _ in _TRIGGER.finditer(text))
+    file = file_features(text.count(" ") + text.count("\n") + 1, hits, len(base))
     if whole:
-        runs = [list(_TOKEN.finditer(text))]
-    else:  # two words of context on either side; runs that meet are one
-        runs, reach = [], -1
-        for h in hits:
-            before = [*_back(text, h.start(), 2)]
-            begin = before[-1][0] if before else h.start()
-            after, at = h.end(), 0
-            for m in _TOKEN.finditer(text, h.end()):
-                after, at = m.end(), at + 1
-                if at == 2:
-                    break
-            if runs and begin <= reach:
-                runs[-1][1] = max(runs[-1][1], after)
-            else:
-                runs.append([begin, after])
-            reach = runs[-1][1]
-        runs = [list(_TOKEN.finditer(text, a, b)) for a, b in runs]
-    out = []
-    for run in runs:
-        tokens = [m[0] for m in run]
-        if not tokens:
-            continue
-        tags = model.viterbi([described(tokens, k, file) for k in range(len(tokens))])
+        runs = [(0, len(tokens))]
+    else:
+        if len(model.known) > 1 << 18:
+            model.known.clear()
+        known = model.known
+        kinds = np.fromiter(map(known.__getitem__, tokens), np.int32, len(tokens))
+        at = model.open_tokens(model.gains(kinds, file))
+        if not len(at):
+            return []
+        cuts = np.flatnonzero(np.diff(at) > 1)
+        runs = list(zip(at[np.r_[0, cuts + 1]].tolist(), (at[np.r_[cuts, len(at) - 1]] + 1).tolist(), strict=True))
+    tagged = []
+    for begin, end in runs:
+        tags = model.viterbi([described(tokens, k, file) for k in range(begin, end)], begin > 0, end < len(tokens))
         k = 0
         while k < len(tags):
             if tags[k]:
                 last = k
                 while last + 1 < len(tags) and tags[last + 1] == 2:
                     last += 1
-                a, b = run[k].start(), run[last].end()
-                if last == k:
-                    body = text[a:b]
-                    a, b = a + len(body) - len(body.lstrip(_EDGE)), b - (len(body) - len(body.rstrip(_EDGE)))
-                if a < b and not any(a < y and x < b for x, y, _ in base):
-                    out.append((a, b, 3))
+                tagged.append((begin + k, begin + last))
                 k = last
             k += 1
+    if not tagged:
+        return []
+    edges = [(m.start(), m.end()) for m in _TOKEN.finditer(text)]
+    out = []
+    for k, last in tagged:
+        a, b = edges[k][0], edges[last][1]
+        if last == k:
+            body = text[a:b]
+            a, b = a + len(body) - len(body.lstrip(_EDGE)), b - (len(body) - len(body.rstrip(_EDGE)))
+        if a < b and not any(a < y and x < b for x, y, _ in base):
+            out.append((a, b, 3))
     return out
 
 
-def _back(text: str, at: int, count: int) -> Iterator[tuple[int, int]]:
-    for _ in range(count):
-        while at > 0 and text[at - 1].isspace():
-            at -= 1
-        if at == 0:
-            return
-        end = at
-        while at > 0 and not text[at - 1].isspace():
-            at -= 1
-        yield at, end
-
-
 def _joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[kind]}:{a}:{b}" for a, b, kind in sorted(spans, key=lambda s: (s[0], s[2])))
 

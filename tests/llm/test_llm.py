@@ -188,6 +188,38 @@ def test_decoding_runs_equals_decoding_everything(model):
         assert secrets.model_spans(text, model, base) == secrets.model_spans(text, model, base, whole=True)
 
 
+def letters_only_secrets():
+    r = random.Random(12)
+
+    def line(n, digits=""):
+        return "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ" + digits) for _ in range(n))
+
+    first, last = line(60, "0123456789+/") + "0+/9", line(30)
+    return [
+        ("my password is CorrectHorseBattery as you know", "CorrectHorseBattery"), ("passphrase: correct-horse-battery-staple", "correct-horse-battery-staple"), (f"the header Bearer {(t := line(40))} ends", t),
+        (f"see -----BEGIN RSA PRIVATE KEY-----\n{first}\n{last}\n-----END RSA PRIVATE KEY----- there", f"{first}\n{last}"),
+    ]
+
+
+def test_secrets_of_letters_only(spark, model):
+    pairs = letters_only_secrets()
+    for text, secret in pairs:
+        for whole in (False, True):
+            assert [text[a:b] for a, b, _ in secrets.model_spans(text, model, secrets.base_spans(text), whole)] == [secret]
+    red = secrets.redact_secrets(spark.createDataFrame(pairs, "text string, secret string"), model=model).collect()
+    assert len(red) == len(pairs) and all(r["secret"] not in r["text"] and "[crf]" in r["text"] for r in red)
+    for text in ["the password is required here", "passphrase: required", "my pwd is unknown", "a state-of-the-art JavaScript feature of Donaudampfschifffahrtsgesellschaft", "the token is parsed by the reader"]:
+        assert secrets.model_spans(text, model, secrets.base_spans(text)) == []
+
+
+def test_decoding_open_tokens_equals_decoding_everything(spark, model):
+    r = random.Random(3)
+    pool = [w for text, _ in letters_only_secrets() for w in text.split()] + ["Bearer", "key", ":", "plain", "Words", "a1b2c3d4e5f6g7h8", "iPhone", "state-of-the-art"]
+    for text in [*(" ".join(r.choice(pool) for _ in range(r.randint(1, 30))) for _ in range(400)), *filter(None, list(texts(spark).values())[:60])]:
+        base = secrets.base_spans(text)
+        assert secrets.model_spans(text, model, base) == secrets.model_spans(text, model, base, whole=True)
+
+
 def test_viterbi_is_the_best_path(model):
     r = random.Random(4)
     for tokens, _, file in secrets.examples(30, seed=5):
