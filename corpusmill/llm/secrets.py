@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import random
 import re
+import string
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -46,6 +47,8 @@ _LINKS = frozenset(("is", "was", ":", "=", "ist", "lautet", "est", "es"))
 _PREFIX = re.compile(r"(AKIA|ASIA)[A-Z0-9]{12,}|gh[pousr]_\w{20,}|sk[-_]\w{16,}|eyJ[\w-]{10,}|xox[abps]-|AIza[\w-]{20,}|glpat-")
 _B64 = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
 _HEXED = re.compile(r"[0-9a-fA-F]{16,}")
+#: The name before the value that a pattern finds, and, of an assignment, the first part of the name.
+_NAME = (re.compile(r"""(?:[A-Za-z_][\w.-]*["']?[=:]["']?)?\Z"""), re.compile(r"""(?:(?<!\S)["']?[A-Za-z_][\w.-]*)?\Z"""))
 _VALUE = re.compile(r"""([A-Za-z_][\w.-]*)["']?[=:]["']?(\S{6,})""")
 
 
@@ -293,7 +296,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def model_spans(text: str, model: ChainModel, base: list[tuple[int, int, int]], whole: bool = False) -> list[tuple[int, int, int]]:
-    """Spans the model tags, trimmed of enclosing punctuation, without those that overlap a pattern's span.
+    """Spans the model tags, trimmed of enclosing punctuation, less the patterns' spans.
 
     whole: decode every token step by step; otherwise only those that bounds leave open, which gives the same spans.
     """
@@ -333,13 +336,37 @@ def model_spans(text: str, model: ChainModel, base: list[tuple[int, int, int]],
     for k, last in tagged:
         a, b = edges[k][0], edges[last][1]
         if last == k:
-            body = text[a:b]
-            a, b = a + len(body) - len(body.lstrip(_EDGE)), b - (len(body) - len(body.rstrip(_EDGE)))
-        if a < b and not any(a < y and x < b for x, y, _ in base):
-            out.append((a, b, 3))
+            a, b = _trimmed(text, a, b, _EDGE)
+        if a < b:
+            out += [(x, y, 3) for x, y in _rest(text, a, b, base)]
     return out
 
 
+def _trimmed(text: str, a: int, b: int, edge: str) -> tuple[int, int]:
+    body = text[a:b]
+    return a + len(body) - len(body.lstrip(edge)), b - (len(body) - len(body.rstrip(edge)))
+
+
+def _rest(text: str, a: int, b: int, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+    """What the patterns' spans leave of text[a:b], trimmed; a name that leads up to a pattern's span within a token is no secret."""
+    at = a
+    for x, y, kind in sorted(s for s in base if a < s[1] and s[0] < b):
+        if at < x:
+            end = x - len(_NAME[kind == 0].search(text, max(at, x - 64), x)[0])
+            yield from _piece(text, at, end)
+        at = max(at, y)
+    if at == a:
+        yield a, b
+    elif at < b:
+        yield from _piece(text, at, b)
+
+
+def _piece(text: str, a: int, b: int) -> Iterator[tuple[int, int]]:
+    a, b = _trimmed(text, a, b, _EDGE + "=" + string.whitespace)
+    if any(map(str.isalnum, text[a:b])):
+        yield a, b
+
+
 def _joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[kind]}:{a}:{b}" for a, b, kind in sorted(spans, key=lambda s: (s[0], s[2])))
 
