@@ -1,10 +1,11 @@
 """Toxicity from two class-conditional Kneser-Ney bigram models.
 
 p(w | class, v) backs off to p(w | class), whose counts are the distinct words before w in the class, and that to a distribution
-shared by both classes, whose counts are the number of classes that know w. So a word that only toxic texts use keeps
-little mass in the ordinary model, and a word that neither has seen often enough says nothing. A text's evidence is its
-log-likelihood ratio, normalised by length, and the part of it that strong expressions carry; a logistic function fitted on other
-labelled rows turns it into a score.
+shared by both classes, whose counts are the number of classes that know w. Every word of the counted texts has its probability, a rare
+one near the shared one, so that it says little. A pair is discounted by DISCOUNT, and one seen fewer than `cutoff` times in both
+classes together by all it has (Katz's cut-off): its mass goes to the backoff, which speaks for it. Words that no counted text holds have
+the shared distribution's part for new words in both classes and say nothing. A text's evidence is its log-likelihood ratio, normalised by
+length, and the part of it that strong expressions carry; a logistic function fitted on other labelled rows turns it into a score.
 """
 
 from __future__ import annotations
@@ -14,14 +15,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusmill.llm.shared import discard, materialize
 from corpusmill.llm.words import PUNCTUATED, Lookup, mix, words
 
-#: Most labelled rows of a class that the counts use, and most rows that the logistic function uses; the least by a hash of the key.
-PER_CLASS, CALIBRATION = 8000, 16000
-DISCOUNT, KEEP_BIGRAM, KEEP_WORD, CLIP, STRONG = 0.75, 4, 3, 5.0, 2.0
+#: Discount of counts, bound of a word's ratio, and the ratio above which an expression is a strong one.
+DISCOUNT, CLIP, STRONG = 0.75, 5.0, 2.0
 #: Weights of the logistic function where there are no rows to fit it on: it turns where strong evidence begins.
 UNFITTED = (-4.0, 4.0, 4.0, 1.0)
 
@@ -50,7 +51,7 @@ def _bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Model:
-    """Probabilities of known words and pairs in the toxic (column 1) and the ordinary (column 0) model."""
+    """Probabilities of all counted words, and of the pairs above the cut-off, in the toxic (column 1) and the ordinary (column 0) model."""
 
     words: np.ndarray
     word_p: np.ndarray
@@ -64,7 +65,7 @@ class Model:
         self.find_word, self.find_context, self.find_pair = Lookup(self.words), Lookup(self.contexts), Lookup(self.pairs)
 
     def ratios(self, h: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Log-likelihood ratio of each word, clipped; 0 for words that the models do not know."""
+        """Log-likelihood ratio of each word, clipped; 0 for words that no counted text holds."""
         v = _before(h, at)
         out, known = np.zeros(len(h)), self.find_word.find(h)
         k = np.flatnonzero(known >= 0)
@@ -121,30 +122,32 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return w
 
 
-def count_model(rows: DataFrame, known: DataFrame) -> Model | None:
-    """The two models from the labelled texts; None where a class has no word. rows: key, body; known: key, y."""
-    count_rows = [known.where(F.col("y") == y).orderBy(F.xxhash64("key"), "key").limit(PER_CLASS) for y in (0, 1)]
-    sample = rows.join(F.broadcast(count_rows[0].union(count_rows[1])), "key")
-    counted = sample.dropDuplicates(["body"]).select("y", "body").mapInArrow(_bigrams, "y int, v long, w long, n long")
-    pairs = counted.groupBy("v", "w").agg(F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("n0"), F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("n1")).persist()
-    by_word = pairs.groupBy("w").agg(F.sum((F.col("n0") > 0).cast("long")).alias("c0"), F.sum((F.col("n1") > 0).cast("long")).alias("c1")).persist()
-    try:
-        totals = by_word.agg(*(F.coalesce(F.sum(x), F.lit(0)) for x in ("c0", "c1")), *(F.coalesce(F.sum((F.col(x) > 0).cast("long")), F.lit(0)) for x in ("c0", "c1"))).first()
-        if not totals[0] or not totals[1]:
-            return None
-        # bounded by the sample: KEEP_WORD contexts a word, KEEP_BIGRAM tokens a pair
-        word_table = by_word.where(F.col("c0") + F.col("c1") >= KEEP_WORD).orderBy("w").toArrow()
-        context = pairs.groupBy("v").agg(F.sum("n0").alias("t0"), F.sum("n1").alias("t1"))
-        kept = pairs.where(F.col("n0") + F.col("n1") >= KEEP_BIGRAM).join(context, "v").orderBy("v", "w").toArrow()
-    finally:
-        pairs.unpersist()
-        by_word.unpersist()
+def count_model(rows: DataFrame, known: DataFrame, per_class: int = 8000, cutoff: int = 4) -> Model | None:
+    """The two models from at most per_class labelled texts a class; None where a class has no word. rows: key, body; known: key, y.
+
+    The texts are the first by a hash of the key. Equal texts count once; with different labels they are toxic.
+    """
+    count_rows = [known.where(F.col("y") == y).orderBy(F.xxhash64("key"), "key").limit(per_class) for y in (0, 1)]
+    sample = rows.join(F.broadcast(count_rows[0].union(count_rows[1])), "key").groupBy("body").agg(F.max("y").alias("y"))  # 2 * per_class rows
+    counted = sample.select("y", "body").mapInArrow(_bigrams, "y int, v long, w long, n long")
+    pairs = counted.groupBy("v", "w").agg(F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("n0"), F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("n1"))
+    pairs = materialize(pairs, "toxic-pairs")
+    by_word = pairs.groupBy("w").agg(F.sum((F.col("n0") > 0).cast("long")).alias("c0"), F.sum((F.col("n1") > 0).cast("long")).alias("c1"))
+    word_table = by_word.orderBy("w").toArrow()  # words of the bounded sample
+    if not word_table.num_rows:
+        discard(pairs)
+        return None
+    context = pairs.groupBy("v").agg(F.sum("n0").alias("t0"), F.sum("n1").alias("t1"))
+    kept = pairs.where(F.col("n0") + F.col("n1") >= cutoff).join(context, "v").orderBy("v", "w").toArrow()
+    discard(pairs)
 
     def two(t: pa.Table, a: str, b: str) -> np.ndarray:
         return np.stack([t.column(a).to_numpy(), t.column(b).to_numpy()], 1).astype(float)
 
-    n_types, tokens = np.array(totals[2:], float), np.array(totals[:2], float)
     c = two(word_table, "c0", "c1")
+    n_types, tokens = (c > 0).sum(0).astype(float), c.sum(0)
+    if not tokens.all():
+        return None
     shared = (c > 0).sum(1, keepdims=True) / n_types.sum()
     word_p = (np.maximum(c - DISCOUNT, 0) + DISCOUNT * n_types * shared) / tokens
     v, w = (kept.column(x).to_numpy().view(np.uint64) for x in ("v", "w"))
@@ -152,25 +155,28 @@ def count_model(rows: DataFrame, known: DataFrame) -> Model | None:
     contexts, group = np.unique(v, return_inverse=True)
     back = np.ones((len(contexts), 2))
     np.subtract.at(back, group, pair_p)
-    return Model(word_table.column("w").to_numpy().view(np.uint64), word_p, contexts, np.maximum(back, 1e-6), _pair(v, w), pair_p, np.array(UNFITTED))
+    half = (x.astype(np.float32) for x in (word_p, np.maximum(back, 1e-6), pair_p))
+    word_p, back, pair_p = half
+    return Model(word_table.column("w").to_numpy().view(np.uint64), word_p, contexts, back, _pair(v, w), pair_p, np.array(UNFITTED))
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = 8000, calibration: int = 16000, cutoff: int = 4) -> Model | None:
     """The models from labelled rows that are not held out; None where a class has no row.
 
-    Counts come from at most PER_CLASS rows of a class, equal texts counted once. The logistic function is fitted on at most
-    CALIBRATION rows whose remainder is 2, scored by a model of the rows whose remainder is 0. A key with several labels has the
-    largest; null labels are no labels.
+    Counts come from at most per_class rows of a class, equal texts counted once. The logistic function is fitted on at most
+    `calibration` rows whose remainder is 2, scored by a model of the rows whose remainder is 0. Both samples are the first rows by a
+    hash of the key. A key with several labels has the largest; null labels are no labels.
     """
     known = labels.select(F.col(key).cast("long").alias("key"), F.col(label).cast("int").alias("y")).where("key is not null and y is not null").groupBy("key").agg(F.max("y").alias("y"))
     rest = F.crc32(F.col("key").cast("string").cast("binary")) % 3
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("body")).where("key is not null and body is not null")
-    model, half = count_model(rows, known.where(rest != 1)), count_model(rows, known.where(rest == 0))
+    model, half = (count_model(rows, known.where(part), per_class, cutoff) for part in (rest != 1, rest == 0))
     if model is None or half is None:
         return model
-    picked = known.where(rest == 2).orderBy(F.xxhash64("key"), "key").limit(CALIBRATION)
+    picked = known.where(rest == 2).orderBy(F.xxhash64("key"), "key").limit(calibration)
     shared = docs.sparkSession.sparkContext.broadcast(half)
     sample = rows.join(F.broadcast(picked), "key").select("y", "body").mapInArrow(_evidence(shared), "key long, e0 double, e1 double, e2 double").toArrow()
+    shared.destroy()
     x, y = np.stack([sample.column(f"e{k}").to_numpy() for k in range(3)], 1), sample.column("key").to_numpy().astype(float)
     if len(y) and 0 < y.mean() < 1:
         model.weights = _logistic(x, y)
@@ -195,47 +201,38 @@ def _evidence(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
     return run
 
 
-def _score(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _ready(shared)
-        for batch in batches:
-            at_text = batch.schema.get_field_index("__text")
-            scores = [model.score(model.evidence(h, at)) for _, _, h, at in words(batch.column(at_text), PUNCTUATED)]
-            names = [n for n in batch.schema.names if n != "__text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(np.concatenate(scores) if scores else np.zeros(0))], names=[*names, "__score"])
+def score_column(model: Model | None, body: Column, spark: SparkSession) -> Column:
+    """The score of each text, as a column: only the texts go to Python and only the scores come back."""
+    if model is None:
+        return F.lit(0.0)
+    shared = spark.sparkContext.broadcast(model)
 
-    return run
+    @F.arrow_udf("double")
+    def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        ready = _ready(shared)
+        for column in texts:
+            scores = [ready.score(ready.evidence(h, at)) for _, _, h, at in words(column, PUNCTUATED)]
+            yield pa.array(np.concatenate(scores) if scores else np.zeros(0))
 
+    return score(body)
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", threshold: float = 0.7) -> DataFrame:
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", threshold: float = 0.7, **options) -> DataFrame:
     """key, held_out, score, predicted for every row of docs.
 
     score is in 0 to 1; a null or empty text, or one without words the models know, gets the score of no evidence. Without labelled
     rows of both classes every score is 0. Null keys and repeated rows are kept. An empty table gives no rows. Only key and text are read.
+    The models are fitted, by several jobs, when this is called. options: those of fit().
     """
-    spark = docs.sparkSession
-    model = fit(docs, labels, key, text, label)
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("__text"))
-    if model is None:
-        scored = rows.select("key", F.lit(0.0).alias("__score"))
-    else:
-        scored = rows.mapInArrow(_score(spark.sparkContext.broadcast(model)), "key long, __score double")
-    return scored.select(F.col("key").alias(key), held_out(F.col("key")).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= threshold).cast("int").alias("predicted"))
+    score = score_column(fit(docs, labels, key, text, label, **options), F.col("body"), docs.sparkSession)
+    scored = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("body")).select("key", score.alias("score"))
+    return scored.select(F.col("key").alias(key), held_out(F.col("key")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", threshold: float = 0.7) -> DataFrame:
-    """The rows of docs whose score is below the threshold, all columns as they are."""
-    model = fit(docs, labels, key, text, label)
-    if model is None:
-        return docs
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def drop_toxic(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", threshold: float = 0.7, **options) -> DataFrame:
+    """The rows of docs whose score is below the threshold, all columns as they are, whatever their names.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ready = _ready(shared)
-        for batch in batches:
-            column = batch.column(batch.schema.get_field_index(text))
-            scores = [ready.score(ready.evidence(h, at)) for _, _, h, at in words(column, PUNCTUATED)]
-            keep = np.concatenate(scores) < threshold if scores else np.zeros(0, bool)
-            yield batch.filter(pa.array(keep))
-
-    return docs.mapInArrow(run, docs.schema)
+    Null and empty texts, null keys and repeated rows are judged as in score_toxicity(); nothing goes where no model can be fitted. An
+    empty table gives no rows. options: those of fit().
+    """
+    return docs.where(score_column(fit(docs, labels, key, text, label, **options), docs[text], docs.sparkSession) < threshold)

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text hashed at once; bounds the working memory of a Python worker.
-BLOCK = 1 << 21
+BLOCK = 1 << 19
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -139,7 +139,7 @@ class Lookup:
 
     def __init__(self, keys: np.ndarray):
         keys = np.asarray(keys, np.uint64)
-        bits = max(4, int(2 * len(keys)).bit_length() + 1)
+        bits = max(4, int(2 * len(keys)).bit_length())
         self.mask = np.uint64((1 << bits) - 1)
         self.slots = np.full(1 << bits, -1, np.int32)
         self.keys = np.zeros(1 << bits, np.uint64)

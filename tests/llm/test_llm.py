@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -399,6 +400,47 @@ def test_toxicity_on_held_out_rows(spark):
     assert sum(p for p, t in held if not t) / sum(not t for _, t in held) < 0.01
 
 
+def test_toxicity_probabilities_equal_brute_force(spark):
+    r = random.Random(2)
+    rows = [(k, " ".join(r.choice("abcdefgh") * r.randint(1, 2) for _ in range(r.randint(1, 30))), k % 3 == 0) for k in range(60)]
+    rows += [(60, rows[0][1], False), (61, rows[1][1], True)]  # equal texts of both labels are toxic
+    model = toxicity.count_model(spark.createDataFrame([x[:2] for x in rows], "key long, body string"), spark.createDataFrame([(k, int(y)) for k, _, y in rows], "key long, y int"))
+    label = {}
+    for _, t, y in rows:
+        label[t] = max(int(y), label.get(t, 0))
+    n, d = collections.Counter(), 0.75
+    for t, y in label.items():
+        for v, w in itertools.pairwise(["", *t.split()]):
+            n[y, v, w] += 1
+    vocabulary = {w for _, _, w in n}
+    c = [{w: len({v for y, v, x in n if y == z and x == w}) for w in vocabulary} for z in (0, 1)]
+    types, tokens = [sum(x > 0 for x in k.values()) for k in c], [sum(k.values()) for k in c]
+
+    def p(z, v, w):
+        seen = {x: n[z, v, x] for x in vocabulary if n[0, v, x] + n[1, v, x] >= 4}
+        t = max(sum(n[z, v, x] for x in vocabulary), 1)
+        alone = (max(c[z][w] - d, 0) + d * types[z] * sum(k[w] > 0 for k in c) / sum(types)) / tokens[z]
+        pair = {x: max(m - d, 0) / t for x, m in seen.items()}
+        return pair.get(w, 0) + (1 - sum(pair.values())) * alone
+
+    assert all(abs(sum(p(z, v, w) for w in vocabulary) - 1) < 1e-9 for z in (0, 1) for v in ("", "a", "bb"))
+    model.prepare()
+    for text in ("a b c aa bb zz a", rows[5][1], rows[60][1]):
+        want = [np.clip(math.log(p(1, v, w) / p(0, v, w)), -5, 5) if w in vocabulary else 0.0 for v, w in itertools.pairwise(["", *text.split()])]
+        _, _, h, at = next(words.words(pa.array([text]), words.PUNCTUATED))
+        assert np.abs(model.ratios(h, at) - want).max() < 1e-4
+
+
+def test_toxicity_of_rare_words(spark):
+    """A word of two toxic texts alone keeps a positive ratio; it is not dropped."""
+    rows = [(k, f"plain text number n{k} of many words", 0) for k in range(40)] + [(40, "plain vilest text", 1), (41, "text vilest words", 1)]
+    model = toxicity.count_model(spark.createDataFrame([x[:2] for x in rows], "key long, body string"), spark.createDataFrame([(x[0], x[2]) for x in rows], "key long, y int"))
+    model.prepare()
+    _, _, h, at = next(words.words(pa.array(["vilest unheard"]), words.PUNCTUATED))
+    ratios = model.ratios(h, at)
+    assert ratios[0] > 0.5 and ratios[1] == 0
+
+
 def test_held_out_labels_are_not_used(spark):
     docs, labels, _ = toxic_corpus(spark)
     flipped = labels.withColumn("toxic", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, 1 - F.col("toxic")).otherwise(F.col("toxic")))
