@@ -13,7 +13,7 @@ from corpusmill.llm.shared import documents, new_path
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusmill.llm.ngram_join import ngram_classes
 
-    return ngram_classes(documents(spark, sf_dir)).withColumnRenamed("component", "component_id")
+    return ngram_classes(documents(spark, sf_dir)).select("doc_id", "n_shingles", F.col("component").alias("component_id"))
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -164,4 +164,5 @@ class Lookup:
             probe[bad] = probe_b
             found[bad] = self.slots[probe_b]
             bad = bad[(found[bad] >= 0) & (self.keys[probe_b] != query[bad])]
+        found[bad] = -1  # no key lies further from its place
         return found
