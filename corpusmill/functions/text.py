@@ -11,7 +11,8 @@ from pyspark.sql.functions import pandas_udf
 
 LOW_QUALITY = 0.9
 
-# Legal suffixes, table labels, section markers and year ranges that decide which headings count.
+# Legal suffixes, table labels, section markers and year ranges that decide which headings count, page numbers, and lines
+# that look like headings. MARKERS stand in upper case because they are compared with upper-cased text.
 TABLE_LABEL = r",$|^\d{4}(\s+\d{4})+\s+\(|Data:$|\d{4} and \d{4}$|^\s*\(|^Years ended |^As of "
 COMPANY = r"(?i)(?<![\p{L}\p{N}_])(INC\.?|CORP\.?|CORPORATION|LLC\.?|LTD\.?|LIMITED|CO\.?|COMPANY)\.?$|(?<![\p{L}\p{N}_])AND\s+SUBSIDIARIES\.?$"
 ITEM = r"(?i)^ITEM\s+\d+[A-C]?\.\s*\S"
@@ -29,7 +30,8 @@ def nfkc(text: Column) -> Column:
     def run(values: pd.Series) -> pd.Series:
         return values.map(lambda s: s if s.isascii() else unicodedata.normalize("NFKC", s), na_action="ignore")
 
-    return run(text)
+    # only texts that can change go to Python
+    return F.coalesce(run(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
 
 
 def strip(text: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import text as X
 from corpusmill.functions.packing import Packer
+from corpusmill.operators import headings
 
 STRATEGIES = ("fixed_size", "recursive", "structure_aware")
 _PIECES = "doc_id string, page_number int, text_quality double, seq int, chunk_type string, section_heading string, text string"
@@ -72,6 +73,21 @@ def chunk_pages(pages: DataFrame, strategy: str = "fixed_size", size: int = 400,
     )
 
 
+def skipped_pages(pages: DataFrame) -> DataFrame:
+    """doc_id, skipped: how many pages of each document are left out for their quality; documents without such pages are not listed."""
+    return pages.where(F.col("text_quality") < X.LOW_QUALITY).groupBy("doc_id").agg(F.count("*").alias("skipped"))
+
+
+def chunk_documents(pages: DataFrame, strategy: str = "fixed_size", size: int = 400, overlap: int = 39, least: int = 10, packer: Packer | None = None) -> tuple[DataFrame, DataFrame]:
+    """(chunks, skipped): pages of poor quality left out and counted, the others cut, headings attached, qualities averaged.
+
+    Headings and qualities come from the pages that are kept. skipped: skipped_pages().
+    """
+    kept = usable_pages(pages)
+    chunks = headings.attach_headings(chunk_pages(kept, strategy, size, overlap, least, packer), kept)
+    return with_page_quality(chunks, kept), skipped_pages(pages)
+
+
 def with_page_quality(chunks: DataFrame, pages: DataFrame) -> DataFrame:
     """chunks with the mean quality of the pages in their range; theirs stays where no page is."""
     p = pages.select(F.col("doc_id").alias("p_doc"), F.col("page_number").alias("p_no"), F.col("text_quality").alias("p_quality"))

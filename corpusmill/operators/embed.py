@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,15 +21,45 @@ class Embedder(Protocol):
     def load(self) -> Callable[[list[str], bool], list[list[float]]]: ...
 
 
-def embedding_udf(embedder: Embedder, is_query: bool = False, batch: int = 32):
-    """An Arrow function for a plug-in embedder; queries may carry another prefix than documents."""
+def embedding_udf(embedder: Embedder, is_query: bool = False, batch: int = 32, instruction: str = "", normalise: bool = True):
+    """An Arrow function for a plug-in embedder: `batch` texts at a time, queries after the instruction, vectors of length one.
+
+    Another number of vectors than texts, a vector of another dimension than the embedder's or with a number that is not finite is an error.
+    """
 
     @pandas_udf("array<float>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = embedder.load()
         for texts in batches:
-            values = texts.fillna("").tolist()
-            yield pd.Series([v for k in range(0, len(values), batch) for v in model(values[k : k + batch], is_query)])
+            values, out = [instruction * is_query + t for t in texts.fillna("")], []
+            for k in range(0, len(values), batch):
+                part = values[k : k + batch]
+                vectors = np.array([list(v) for v in model(part, is_query)], np.float64)
+                if vectors.shape != (len(part), embedder.dimension) or not np.isfinite(vectors).all():
+                    raise ValueError(f"the embedder gave no {len(part)} finite vectors of dimension {embedder.dimension}")
+                if normalise:
+                    norms = np.linalg.norm(vectors, axis=1, keepdims=True)
+                    vectors = vectors / np.where(norms > 0, norms, 1)
+                out += vectors.tolist()
+            yield pd.Series(out)
+
+    return run
+
+
+def model_token_counts(load: Callable[[], Callable[[list[str]], list[int]]], batch: int = 256):
+    """An Arrow function that counts a plug-in tokenizer's tokens of each text, 0 for null. `load` runs once a worker, when the first texts come."""
+
+    @pandas_udf("int")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        count = None
+        for texts in batches:
+            count = count or load()
+            values = [t for t in texts if t is not None]
+            found = [n for k in range(0, len(values), batch) for n in count(values[k : k + batch])]
+            if len(found) != len(values):
+                raise ValueError(f"the tokenizer gave {len(found)} counts for {len(values)} texts")
+            each = iter(found)
+            yield pd.Series([0 if t is None else next(each) for t in texts], dtype="int32")
 
     return run
 
@@ -39,11 +70,6 @@ def hash_embedding(text: Column, dimension: int = 32) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda k: F.conv(F.substring(digest, (k % 32) * 2 + 1, F.lit(2)), 16, 10).cast("double") / 255)
 
 
-def nearest_rank(values: Column, q: float) -> Column:
-    """Element int(n * q) from 0 of the sorted values."""
-    return F.element_at(values, F.least(F.floor(F.size(values) * q).cast("int") + 1, F.size(values)))
-
-
 def token_stats(rows: DataFrame, keys: list[str], tokens: str = "token_count", limit: int = 512) -> DataFrame:
     """Per key: count, rows over the limit and their per cent, upper median, nearest-rank 95th and 99th, least and most.
 

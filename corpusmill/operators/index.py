@@ -39,11 +39,12 @@ def sync_actions(target: DataFrame, stored: DataFrame, fields: list[str] = FIELD
 
 def sync_counts(target: DataFrame, stored: DataFrame, fields: list[str] = FIELDS) -> DataFrame:
     """upserted, deleted, skipped, payload_updated. upserted counts rows of the target, repeated ones included; skipped includes patched ones."""
-    actions = sync_actions(target, stored, fields)
-    by = actions.groupBy().agg(*(F.count_if(F.col("action") == a).alias(a) for a in ("upsert", "delete", "patch")))
-    fresh = target.join(stored.select("id"), "id", "left_anti").agg(F.count("*").alias("upserted"))
-    total = target.agg(F.count("*").alias("total"))
-    return by.crossJoin(fresh).crossJoin(total).select("upserted", F.col("delete").alias("deleted"), (F.col("total") - F.col("upserted")).alias("skipped"), F.col("patch").alias("payload_updated"))
+    # one row an id: how often the target has it, and whether the first of these differs from what is stored
+    t = target.groupBy("id").agg(F.first(F.struct("doc_id", *fields)).alias("t"), F.count("*").alias("n"))
+    met = t.join(stored.select("id", F.struct("doc_id", *fields).alias("s")), "id", "full")
+    is_new, is_gone, n = F.col("s").isNull(), F.col("t").isNull(), F.coalesce("n", F.lit(0))
+    changed = ~is_new & ~is_gone & differs("t", "s", fields)
+    return met.agg(F.coalesce(F.sum(F.when(is_new, n)), F.lit(0)).alias("upserted"), F.count_if(is_gone).alias("deleted"), F.coalesce(F.sum(F.when(~is_new, n)), F.lit(0)).alias("skipped"), F.count_if(changed).alias("payload_updated"))
 
 
 def synchronise(target: DataFrame, stored: DataFrame, embed, fields: list[str] = FIELDS) -> DataFrame:
@@ -60,7 +61,8 @@ def synchronise(target: DataFrame, stored: DataFrame, embed, fields: list[str] =
 def write_index(points: DataFrame, path: str, dimension: int, model: str) -> None:
     """Write the index as Parquet by document, sorted by chunk type; refuses vectors of another length."""
     checked = points.withColumn("vector", F.when(F.size("vector") == dimension, F.col("vector")).otherwise(F.raise_error(F.lit(f"a vector's length is not {dimension}")).cast("array<float>")))
-    checked.repartition("doc_id").sortWithinPartitions("doc_id", "chunk_type").write.mode("overwrite").option("parquet.bloom.filter.enabled#doc_id", "true").parquet(f"{path}/points")
+    # a document of many chunks goes to several files
+    checked.repartitionByRange("doc_id", F.xxhash64("id")).sortWithinPartitions("doc_id", "chunk_type").write.mode("overwrite").option("parquet.bloom.filter.enabled#doc_id", "true").parquet(f"{path}/points")
     points.sparkSession.createDataFrame([(dimension, model)], "dimension int, model string").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
 
 
@@ -87,6 +89,26 @@ def delete_document(points: DataFrame, doc_id: str) -> DataFrame:
     return points.where(~F.col("doc_id").eqNullSafe(F.lit(doc_id)))
 
 
+def erase_document(spark: SparkSession, path: str, doc_id: str) -> int:
+    """Delete a document from the index at `path`, confirm that none of its points is left, and return how many there were.
+
+    The rest is written beside the index and takes its place by renaming; a failure before that leaves the index as it was.
+    """
+    points = spark.read.parquet(f"{path}/points")
+    gone = scan_ids(points, doc_id).count()
+    if gone:
+        delete_document(points, doc_id).write.mode("overwrite").option("parquet.bloom.filter.enabled#doc_id", "true").parquet(f"{path}/points.rest")
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        system = place(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        for a, b in (("points", "points.old"), ("points.rest", "points")):
+            if not system.rename(place(f"{path}/{a}"), place(f"{path}/{b}")):
+                raise RuntimeError(f"{a} cannot be renamed")
+        system.delete(place(f"{path}/points.old"), True)
+    if scan_ids(spark.read.parquet(f"{path}/points"), doc_id).count():
+        raise RuntimeError("the deletion is not confirmed")
+    return gone
+
+
 def inventory(managed: DataFrame, points: DataFrame) -> DataFrame:
     """doc_id, filename, status, chunk_count: managed documents that are not deleted, and those that only the index knows, as external."""
     known = managed.where("status <> 'deleted'").select("doc_id", "filename", "status", "chunk_count")

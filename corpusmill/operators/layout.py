@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as X
 
+# Item lines and labels as the page reader tells them.
 PARSER_ITEM = r"(?i)^Item\s+\d+[A-C]?\.\s+\S"
 PARSER_LABEL = r"^(,$|\d{4}(\s+\d{4})+\s+\()"
 
@@ -77,17 +80,23 @@ def is_usable_table(grid: Column) -> Column:
 
 def markdown(grid: Column) -> Column:
     """The grid as a Markdown table: rows padded to the widest, cells cleaned, bars escaped, a rule under the first row."""
-    width = F.array_max(F.transform(grid, F.size))
+
+    def once(value: Column, use: Callable[[Column], Column]) -> Column:
+        """use(value), with value computed once however often it stands in use."""
+        return F.get(F.transform(F.array(value), use), F.lit(0))
 
     def line(cells: Column) -> Column:
         return F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))
 
-    def row(r: Column) -> Column:
-        cells = F.transform(r, lambda c: F.replace(X.clean_native(F.coalesce(c, F.lit(""))), F.lit("|"), F.lit("\\|")))
-        return line(F.concat(cells, F.array_repeat(F.lit(""), width - F.size(r))))
+    def cells(r: Column) -> Column:
+        return F.transform(r, lambda c: F.replace(X.clean_native(F.coalesce(c, F.lit(""))), F.lit("|"), F.lit("\\|")))
+
+    def text(t: Column) -> Column:
+        rule = F.array(line(F.array_repeat(F.lit("---"), t["width"])))
+        rows = F.transform(t["grid"], lambda r: line(F.concat(cells(r), F.array_repeat(F.lit(""), t["width"] - F.size(r)))))
+        return once(rows, lambda lines: F.array_join(F.concat(F.slice(lines, 1, 1), rule, F.slice(lines, 2, F.greatest(F.size(lines), F.lit(2)))), "\n"))
 
-    lines = F.transform(grid, row)
-    return F.array_join(F.concat(F.slice(lines, 1, 1), F.array(line(F.array_repeat(F.lit("---"), width))), F.slice(lines, 2, F.greatest(F.size(lines), F.lit(2)))), "\n")
+    return once(F.struct(grid.alias("grid"), F.array_max(F.transform(grid, F.size)).alias("width")), text)
 
 
 def assemble_pages(blocks: DataFrame, tables: DataFrame | None = None, images: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:

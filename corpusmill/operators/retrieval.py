@@ -5,8 +5,10 @@ Scores are compared after rounding to nine digits, so that sums in another order
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import os
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
@@ -56,14 +58,16 @@ def bm25(queries: DataFrame, index: DataFrame, top_k: int = 5, min_score: float
     """
     validate_top_k(top_k)
     index = filtered(index, **equal)
-    lists = index.select("chunk_id", X.terms(F.coalesce("text", F.lit(""))).alias("terms"))
+    # a generator of one array keeps the terms from being found again in each place that uses them
+    lists = index.select("chunk_id", F.explode(F.array(X.terms(F.coalesce("text", F.lit(""))))).alias("terms"))
     # lengths are counted without building the arrays again
     stats = index.select(X.term_count(F.coalesce("text", F.lit(""))).alias("length")).agg(F.count("*").alias("total"), F.avg("length").alias("mean"))
     wanted = queries.select("query_id", F.explode(F.array_distinct(X.terms(F.coalesce("query", F.lit(""))))).alias("term"))
     tokens = lists.select("chunk_id", F.size("terms").alias("length"), F.explode("terms").alias("term"))
     # only the queries' terms are counted
     posts = tokens.join(wanted.select("term").distinct(), "term", "left_semi").groupBy("term", "chunk_id", "length").agg(F.count("*").alias("tf"))
-    df = posts.groupBy("term").agg(F.count("*").alias("df"))
+    # a sum over tf, so that both uses of posts read the same columns and share one shuffle
+    df = posts.groupBy("term").agg(F.sum((F.col("tf") > 0).cast("long")).alias("df"))
     weights = wanted.join(df, "term").join(F.broadcast(stats))  # one row of statistics
     idf = F.log1p((F.col("total") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weights = weights.select("query_id", "term", idf.alias("idf"), "mean")
@@ -97,24 +101,62 @@ def _best(ids: pa.Array, q: np.ndarray, top_k: int):
     return run
 
 
+_SCORES = "query_id string, chunk_id string, score double"
+
+
+def _unit(vectors: list[list[float]]) -> np.ndarray:
+    q = np.array(vectors, np.float64)
+    norm = np.linalg.norm(q, axis=1, keepdims=True)
+    return q / np.where(norm > 0, norm, 1)
+
+
+def _dealt(asked: DataFrame, rows: DataFrame, top_k: int) -> DataFrame:
+    """The scores that can be among the best of each part of the points, for any number of queries."""
+    width = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = -(-asked.count() // (QUERY_BLOCK // 2))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = asked.select(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"), every(width).alias("part"), F.lit(0).alias("role"), F.col("query_id").alias("id"), F.col("vector").cast("array<double>").alias("vector"))
+    p = rows.select(every(blocks).alias("block"), F.pmod(F.xxhash64("chunk_id"), F.lit(width)).cast("int").alias("part"), F.lit(1).alias("role"), F.col("chunk_id").alias("id"), F.col("vector").cast("array<double>").alias("vector"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, held, best = None, [], None
+        for batch in batches:
+            keys = np.stack([batch.column(k).to_numpy() for k in range(3)], 1)
+            cuts = np.r_[0, np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1, len(keys)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if (here := tuple(keys[a][:2])) != unit:
+                    unit, held, best = here, [], None
+                part = batch.slice(a, b - a)
+                if keys[a][2] == 0:
+                    held.append(part)
+                elif held:
+                    if best is None:
+                        t = pa.Table.from_batches(held)
+                        best = _best(t.column("id").combine_chunks(), _unit(t.column("vector").to_pylist()), top_k)
+                    yield from best([pa.RecordBatch.from_arrays([part.column(3), part.column(4)], names=["chunk_id", "vector"])])
+
+    dealt = q.unionByName(p).repartition(width, "block", "part").sortWithinPartitions("block", "part", "role")
+    return dealt.mapInArrow(run, _SCORES)
+
+
 def dense(queries: DataFrame, points: DataFrame, top_k: int = 5, min_score: float | None = None, **equal: str | None) -> DataFrame:
     """query_id, chunk_id, score, rank by exact cosine. queries: query_id, vector; points: chunk_id, vector and what is filtered by.
 
-    Every worker compares its points with a block of the queries and passes on only what can be among the best.
+    Every worker compares its points with a block of the queries and passes on only what can be among the best. Up to QUERY_BLOCK
+    queries go to all workers, and the points stay where they are; their number is looked up when this is called. More queries are dealt
+    to blocks by hash, points to parts, and each block meets each part in a task: the points are then sent once a block, the queries
+    once a part.
     """
     validate_top_k(top_k)
     rows = filtered(points, **equal).select(F.col("chunk_id").cast("string").alias("chunk_id"), "vector").where("vector is not null")
-    asked = queries.select(F.col("query_id").cast("string").alias("query_id"), "vector").where("vector is not null").orderBy("query_id")
-    n = asked.count()
-    out = None
-    for low in range(0, n, QUERY_BLOCK):
-        table = asked.offset(low).limit(QUERY_BLOCK).toArrow()
-        q = np.array(table.column("vector").to_pylist(), np.float64)
-        norm = np.linalg.norm(q, axis=1, keepdims=True)
-        part = rows.mapInArrow(_best(table.column("query_id").combine_chunks(), q / np.where(norm > 0, norm, 1), top_k), "query_id string, chunk_id string, score double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = points.sparkSession.createDataFrame([], "query_id string, chunk_id string, score double")
+    asked = queries.select(F.col("query_id").cast("string").alias("query_id"), "vector").where("vector is not null")
+    table = asked.limit(QUERY_BLOCK + 1).toArrow()
+    if not table.num_rows:
+        out = points.sparkSession.createDataFrame([], _SCORES)
+    elif table.num_rows <= QUERY_BLOCK:
+        out = rows.mapInArrow(_best(table.column("query_id").combine_chunks(), _unit(table.column("vector").to_pylist()), top_k), _SCORES)
+    else:
+        out = _dealt(asked, rows, top_k)
     if min_score is not None:
         out = out.where(F.col("score") >= min_score)
     return ranked(out, top_k)
@@ -139,16 +181,60 @@ def hybrid(queries: DataFrame, points: DataFrame, top_k: int = 5, k: int = 60, m
     return fuse(dense(queries, points, top_k, min_score, **equal), bm25(queries, points, top_k, min_score, **equal), top_k, k)
 
 
+# The cross-encoder that is meant where none is named, and the variables that set a configuration.
+RERANKER = "cross-encoder/ms-marco-MiniLM-L-6-v2"
+RERANK_VARIABLES = {"model_name": "RERANKER_MODEL", "top_k": "RERANKER_TOP_K", "candidate_count": "RERANKER_CANDIDATE_COUNT", "batch_size": "RERANKER_BATCH_SIZE", "min_score": "RERANKER_MIN_SCORE"}
+
+
 @dataclass(frozen=True)
 class RerankConfig:
+    """How to rerank. A model name that is not given, or blank, is that of the environment, else RERANKER; naming one loads nothing."""
+
     candidate_count: int = 20
     top_k: int = 5
     min_score: float | None = None
-    batch_size: int = 16
+    batch_size: int = 32
+    model_name: str | None = None
 
     def __post_init__(self) -> None:
-        if not self.candidate_count >= self.top_k >= 1 or self.batch_size < 1:
-            raise ValueError("candidate_count must reach top_k, which must be at least 1")
+        if not all(isinstance(x, int) and not isinstance(x, bool) for x in (self.candidate_count, self.top_k, self.batch_size)) or not self.candidate_count >= self.top_k >= 1 or self.batch_size < 1:
+            raise ValueError("candidate_count must reach top_k, which must be at least 1, as must batch_size")
+        names = [n for n in (self.model_name, os.environ.get(RERANK_VARIABLES["model_name"]), RERANKER) if n is not None]
+        if not all(isinstance(n, str) for n in names):
+            raise ValueError("a model's name must be text")
+        object.__setattr__(self, "model_name", next(n.strip() for n in names if n.strip()))
+
+    @classmethod
+    def from_env(cls, **given) -> RerankConfig:
+        """The settings given, then those of the environment, which are read only where none is given."""
+        kinds = {"model_name": str, "min_score": float}
+        found = {name: os.environ[key] for name, key in RERANK_VARIABLES.items() if name not in given and os.environ.get(key)}
+        return cls(**{name: kinds.get(name, int)(value) for name, value in found.items()}, **given)
+
+
+class CrossEncoder(Protocol):
+    """What a plug-in scorer offers. `load` runs once a worker and returns a function from (query, text) pairs to scores."""
+
+    def load(self) -> Callable[[list[tuple[str, str]]], list[float]]: ...
+
+
+def encoder_scorer(encoder: CrossEncoder, batch_size: int = 32) -> Callable[[Column, Column], Column]:
+    """A scorer for rerank(): the plug-in gets batch_size pairs at a time; another number of scores than pairs is an error."""
+
+    @F.arrow_udf("double")
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        predict = encoder.load()
+        for queries, texts in batches:
+            pairs, out = list(zip(queries.to_pylist(), texts.to_pylist(), strict=True)), []
+            for k in range(0, len(pairs), batch_size):
+                part = pairs[k : k + batch_size]
+                scores = [float(s) for s in predict(part)]
+                if len(scores) != len(part):
+                    raise ValueError(f"the scorer gave {len(scores)} scores for {len(part)} pairs")
+                out += scores
+            yield pa.array(out, pa.float64())
+
+    return lambda query, text: run(F.coalesce(query, F.lit("")), F.coalesce(text, F.lit("")))
 
 
 def length_score(query: Column, text: Column) -> Column:
@@ -156,8 +242,13 @@ def length_score(query: Column, text: Column) -> Column:
     return F.lit(1000.0) / (F.length(query) + F.length(text) + 1)
 
 
-def rerank(hits: DataFrame, queries: DataFrame, index: DataFrame, config: RerankConfig, scorer=length_score) -> DataFrame:
-    """The candidates of each query in the order of the scorer's values, then of their first ranks. A score that is no finite number is an error."""
+def rerank(hits: DataFrame, queries: DataFrame, index: DataFrame, config: RerankConfig, scorer: Callable[[Column, Column], Column] | CrossEncoder = length_score) -> DataFrame:
+    """The candidates of each query in the order of the scorer's values, then of their first ranks. A score that is no finite number is an error.
+
+    scorer: a function of the query and text columns, or a CrossEncoder, which is asked in batches of config.batch_size.
+    """
+    if hasattr(scorer, "load"):
+        scorer = encoder_scorer(scorer, config.batch_size)
     rows = hits.where(F.col("rank") <= config.candidate_count).join(index.select("chunk_id", "text"), "chunk_id").join(queries.select("query_id", "query"), "query_id")
     value = scorer(F.col("query"), F.col("text"))
     bad = value.isNull() | F.isnan(value) | (F.abs(value) == float("inf"))

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.operators import evidence, retrieval
+from corpusmill.streaming.incremental import fold_in_order
 
 MAX_QUESTION = 4000
 
@@ -72,15 +73,18 @@ def answer(queries: DataFrame, hits: DataFrame, client: Callable[[], Callable[[s
     """query_id, status, answer, reason for every query.
 
     The provider is asked only where there is evidence within the budget. Its reply counts only if it is well-formed and all its quotes are
-    verbatim; else the status is invalid_response and there is no answer. Evidence that fails validation is an error.
+    verbatim; else the status is invalid_response and there is no answer. Evidence that fails validation is an error. Replies are kept by
+    checkpoint() where the session has a folder for it, so that the provider is asked once whatever executors are lost; the jobs run then.
     """
     checked = evidence.problem(hits)
     checked = checked.withColumn("text", F.when(F.col("problem").isNotNull(), F.raise_error(F.concat(F.lit("evidence has an invalid "), "problem")).cast("string")).otherwise(F.col("text"))).drop("problem")
-    known = evidence.labelled(checked).persist()
+    known = evidence.labelled(checked)
     sizes = evidence.budget(known).select("query_id", "within")
     open_queries = queries.join(sizes.where("within"), "query_id").select("query_id", "query")
     messages = evidence.prompts(open_queries, known)
-    replies = evidence.parsed(evidence.complete(messages, client)).persist()
+    replies = evidence.parsed(evidence.complete(messages, client))
+    if queries.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        replies = replies.checkpoint()
     verdicts = evidence.checked_selections(replies, known).select("query_id", "valid")
     texts = evidence.rendered(replies.where("valid"), known).select("query_id", "answer")
     rows = queries.select("query_id").distinct().join(sizes, "query_id", "left").join(replies.select("query_id", "status"), "query_id", "left").join(verdicts, "query_id", "left").join(texts, "query_id", "left")
@@ -110,16 +114,22 @@ TRANSITIONS = {
 BLOCKING = ("indexing", "cleanup_required", "deleting")
 
 
-def next_state(state: Column, event: Column) -> Column:
+def next_state(state: str, event: str | None) -> str:
     """The state after an event; a delete leads from every state but deleted to deleting, and an event that does not apply changes nothing."""
-    out = F.when((event == "delete") & (state != "deleted"), F.lit("deleting"))
-    for (a, e), b in TRANSITIONS.items():
-        out = out.when((state == a) & (event == e), F.lit(b))
-    return out.otherwise(state)
+    return "deleting" if event == "delete" and state != "deleted" else TRANSITIONS.get((state, event), state)
 
 
 def document_states(events: DataFrame) -> DataFrame:
-    """doc_id, status, readable: the state of each document after its events in order of `seq`. readable is false while cleaning up is due."""
-    lists = events.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "event"))).alias("log"))
-    state = F.aggregate("log", F.lit("none"), lambda s, e: next_state(s, e["event"]))
-    return lists.select("doc_id", state.alias("status")).withColumn("readable", ~F.col("status").isin(*BLOCKING))
+    """doc_id, status, readable: the state of each document after its events in order of `seq`. readable is false while cleaning up is due.
+
+    Events stream through a task in order; only one state a document is held.
+    """
+    rows = events.select(F.col("doc_id").cast("string").alias("doc_id"), "seq", "event")
+    states = fold_in_order(rows, "doc_id", ["seq", "event"], ["event"], "doc_id string, status string", lambda: "none", lambda state, row: (next_state(state, row[0]), None), lambda doc, state: (doc, state))
+    return states.withColumn("readable", ~F.col("status").isin(*BLOCKING))
+
+
+def latest(rows: DataFrame, key: str, n: int, *order: str) -> DataFrame:
+    """The n latest rows of each key by the order columns, with `place` from 1; a window with a group limit."""
+    by = ", ".join(f"{c} desc" for c in order)
+    return rows.withColumn("place", F.expr(f"row_number() over (partition by {key} order by {by})")).where(F.col("place") <= n)

@@ -5,6 +5,7 @@ plans.oracles holds the SQL that gives the same rows where SQL can.
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -124,8 +125,7 @@ def hit_records(spark: SparkSession, d: str) -> DataFrame:
 
 def relevance(spark: SparkSession, d: str) -> DataFrame:
     """A document is relevant to a query if it contains the query's text."""
-    q, c = asked(spark, d).select("query_id", "query"), corpus(spark, d).select("chunk_id", "text")
-    return q.join(c, F.contains("text", "query")).select("query_id", "chunk_id")
+    return evaluate.containing(asked(spark, d), corpus(spark, d))
 
 
 @query
@@ -144,17 +144,14 @@ def eval_mrr(spark: SparkSession, d: str) -> DataFrame:
 @query
 def eval_by_strategy(spark: SparkSession, d: str) -> DataFrame:
     q, gold, c = asked(spark, d), relevance(spark, d), hashed(spark, d)
-    runs = {"bm25": retrieval.bm25(q, c, top_k=10), "dense": retrieval.dense(q, c, top_k=10), "hybrid": retrieval.hybrid(q, c, top_k=10)}
-    out = None
-    for name, hits in runs.items():
-        part = evaluate.summary(q, hits, gold).select(F.lit(name).alias("strategy"), "k", *(F.round(m, 6).alias(m) for m in ("mean_precision", "mean_recall", "mrr")))
-        out = part if out is None else out.union(part)
-    return out
+    runs = {"bm25": retrieval.bm25(q, c, top_k=10), "dense": retrieval.dense(q, c, top_k=10)}
+    out = evaluate.compared(q, runs | {"hybrid": retrieval.fuse(runs["dense"], runs["bm25"], 10)}, gold)
+    return out.select("strategy", "k", *(F.round(m, 6).alias(m) for m in ("mean_precision", "mean_recall", "mrr")))
 
 
 @query
 def gold_version(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "benchmark").select("item_id", F.substring(F.sha2("text", 256), 1, 12).alias("version"))
+    return evaluate.gold_version(table(spark, d, "benchmark"), "text", "item_id")
 
 
 # --- text and pages --------------------------------------------------------
@@ -261,7 +258,7 @@ def page_quality(spark: SparkSession, d: str) -> DataFrame:
 @query
 def query_lines(spark: SparkSession, d: str) -> DataFrame:
     lines = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("value"))
-    return lines.select("doc_id", X.strip(F.col("value")).alias("line")).where("line <> '' and not startswith(line, '#')").groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("line")).alias("chars"))
+    return files.query_lines(lines, "value", "doc_id").groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("query")).alias("chars"))
 
 
 @query
@@ -359,20 +356,26 @@ def mid_sentence(spark: SparkSession, d: str) -> DataFrame:
 # --- headings --------------------------------------------------------------
 
 
+def capitals(text: Column) -> Column:
+    """a to z in capitals; other letters, of which engines differ in their capitals, as they are."""
+    return F.translate(text, string.ascii_lowercase, string.ascii_uppercase)
+
+
 def heading_lines(spark: SparkSession, d: str) -> DataFrame:
-    """The first forty characters of each document in forms that headings take."""
-    n, head = F.col("doc_id"), F.regexp_replace(F.substring("text", 1, 40), r"\s+", " ")
-    kinds = [F.concat(F.lit("Item "), (n % 16).cast("string"), F.lit("A. "), head), F.upper(head), F.concat(F.lit("Years ended "), head), F.concat(F.lit("("), head, F.lit(")")), F.concat(F.substring("text", 1, 12), F.lit(", Inc.")), F.concat(F.lit("2013 and 201"), (n % 10).cast("string")), F.element_at(F.array(*map(F.lit, X.MARKERS)), (n % 7 + 1).cast("int")), head]
+    """Every line of each document, some in forms that headings take."""
+    n, head = F.col("doc_id") + F.col("n"), F.regexp_replace("line", r"\s+", " ")
+    kinds = [F.concat(F.lit("Item "), (n % 16).cast("string"), F.lit("A. "), head), capitals(head), F.concat(F.lit("Years ended "), head), F.concat(F.lit("("), head, F.lit(")")), F.concat(head, F.lit(", Inc.")), F.concat(F.lit("2013 and 201"), (n % 10).cast("string")), F.element_at(F.array(*map(F.lit, X.MARKERS)), (n % 7 + 1).cast("int")), head]
     pick = kinds[-1]
     for k, form in enumerate(kinds[:-1]):
         pick = F.when(n % 8 == k, form).otherwise(pick)
-    return table(spark, d, "documents").select("doc_id", pick.alias("h"))
+    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    return lines.select("doc_id", "n", pick.alias("h"))
 
 
 @query
 def heading_flags(spark: SparkSession, d: str) -> DataFrame:
     h = F.col("h")
-    return heading_lines(spark, d).select("doc_id", X.is_table_label(h).alias("label"), X.is_company(h).alias("company"), X.is_item(h).alias("item"), X.is_marker(h).alias("marker"), X.is_section(h).alias("section"), X.is_valid_heading(h).alias("valid"), X.is_subheading(h).alias("sub"), X.is_line_heading(h).alias("line"))
+    return heading_lines(spark, d).select("doc_id", "n", X.is_table_label(h).alias("label"), X.is_company(h).alias("company"), X.is_item(h).alias("item"), X.is_marker(h).alias("marker"), X.is_section(h).alias("section"), X.is_valid_heading(h).alias("valid"), X.is_subheading(h).alias("sub"), X.is_line_heading(h).alias("line"))
 
 
 @query
@@ -384,7 +387,7 @@ def heading_offsets(spark: SparkSession, d: str) -> DataFrame:
 def turn_marks(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """(chunks, headings): turns of one role name the sections of the turns after them."""
     c = table(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("doc_id"), F.col("turn").cast("int").alias("page"), "role", "text")
-    heads = c.where("role = 'user'").select("doc_id", "page", F.length("text").alias("off"), F.substring("text", 1, 30).alias("heading"), F.lit(True).alias("is_section"))
+    heads = c.where("role = 'user'").select("doc_id", "page", F.length("text").alias("off"), F.col("text").alias("heading"), F.lit(True).alias("is_section"))
     chunks = c.select(F.concat_ws("-", "doc_id", F.col("page").cast("string")).alias("chunk_id"), "doc_id", "page", F.lit(0).alias("off"), F.lit(120).alias("stop"))
     return chunks, heads
 
@@ -405,7 +408,7 @@ def contained_heading(spark: SparkSession, d: str) -> DataFrame:
 def attached_headings(spark: SparkSession, d: str) -> DataFrame:
     """Chunks of conversations, a page a turn, each page's heading being its first words in capitals."""
     pages = files.turn_pages(table(spark, d, "conversations"))
-    head = F.upper(F.substring("text", 1, 24))
+    head = capitals(F.substring("text", 1, 24))
     pages = pages.withColumn("headings", F.array(head)).withColumn("text", F.concat(head, F.lit(" "), "text"))
     out = headings.attach_headings(chunking.chunk_pages(pages, "recursive", 60, 6, 5), pages)
     return out.select("doc_id", "chunk_index", "chunk_id", "section_heading", "subheading")
@@ -531,9 +534,11 @@ def ingest_skip(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def index_scan(spark: SparkSession, d: str) -> DataFrame:
-    """Points and payloads of each document of the stored side."""
+    """Points and payloads of each document of the stored side: ids by one scan, payloads by another."""
     _, stored = index_sides(spark, d)
-    return stored.groupBy("doc_id").agg(F.count("*").alias("points"), F.count_if(F.col("source_file") != "").alias("named"))
+    points = stored.withColumn("chunk_id", F.col("id")).withColumns({f: F.lit(None).cast("string") for f in index.FIELDS if f not in (*stored.columns, "chunk_id")})
+    named = index.scan_payloads(points).groupBy("doc_id").agg(F.count_if(F.col("source_file") != "").alias("named"))
+    return points.join(index.scan_ids(points), "id", "left_semi").groupBy("doc_id").agg(F.count("*").alias("points")).join(named, "doc_id")
 
 
 # --- evidence --------------------------------------------------------------
@@ -588,7 +593,7 @@ def reply_parse(spark: SparkSession, d: str) -> DataFrame:
     r = stub_replies(spark, d)
     body = F.to_json(F.struct("status", "selections"))
     kind = F.col("query_id").cast("long") % 3
-    broken = F.when(kind == 1, F.concat(F.lit('{"extra": 1, '), F.substring(body, 2, 1 << 20))).when(kind == 2, F.expr("substring(b, 1, length(b) - 2)")).otherwise(body)
+    broken = F.when(kind == 1, F.concat(F.lit('{"extra": 1, '), F.expr("substring(b, 2)"))).when(kind == 2, F.expr("substring(b, 1, length(b) - 2)")).otherwise(body)
     out = evidence.parsed(r.withColumn("b", body).select("query_id", broken.alias("reply")))
     return out.select("query_id", F.when(F.col("valid"), F.col("status")).alias("status"), "valid")
 
@@ -599,8 +604,8 @@ def reply_parse(spark: SparkSession, d: str) -> DataFrame:
 @query
 def latest_sessions(spark: SparkSession, d: str) -> DataFrame:
     """The sixteen latest events of each user."""
-    e = table(spark, d, "events").select("user_id", "event_id", F.expr("row_number() over (partition by user_id order by ts desc, event_id desc)").alias("place"))
-    return e.where("place <= 16").withColumn("place", F.col("place").cast("int"))
+    e = service.latest(table(spark, d, "events").select("user_id", "event_id", "ts"), "user_id", 16, "ts", "event_id")
+    return e.select("user_id", "event_id", F.col("place").cast("int").alias("place"))
 
 
 @query

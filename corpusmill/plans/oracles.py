@@ -118,11 +118,12 @@ _FIXED = f"""WITH RECURSIVE doc AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, {_
     SELECT doc_id, chunk_index, CAST(greatest(1, length(text) // 4) AS INTEGER) AS token_count,
         'chunk_' || doc_id || '_' || substr(sha256(doc_id || ':' || chunk_index || ':1:1'), 1, 8) || '_' || substr(sha256(text), 1, 16) AS chunk_id FROM c"""
 
-_HEAD = r"regexp_replace(substr(text, 1, 40), '\s+', ' ', 'g')"
-_HEADS = f"""h AS (SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN 'Item ' || (doc_id % 16) || 'A. ' || {_HEAD} WHEN 1 THEN upper({_HEAD}) WHEN 2 THEN 'Years ended ' || {_HEAD}
-    WHEN 3 THEN '(' || {_HEAD} || ')' WHEN 4 THEN substr(text, 1, 12) || ', Inc.' WHEN 5 THEN '2013 and 201' || (doc_id % 10)
-    WHEN 6 THEN ['REPORT OF INDEPENDENT REGISTERED PUBLIC ACCOUNTING FIRM', 'INDEX TO CONSOLIDATED FINANCIAL STATEMENTS', 'SIGNATURES', 'PART I', 'PART II', 'PART III', 'PART IV'][doc_id % 7 + 1] ELSE {_HEAD} END AS h FROM documents),
-    t AS (SELECT doc_id, {_strip("h")} AS s FROM h),
+_HEAD = r"regexp_replace(line, '\s+', ' ', 'g')"
+_HEADS = f"""l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n, unnest(string_split(text, chr(10))) AS line FROM documents),
+    h AS (SELECT doc_id, n, CASE (doc_id + n) % 8 WHEN 0 THEN 'Item ' || ((doc_id + n) % 16) || 'A. ' || {_HEAD} WHEN 1 THEN translate({_HEAD}, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') WHEN 2 THEN 'Years ended ' || {_HEAD}
+    WHEN 3 THEN '(' || {_HEAD} || ')' WHEN 4 THEN {_HEAD} || ', Inc.' WHEN 5 THEN '2013 and 201' || ((doc_id + n) % 10)
+    WHEN 6 THEN ['REPORT OF INDEPENDENT REGISTERED PUBLIC ACCOUNTING FIRM', 'INDEX TO CONSOLIDATED FINANCIAL STATEMENTS', 'SIGNATURES', 'PART I', 'PART II', 'PART III', 'PART IV'][(doc_id + n) % 7 + 1] ELSE {_HEAD} END AS h FROM l),
+    t AS (SELECT doc_id, n, {_strip("h")} AS s FROM h),
     f AS (SELECT *, regexp_matches(s, ',$|^\\d{{4}}(\\s+\\d{{4}})+\\s+\\(|Data:$|\\d{{4}} and \\d{{4}}$|^\\s*\\(|^Years ended |^As of ') AS label,
         regexp_matches(s, '(?i)(^|[^\\p{{L}}\\p{{N}}_])(INC\\.?|CORP\\.?|CORPORATION|LLC\\.?|LTD\\.?|LIMITED|CO\\.?|COMPANY)\\.?$|(^|[^\\p{{L}}\\p{{N}}_])AND\\s+SUBSIDIARIES\\.?$') AS company,
         regexp_matches(s, '(?i)^ITEM\\s+\\d+[A-C]?\\.\\s*\\S') AS item,
@@ -158,7 +159,138 @@ _GRID_ROWS = f"""wg AS (SELECT doc_id, {_WORDS} AS w FROM documents), g AS (SELE
 _CELL = r"""replace(trim(regexp_replace(regexp_replace(c, '[\p{Co}\p{Cf}]', '', 'g'), '\s+', ' ', 'g')), '|', '\|')"""
 _LINES = f"""list_transform(grid, lambda r: '| ' || array_to_string(list_concat(list_transform(r, lambda c: {_CELL}), list_transform(range(CAST(list_max(list_transform(grid, lambda y: len(y))) - len(r) AS BIGINT)), lambda z: '')), ' | ') || ' |')"""
 
+
+def _tokens(x: str) -> str:
+    return f"greatest(1, length({x}) // 4)"
+
+
+def _merge(name: str, source: str, size: int, overlap: int, least: int) -> str:
+    """Common table expressions up to name (id, chunks): the parts of source (id, parts) in chunks, as lists."""
+    enough = lambda x: f"CASE WHEN {x} <> '' AND {_tokens(x)} >= {least} THEN [{x}] ELSE CAST([] AS VARCHAR[]) END"
+    windows = f"list_filter(list_transform(range(0, length(s1), {4 * size}), lambda j: substr(s1, CAST(j + 1 AS BIGINT), {4 * size})), lambda w: {_tokens('w')} >= {least})"
+    return rf"""
+    {name}_se AS (SELECT id, k, string_split(regexp_replace(p, '([.!?])\s+', '\1' || chr(31), 'g'), chr(31)) AS s FROM (SELECT id, generate_subscripts(parts, 1) AS k, unnest(parts) AS p FROM {source}) WHERE k > 1 AND {_tokens('p')} > {size}),
+    {name}_bf(id, k, i, done, cur) AS (
+        SELECT id, k, 0, CAST([] AS VARCHAR[]), '' FROM {name}_se
+        UNION ALL
+        SELECT id, k, i + 1,
+            CASE WHEN {_tokens('s1')} > {size} THEN list_concat(done, list_concat({enough('cur')}, {windows})) WHEN cur = '' OR {_tokens("cur || ' ' || s1")} <= {size} THEN done ELSE list_concat(done, {enough('cur')}) END,
+            CASE WHEN {_tokens('s1')} > {size} THEN '' WHEN cur = '' THEN s1 WHEN {_tokens("cur || ' ' || s1")} <= {size} THEN cur || ' ' || s1 ELSE s1 END
+        FROM (SELECT b.*, e.s[b.i + 1] AS s1 FROM {name}_bf b JOIN {name}_se e USING (id, k) WHERE b.i < len(e.s))),
+    {name}_bu AS (SELECT b.id, b.k, list_concat(b.done, {enough('b.cur')}) AS burst FROM {name}_bf b JOIN {name}_se e USING (id, k) WHERE b.i = len(e.s)),
+    {name}_f(id, i, done, cur) AS (
+        SELECT id, 1, CAST([] AS VARCHAR[]), parts[1] FROM {source} WHERE len(parts) > 0
+        UNION ALL
+        SELECT id, i + 1,
+            CASE WHEN {_tokens('p')} > {size} THEN list_concat(done, list_concat({enough('cur')}, burst)) WHEN {_tokens("cur || ' ' || p")} <= {size} THEN done ELSE list_concat(done, {enough('cur')}) END,
+            CASE WHEN {_tokens('p')} > {size} THEN '' WHEN {_tokens("cur || ' ' || p")} <= {size} THEN cur || ' ' || p WHEN tail <> '' THEN tail || ' ' || p ELSE p END
+        FROM (SELECT f.*, d.parts[f.i + 1] AS p, b.burst, CASE WHEN {_tokens('f.cur')} <= {overlap} THEN f.cur ELSE right(f.cur, {4 * overlap}) END AS tail
+              FROM {name}_f f JOIN {source} d USING (id) LEFT JOIN {name}_bu b ON b.id = f.id AND b.k = f.i + 1 WHERE f.i < len(d.parts))),
+    {name} AS (SELECT f.id, list_concat(f.done, {enough('f.cur')}) AS chunks FROM {name}_f f JOIN {source} d USING (id) WHERE f.i = len(d.parts))"""
+
+
+def _split(text: str, size: int) -> str:
+    """Paragraphs, else sentences, else groups of words."""
+    paragraphs = rf"list_filter(list_transform(string_split({text}, chr(10) || chr(10)), lambda s: {_strip('s')}), lambda s: s <> '')"
+    sentences = _SENTENCES.replace("(text,", f"({text},")
+    words = _WORDS.replace("(text,", f"({text},")
+    groups = f"list_transform(range(0, len({words}), {size // 4}), lambda k: array_to_string({words}[k + 1:k + {size // 4}], ' '))"
+    return f"CASE WHEN len({paragraphs}) > 1 THEN {paragraphs} WHEN len({sentences}) > 1 THEN {sentences} ELSE {groups} END"
+
+
+_CHUNK_ID = "'chunk_' || doc_id || '_' || substr(sha256(doc_id || ':' || chunk_index || ':' || page || ':' || page), 1, 8) || '_' || substr(sha256(text), 1, 16)"
+_RECURSIVE = f"""WITH RECURSIVE dp AS (SELECT doc_id AS id, {_split('text', 100)} AS parts FROM documents WHERE {_strip('text')} <> ''), {_merge('mg', 'dp', 100, 10, 10)},
+    c AS (SELECT CAST(id AS VARCHAR) AS doc_id, 1 AS page, CAST(generate_subscripts(chunks, 1) - 1 AS INTEGER) AS chunk_index, unnest(chunks) AS raw FROM mg),
+    d AS (SELECT *, {_strip('raw')} AS text FROM c)
+    SELECT doc_id, chunk_index, CAST({_tokens('text')} AS INTEGER) AS token_count, {_CHUNK_ID} AS chunk_id FROM d"""
+
+_TABLES = f"""WITH RECURSIVE {_GRID_ROWS}, gl AS (SELECT doc_id, list_transform({_LINES}, lambda l: trim(l)) AS lines, '| ' || array_to_string(list_transform(range(CAST(list_max(list_transform(grid, lambda y: len(y))) AS BIGINT)), lambda z: '---'), ' | ') || ' |' AS rule FROM g),
+    h AS (SELECT doc_id, lines, lines[1] || chr(10) || rule AS head FROM gl),
+    f(doc_id, i, used, part) AS (
+        SELECT doc_id, 2, {_tokens('head')} + {_tokens('lines[2]')}, 0 FROM h WHERE len(lines) > 1
+        UNION ALL
+        SELECT doc_id, i + 1, CASE WHEN used + n + 1 > 100 THEN base + n ELSE used + n + 1 END, CASE WHEN used + n + 1 > 100 THEN part + 1 ELSE part END
+        FROM (SELECT f.*, {_tokens('h.lines[f.i + 1]')} AS n, {_tokens('h.head')} AS base FROM f JOIN h USING (doc_id) WHERE f.i < len(h.lines))),
+    t AS (SELECT f.doc_id, f.part, any_value(h.head) || chr(10) || string_agg(h.lines[f.i], chr(10) ORDER BY f.i) AS text FROM f JOIN h USING (doc_id) GROUP BY 1, 2
+        UNION ALL SELECT doc_id, 0, head FROM h WHERE len(lines) = 1),
+    u AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, text, part, part = max(part) OVER (PARTITION BY doc_id) AS last FROM t),
+    c AS (SELECT doc_id, text, 1 AS page, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY part) - 1 AS INTEGER) AS chunk_index FROM u WHERE NOT last OR {_tokens('text')} >= 10)
+    SELECT doc_id, chunk_index, CAST({_tokens('text')} AS INTEGER) AS token_count, {_CHUNK_ID} AS chunk_id FROM c"""
+
+
+def _bare(x: str) -> str:
+    flat = rf"regexp_replace(regexp_replace({x}, '(?s)<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')"
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
+        flat = f"replace({flat}, '{entity}', '{char}')"
+    return f"trim({flat})"
+
+
+def _without(html: str) -> str:
+    for tag in ("nav", "footer", "script", "style", "head"):
+        html = rf"regexp_replace({html}, '(?is)<{tag}\b[^>]*>.*?</{tag}>', ' ', 'g')"
+    return html
+
+
+_HTML = rf"""hb AS (SELECT CAST(page_id AS VARCHAR) AS doc_id, {_without("coalesce(html, '')")} AS body FROM pages),
+    hl AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(body, '(?is)<(?:h1|p|li)\b[^>]*>(.*?)</(?:h1|p|li)>', 1), lambda x: {_bare('x')}), lambda x: x <> '') AS blocks,
+        list_filter(list_transform(regexp_extract_all(body, '(?is)<h1\b[^>]*>(.*?)</h1>', 1), lambda x: {_bare('x')}), lambda x: x <> '') AS h1 FROM hb),
+    hp AS (SELECT doc_id, array_to_string(blocks, chr(10)) AS text, list_filter(h1, lambda x, i: list_position(h1, x) = i) AS headings FROM hl)"""
+_LABEL = r"',$|^\d{4}(\s+\d{4})+\s+\(|Data:$|\d{4} and \d{4}$|^\s*\(|^Years ended |^As of '"
+_DETECTED = rf"""WITH {_HTML}, ln AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS position, unnest(string_split(text, chr(10))) AS line, headings FROM hp),
+    sz AS (SELECT doc_id, position, trim(regexp_replace(regexp_replace(line, '[\p{{Co}}\p{{Cf}}]', '', 'g'), '\s+', ' ', 'g')) AS heading, CASE WHEN list_contains(headings, line) THEN 18.0 ELSE 10.0 END AS size FROM ln),
+    bs AS (SELECT *, median(size) OVER (PARTITION BY doc_id) AS base, regexp_matches(heading, '(?i)^Item\s+\d+[A-C]?\.\s+\S') AS item FROM sz)
+    SELECT doc_id, 1 AS page_number, CAST(min(position) AS INTEGER) AS position, heading FROM bs WHERE heading <> '' AND length(heading) <= CASE WHEN item THEN 160 ELSE 60 END
+        AND NOT regexp_matches(heading, '^(,$|\d{{4}}(\s+\d{{4}})+\s+\()') AND (size >= base * 1.25 OR item) GROUP BY doc_id, heading"""
+
+_LINE_HEAD = r"""(regexp_matches(s, '^[A-Z][A-Z\s\d.\-,:]+$') OR regexp_matches(s, '^[\d.]+\s+[A-Z]') OR regexp_matches(s, '^[A-Z][A-Z\s\d.\-]{2,}$') OR regexp_matches(s, '(?i)^Item\s+\d+[A-Z]?\.\s*\S?'))"""
+_STRUCTURE = rf"""WITH RECURSIVE {_HTML},
+    kn AS (SELECT doc_id, text, generate_subscripts(headings, 1) AS n, unnest(headings) AS h FROM hp),
+    po AS (SELECT doc_id, text, n, h, unnest(list_filter(range(1, length(text) - length(h) + 2), lambda p: substr(text, p, length(h)) = h)) AS p FROM kn),
+    li AS (SELECT doc_id, text, generate_subscripts(string_split(text, chr(10)), 1) AS n, unnest(string_split(text, chr(10))) AS line FROM hp WHERE doc_id NOT IN (SELECT doc_id FROM po)),
+    lo AS (SELECT *, 1 + coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begin, {_strip('line')} AS s FROM li),
+    hd AS (SELECT doc_id, text, n, h, p FROM po UNION ALL SELECT doc_id, text, n, s, CAST(begin + length(line) - length(ltrim(line)) AS BIGINT) FROM lo WHERE s <> '' AND length(s) < 150 AND {_LINE_HEAD}),
+    hx AS (SELECT *, p - length(regexp_extract(substr(text, 1, p - 1), '[^\n]*$')) AS begin, CASE WHEN strpos(substr(text, p), chr(10)) > 0 THEN p + strpos(substr(text, p), chr(10)) - 1 ELSE length(text) + 1 END AS stop FROM hd),
+    hn AS (SELECT *, row_number() OVER w AS j, lead(begin, 1, length(text) + 2) OVER w AS below FROM hx WINDOW w AS (PARTITION BY doc_id ORDER BY p, n)),
+    bd AS (SELECT doc_id, j, h, {_strip("array_to_string(list_concat(list_filter([" + _strip("substr(text, begin, p - begin)") + ", " + _strip("substr(text, p + length(h), stop - p - length(h))") + "], lambda x: x <> ''), CASE WHEN below > stop + 1 THEN [substr(text, stop + 1, below - stop - 2)] ELSE [] END), chr(10))")} AS body FROM hn),
+    sx AS (SELECT doc_id, j, h, h || chr(10) || chr(10) || body AS text FROM bd WHERE body <> ''
+        UNION ALL SELECT doc_id, 0, NULL, {_strip('substr(text, 1, begin - 1)')} FROM hn WHERE j = 1 AND {_strip('substr(text, 1, begin - 1)')} <> ''
+        UNION ALL SELECT doc_id, 0, NULL, text FROM hp WHERE doc_id NOT IN (SELECT doc_id FROM hn) AND {_strip('text')} <> ''),
+    dp AS (SELECT {{'doc': doc_id, 'j': j, 'h': h}} AS id, {_split('text', 100)} AS parts FROM sx), {_merge('mg', 'dp', 100, 10, 10)},
+    c AS (SELECT id.doc AS doc_id, id.h AS section_heading, id.j AS j, generate_subscripts(chunks, 1) AS k, unnest(chunks) AS raw FROM mg),
+    d AS (SELECT doc_id, section_heading, 1 AS page, {_strip('raw')} AS text, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY j, k) - 1 AS INTEGER) AS chunk_index FROM c)
+    SELECT doc_id, chunk_index, section_heading, CAST({_tokens('text')} AS INTEGER) AS token_count, {_CHUNK_ID} AS chunk_id FROM d"""
+
+_ATTACHED = rf"""WITH RECURSIVE tu AS (SELECT conv_id, turn, translate(substr(text, 1, 24), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS h, translate(substr(text, 1, 24), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') || ' ' || text AS text FROM conversations WHERE text IS NOT NULL),
+    dp AS (SELECT {{'c': conv_id, 't': turn}} AS id, {_split('text', 60)} AS parts FROM tu WHERE {_strip('text')} <> ''), {_merge('mg', 'dp', 60, 6, 5)},
+    t AS (SELECT conv_id, turn, h, {_strip('h')} AS s FROM tu),
+    v AS (SELECT conv_id, turn, h FROM t WHERE s <> '' AND length(s) <= CASE WHEN regexp_matches(s, '(?i)^ITEM\s+\d+[A-C]?\.\s*\S') THEN 160 ELSE 60 END AND NOT regexp_matches(s, {_LABEL})
+        AND NOT regexp_matches(s, '(?i)(^|[^\p{{L}}\p{{N}}_])(INC\.?|CORP\.?|CORPORATION|LLC\.?|LTD\.?|LIMITED|CO\.?|COMPANY)\.?$|(^|[^\p{{L}}\p{{N}}_])AND\s+SUBSIDIARIES\.?$')),
+    c AS (SELECT id.c AS conv_id, id.t AS page, generate_subscripts(chunks, 1) AS k, unnest(chunks) AS raw FROM mg),
+    d AS (SELECT conv_id, CAST(conv_id AS VARCHAR) AS doc_id, page, {_strip('raw')} AS text, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY page, k) - 1 AS INTEGER) AS chunk_index FROM c)
+    SELECT doc_id, chunk_index, {_CHUNK_ID} AS chunk_id, (SELECT arg_max(v.h, v.turn) FROM v WHERE v.conv_id = d.conv_id AND v.turn <= d.page) AS section_heading, CAST(NULL AS VARCHAR) AS subheading FROM d"""
+
+_STATES = """WITH RECURSIVE e AS (SELECT user_id, ['accept', 'start', 'parsed', 'indexed', 'error', 'delete', 'erased', 'interrupted'][event_id % 8 + 1] AS ev, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+    s(user_id, n, st) AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT), 'none' FROM e UNION ALL
+        SELECT e.user_id, e.n, CASE WHEN ev = 'delete' AND st <> 'deleted' THEN 'deleting' WHEN ev = 'accept' AND st IN ('none', 'failed', 'deleted') THEN 'queued' WHEN st = 'queued' AND ev = 'start' THEN 'processing'
+            WHEN st = 'processing' AND ev = 'parsed' THEN 'indexing' WHEN st = 'indexing' AND ev = 'indexed' THEN 'ready' WHEN st = 'processing' AND ev = 'error' THEN 'failed'
+            WHEN st IN ('queued', 'processing') AND ev = 'interrupted' THEN 'failed' WHEN st = 'deleting' AND ev = 'erased' THEN 'deleted' ELSE st END
+        FROM s JOIN e ON e.user_id = s.user_id AND e.n = s.n + 1)
+    SELECT CAST(user_id AS VARCHAR) AS doc_id, arg_max(st, n) AS status, arg_max(st, n) NOT IN ('indexing', 'cleanup_required', 'deleting') AS readable FROM s GROUP BY user_id"""
+
+_LIMITER = """WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) / 1e6 AS tm, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+    s(event_id, user_id, n, start_at, c) AS (SELECT event_id, user_id, n, tm, 1 FROM e WHERE n = 1 UNION ALL
+        SELECT e.event_id, e.user_id, e.n, CASE WHEN e.tm >= s.start_at + 86400 THEN e.tm ELSE s.start_at END, CASE WHEN e.tm >= s.start_at + 86400 THEN 1 ELSE s.c + 1 END FROM s JOIN e ON e.user_id = s.user_id AND e.n = s.n + 1)
+    SELECT event_id, c <= 3 AS allowed FROM s"""
+
 ORACLES: dict[str, str] = {
+    "chunk_recursive": _RECURSIVE,
+    "chunk_structure": _STRUCTURE,
+    "chunk_tables": _TABLES,
+    "attached_headings": _ATTACHED,
+    "html_text": f"WITH {_HTML} SELECT doc_id, length(text) AS char_count, array_to_string(headings, ' / ') AS headings, {_quality('text')} AS text_quality FROM hp",
+    "detected_headings": _DETECTED,
+    "document_states": _STATES,
+    "login_limiter": _LIMITER,
     "bm25_topk": f"WITH {_bm25(5)} {_HIT} bm",
     "bm25_filtered_lang": f"WITH {_bm25(5, where="lang = 'de'")} {_HIT} bm",
     "bm25_min_score": f"WITH {_bm25(20, least='score >= 25.0')} {_HIT} bm",
@@ -213,13 +345,13 @@ ORACLES: dict[str, str] = {
     "chunk_quality": f"""WITH x AS (SELECT conv_id, turn, {_DAMAGED} AS text FROM conversations), p AS (SELECT conv_id, turn, {_quality('text')} AS q FROM x)
         SELECT a.conv_id || '-' || a.turn AS chunk_id, round(avg(b.q), 6) AS text_quality FROM p a JOIN p b ON a.conv_id = b.conv_id AND b.turn BETWEEN a.turn AND a.turn + 1 GROUP BY 1""",
     "mid_sentence": f"""WITH t AS (SELECT role, text || CASE WHEN length(text) % 3 = 0 THEN '" )' ELSE '' END AS x FROM conversations), y AS (SELECT role, {_MID} AS m FROM t) SELECT role, count(*) AS n, count(*) FILTER (m) AS n_mid FROM y GROUP BY 1""",
-    "heading_flags": rf"""WITH {_HEADS.replace("\\\\", "\\")} SELECT doc_id, label, company, item, marker, item OR marker AS section, s <> '' AND length(s) <= CASE WHEN item THEN 160 ELSE 60 END AND NOT label AND NOT company AS valid,
+    "heading_flags": rf"""WITH {_HEADS.replace("\\\\", "\\")} SELECT doc_id, CAST(n AS INTEGER) AS n, label, company, item, marker, item OR marker AS section, s <> '' AND length(s) <= CASE WHEN item THEN 160 ELSE 60 END AND NOT label AND NOT company AS valid,
         s <> '' AND NOT item AND length(s) <= 60 AND NOT label AND NOT company AND NOT regexp_matches(s, '^\d{{4}}\s*(?:[-–]\s*\d{{4}})?\s*$|^\d{{4}}\s+and\s+\d{{4}}$|Years ended |As of |\(.*\)') AND NOT regexp_matches(s, '^[\d,\s().]+$') AND NOT ends_with(s, ':') AND NOT regexp_matches(s, '[\p{{Cc}}\p{{Cf}}\p{{Co}}\p{{Zl}}\p{{Zp}}]') AND regexp_matches(s, '[A-Za-z]{{2,}}') AS sub,
         s <> '' AND length(s) < 150 AND (regexp_matches(s, '^[A-Z][A-Z\s\d.\-,:]+$') OR regexp_matches(s, '^[\d.]+\s+[A-Z]') OR regexp_matches(s, '^[A-Z][A-Z\s\d.\-]{{2,}}$') OR regexp_matches(s, '(?i)^Item\s+\d+[A-Z]?\.\s*\S?')) AS line FROM f""",
     "heading_offsets": r"""WITH x AS (SELECT doc_id, text, substr(text, 21, 25) || CASE WHEN doc_id % 4 = 0 THEN chr(127) ELSE '' END AS h FROM documents)
         SELECT doc_id, CAST(CASE WHEN h = '' THEN 0 WHEN strpos(text, h) > 0 THEN strpos(text, h) - 1 WHEN strpos(trim(regexp_replace(text, '\s+', ' ', 'g')), trim(regexp_replace(h, '\s+', ' ', 'g'))) > 0 THEN strpos(trim(regexp_replace(text, '\s+', ' ', 'g')), trim(regexp_replace(h, '\s+', ' ', 'g'))) - 1 ELSE length(text) END AS INTEGER) AS off FROM x""",
-    "heading_carry_forward": """SELECT a.conv_id || '-' || a.turn AS chunk_id, (SELECT arg_max(substr(h.text, 1, 30), (h.turn, length(h.text))) FROM conversations h WHERE h.role = 'user' AND h.conv_id = a.conv_id AND (h.turn < a.turn OR (h.turn = a.turn AND length(h.text) <= 0))) AS heading FROM conversations a""",
-    "contained_heading": """SELECT a.conv_id || '-' || a.turn AS chunk_id, arg_max(substr(h.text, 1, 30), (length(h.text), substr(h.text, 1, 30))) AS heading FROM conversations a JOIN conversations h ON a.conv_id = h.conv_id AND a.turn = h.turn AND h.role = 'user' AND length(h.text) BETWEEN 0 AND 120 GROUP BY 1""",
+    "heading_carry_forward": """SELECT a.conv_id || '-' || a.turn AS chunk_id, (SELECT arg_max(h.text, (h.turn, length(h.text))) FROM conversations h WHERE h.role = 'user' AND h.conv_id = a.conv_id AND (h.turn < a.turn OR (h.turn = a.turn AND length(h.text) <= 0))) AS heading FROM conversations a""",
+    "contained_heading": """SELECT a.conv_id || '-' || a.turn AS chunk_id, arg_max(h.text, (length(h.text), h.text)) AS heading FROM conversations a JOIN conversations h ON a.conv_id = h.conv_id AND a.turn = h.turn AND h.role = 'user' AND length(h.text) BETWEEN 0 AND 120 GROUP BY 1""",
     "token_stats": """WITH x AS (SELECT lang, list_sort(list(CAST(greatest(1, length(text) // 4) AS INTEGER))) AS v FROM documents GROUP BY 1)
         SELECT lang, len(v) AS n, len(list_filter(v, lambda t: t > 512)) AS n_over, round(100 * len(list_filter(v, lambda t: t > 512)) / len(v), 6) AS percent_over, v[len(v) // 2 + 1] AS median, v[CAST(floor(len(v) * 0.95) AS BIGINT) + 1] AS p95, v[CAST(floor(len(v) * 0.99) AS BIGINT) + 1] AS p99, list_min(v) AS least, list_max(v) AS most FROM x""",
     "chunk_summary": f"""WITH x AS (SELECT source AS doc_id, CAST(greatest(1, length(text) // 4) AS INTEGER) AS n_tok, doc_id % 9 <> 0 AS is_text, text AS x FROM documents), y AS (SELECT *, is_text AND {_MID} AS mid FROM x),

@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 from corpusmill.functions import text as X
 from corpusmill.operators import layout
 from corpusmill.schemas import BLOCK, CHUNK, PAGE
+from corpusmill.sources import pdf
 
 PDF_SIGNATURE = bytes((0x25, 0x50, 0x44, 0x46, 0x2D))
+#: Folders of the record table.
+BUCKETS = 256
 MAX_UPLOAD, MAX_EVIDENCE_BYTES, MAX_EVIDENCE_ITEMS = 50 << 20, 1 << 20, 100
 
 
@@ -35,6 +38,17 @@ def ingest_status(files: DataFrame, stored: DataFrame) -> DataFrame:
     return files.join(known, "file_hash", "left").select("path", "file_hash", F.when(F.col("known"), "skipped").otherwise("pending").alias("status"))
 
 
+def _place(spark: SparkSession, path: str):
+    """A path, and the file system it is on."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    where, system = _place(spark, path)
+    return system.exists(where)
+
+
 Reader = Callable[[bytes], list[dict]]
 
 
@@ -62,7 +76,12 @@ def pymupdf_reader() -> Reader:
     return read
 
 
-def read_blocks(files: DataFrame, reader: Callable[[], Reader] = pymupdf_reader) -> DataFrame:
+def plain_reader() -> Reader:
+    """Text blocks by the built-in reader."""
+    return pdf.text_blocks
+
+
+def read_blocks(files: DataFrame, reader: Callable[[], Reader] = plain_reader) -> DataFrame:
     """Blocks (schemas.BLOCK) of every file with `status` and `error`: a file that its reader rejects gives one row with status failed.
 
     reader is made once a worker. Page numbers are physical, from 1.
@@ -101,7 +120,12 @@ def pdfplumber_grids() -> GridReader:
     return read
 
 
-def read_grids(files: DataFrame, reader: Callable[[], GridReader] = pdfplumber_grids) -> DataFrame:
+def plain_grids() -> GridReader:
+    """Ruled tables by the built-in reader."""
+    return pdf.ruled_tables
+
+
+def read_grids(files: DataFrame, reader: Callable[[], GridReader] = plain_grids) -> DataFrame:
     """doc_id, page_number, grid, error: the tables of every file; a file whose tables cannot be read gives one row with an error, a warning rather than a failure."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,6 +150,45 @@ def page_tables(grids: DataFrame) -> DataFrame:
     return good.groupBy("doc_id", "page_number").agg(F.array_sort(F.collect_list("markdown")).alias("tables"))
 
 
+def ingest(spark: SparkSession, folder: str, path: str, reader: Callable[[], Reader] = plain_reader, grids: Callable[[], GridReader] = plain_grids) -> DataFrame:
+    """Read the PDF files below `folder` whose hash the record table at `path` does not hold, add their pages to it, and return
+    path, doc_id, status (processed, skipped or failed), pages, tables, warnings, low_quality and error of every file.
+
+    A file that cannot be read fails by itself; tables that cannot be read, empty and scanned pages are warnings.
+    """
+    found = discover_pdfs(spark, folder)
+    records = read_pages(spark, path) if _exists(spark, path) else None
+    stored = records.select(F.substring("doc_id", 5, 64).alias("file_hash")).distinct() if records is not None else spark.createDataFrame([], "file_hash string")
+    once = pending(found, stored).groupBy("doc_id").agg(F.min_by("content", "path").alias("content"))  # equal files are one document
+    steps = {name: f"{path.rstrip('/')}.{name}" for name in ("blocks", "grids", "status")}
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        """df as a table beside the records, so that every file is read once."""
+        df.write.mode("overwrite").parquet(steps[name])
+        return spark.read.parquet(steps[name])
+
+    blocks = kept(read_blocks(once, reader), "blocks")
+    bad = blocks.where("status = 'failed'").select("doc_id", "error")
+    tables = kept(read_grids(once.join(bad, "doc_id", "left_anti"), grids), "grids")
+    named, good = page_tables(tables), blocks.where("status = 'processed' and page_number is not null").drop("status", "error")
+    pages, warnings = layout.assemble_pages(good, named)
+    # a page of tables alone has no block of text
+    alone = named.join(good.select("doc_id", "page_number"), ["doc_id", "page_number"], "left_anti")
+    none = F.array().cast("array<string>")
+    pages = pages.unionByName(alone.select("doc_id", "page_number", F.lit("").alias("text"), "tables", none.alias("headings"), F.lit(0).alias("char_count"), F.lit(1.0).alias("text_quality")))
+    pages = pages.join(found.groupBy("doc_id").agg(F.min("path").alias("source_file")), "doc_id")
+    counts = pages.groupBy("doc_id").agg(F.count("*").alias("pages"), F.sum(F.size("tables")).alias("tables"), F.count_if(F.col("text_quality") < X.LOW_QUALITY).alias("low_quality"))
+    trouble = warnings.select("doc_id").union(tables.where("error is not null").select("doc_id")).groupBy("doc_id").agg(F.count("*").alias("warnings"))
+    status = found.select("path", "doc_id", "file_hash").join(stored.withColumn("known", F.lit(True)), "file_hash", "left").join(bad, "doc_id", "left")
+    status = status.withColumn("status", F.when(F.col("known"), "skipped").when(F.col("error").isNotNull(), "failed").otherwise("processed"))
+    figures = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("pages", "tables", "warnings", "low_quality")]
+    out = kept(status.join(counts, "doc_id", "left").join(trouble, "doc_id", "left").select("path", "doc_id", "status", *figures, "error"), "status")
+    write_pages(pages, path)
+    for name in ("blocks", "grids"):
+        _place(spark, steps[name])[1].delete(_place(spark, steps[name])[0], True)
+    return out
+
+
 def html_pages(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """Web pages as schemas.PAGE: first-level headings, the text of paragraphs and list items; navigation and footers are edges and go."""
     body = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<(nav|footer|script|style|head)\b[^>]*>.*?</\1>", " ")
@@ -157,8 +220,27 @@ def turn_pages(conversations: DataFrame) -> DataFrame:
 
 
 def write_pages(pages: DataFrame, path: str) -> None:
-    """The record table, by document; a run replaces only the documents it holds."""
-    pages.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("doc_id").parquet(path)
+    """The record table, in BUCKETS folders by a hash of the document; a run replaces only the documents it holds.
+
+    Of the folders that the run's documents fall into, the other documents are read and written again beside them, to a new place first.
+    """
+    spark = pages.sparkSession
+    fresh = pages.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int"))
+    if _exists(spark, path):
+        old = read_pages(spark, path)
+        touched = fresh.select("bucket").distinct()  # BUCKETS rows at most
+        kept = old.join(F.broadcast(touched), "bucket", "left_semi").join(pages.select("doc_id").distinct(), "doc_id", "left_anti")
+        fresh = fresh.unionByName(kept.select(fresh.columns))
+    staged = f"{path.rstrip('/')}.staged"
+    fresh.repartition("bucket", F.pmod(F.xxhash64("doc_id", "page_number"), F.lit(8))).sortWithinPartitions("bucket", "doc_id", "page_number").write.mode("overwrite").partitionBy("bucket").parquet(staged)
+    spark.read.schema(fresh.schema).parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    where, system = _place(spark, staged)
+    system.delete(where, True)
+
+
+def read_pages(spark: SparkSession, path: str) -> DataFrame:
+    """The record table of write_pages(), with its bucket."""
+    return spark.read.parquet(path)
 
 
 def read_page_records(spark: SparkSession, path: str) -> DataFrame:
@@ -180,9 +262,9 @@ def read_gold_set(spark: SparkSession, path: str) -> DataFrame:
     return files.select("version", F.posexplode(value["queries"]).alias("n", "q")).select(F.col("n").cast("string").alias("query_id"), "q.query", F.array_sort(F.array_distinct("q.relevant_chunk_ids")).alias("relevant_chunk_ids"), "q.note", "version")
 
 
-def query_lines(lines: DataFrame, column: str = "value") -> DataFrame:
-    """Queries of a file, one a line, trimmed; blank lines and lines that begin with # are left out."""
-    return lines.select(X.strip(F.col(column)).alias("query")).where("query <> '' and not startswith(query, '#')")
+def query_lines(lines: DataFrame, column: str = "value", *keep: str) -> DataFrame:
+    """Queries of a file, one a line, trimmed, beside the columns to keep; blank lines and lines that begin with # are left out."""
+    return lines.select(*keep, X.strip(F.col(column)).alias("query")).where("query <> '' and not startswith(query, '#')")
 
 
 def read_query_file(spark: SparkSession, path: str) -> DataFrame:

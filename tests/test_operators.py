@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import text as X
 from corpusmill.functions.packing import Packer, QuarterTokens
-from corpusmill.operators import chunking, embed, evaluate, evidence, headings, index, layout, reports, retrieval, service
+from corpusmill.operators import chunking, embed, evaluate, evidence, headings, index, layout, provider, reports, retrieval, service
 from corpusmill.sources import files
 from corpusmill.streaming import incremental
 
@@ -398,3 +398,170 @@ def test_model_token_summary(spark):
     rows = spark.createDataFrame([("d", "text", 10, 12), ("d", "text", 20, 18), ("d", "table", 1, 900)], "doc_id string, chunk_type string, token_count int, model_tokens int")
     got = reports.model_token_summary(rows, ["doc_id"], 15).first()
     assert (got["n"], got["n_over"], got["median_model_tokens"], got["median_ratio"]) == (2, 1, 15.0, pytest.approx(1.05))
+
+
+def test_dense_with_many_queries_equals_dense_with_few(spark, monkeypatch):
+    rows = spark.range(60).select(F.col("id").cast("string").alias("chunk_id"), embed.hash_embedding(F.col("id").cast("string"), 8).alias("vector"))
+    asked = rows.where("cast(chunk_id as int) % 3 = 0").withColumnRenamed("chunk_id", "query_id")
+    want = sorted(map(str, retrieval.dense(asked, rows, 4).collect()))
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 7)
+    assert sorted(map(str, retrieval.dense(asked, rows, 4).collect())) == want
+
+
+class HalfScorer:
+    """Scores by length, a batch at a time; one too few where told to."""
+
+    def __init__(self, short=False):
+        self.short = short
+
+    def load(self):
+        def predict(pairs):
+            assert len(pairs) <= 2
+            return [1.0 / (len(q) + len(t)) for q, t in pairs][: len(pairs) - self.short]
+
+        return predict
+
+
+def test_cross_encoder_in_batches(spark):
+    q = spark.createDataFrame([("q", "ab")], "query_id string, query string")
+    index = spark.createDataFrame([(str(k), "x" * (9 - k)) for k in range(7)], "chunk_id string, text string")
+    hits = spark.createDataFrame([("q", str(k), 1.0, k + 1) for k in range(7)], "query_id string, chunk_id string, score double, rank int")
+    config = retrieval.RerankConfig(7, 3, batch_size=2)
+    assert [r["chunk_id"] for r in retrieval.rerank(hits, q, index, config, HalfScorer()).orderBy("rank").collect()] == ["6", "5", "4"]
+    with pytest.raises(Exception, match="scores for"):
+        retrieval.rerank(hits, q, index, config, HalfScorer(short=True)).collect()
+
+
+def test_rerank_settings_come_from_those_given_then_the_environment(monkeypatch):
+    monkeypatch.delenv("RERANKER_MODEL", raising=False)
+    assert retrieval.RerankConfig().model_name == retrieval.RERANKER and retrieval.RerankConfig(model_name=" own ").model_name == "own"
+    monkeypatch.setenv("RERANKER_MODEL", "other")
+    monkeypatch.setenv("RERANKER_TOP_K", "no number")
+    monkeypatch.setenv("RERANKER_BATCH_SIZE", "8")
+    assert retrieval.RerankConfig(model_name="  ").model_name == "other"
+    got = retrieval.RerankConfig.from_env(top_k=3)
+    assert (got.top_k, got.batch_size, got.model_name, got.candidate_count) == (3, 8, "other", 20)
+    with pytest.raises(ValueError, match="invalid literal"):
+        retrieval.RerankConfig.from_env()
+    for bad in ({"top_k": 0}, {"candidate_count": 2}, {"batch_size": 0}, {"model_name": 3}):
+        with pytest.raises(ValueError, match="must"):
+            retrieval.RerankConfig(**bad)
+
+
+class Vectors:
+    dimension, model_name = 2, "test"
+
+    def __init__(self, wrong=""):
+        self.wrong = wrong
+
+    def load(self):
+        def encode(texts, is_query):
+            assert len(texts) <= 3 and all(t.startswith("find: ") == is_query for t in texts)
+            rows = [[3.0, 4.0] for _ in texts]
+            return rows[1:] if self.wrong == "count" else [r + [1.0] for r in rows] if self.wrong == "dimension" else [[float("nan"), 1.0] for _ in texts] if self.wrong == "nan" else rows
+
+        return encode
+
+
+def test_embedders_are_checked_and_normalised(spark):
+    df = spark.createDataFrame([(f"t{k}",) for k in range(7)] + [(None,)], "t string").coalesce(1)
+    for is_query in (False, True):
+        got = df.select(embed.embedding_udf(Vectors(), is_query, 3, "find: ")("t").alias("v")).collect()
+        assert len(got) == 8 and all(r["v"] == pytest.approx([0.6, 0.8]) for r in got)
+    assert df.select(embed.embedding_udf(Vectors(), normalise=False, batch=3)("t").alias("v")).first()["v"] == [3.0, 4.0]
+    for wrong in ("count", "dimension", "nan"):
+        with pytest.raises(Exception, match="no . finite vectors"):
+            df.select(embed.embedding_udf(Vectors(wrong), batch=3)("t")).collect()
+
+
+def test_generation_settings():
+    ok = provider.GenerationConfig("m")
+    assert provider.GenerationConfig.from_env({"RAG_LLM_MODEL": "m"}) == ok
+    got = provider.GenerationConfig.from_env({"RAG_LLM_MODEL": "m", "RAG_MAX_EVIDENCE_CHUNKS": "5", "RAG_LLM_TIMEOUT_SECONDS": "1.5", "RAG_LLM_PROVIDER": "local"})
+    assert (got.max_chunks, got.timeout_seconds, got.provider) == (5, 1.5, "local")
+    bad = [{"model": ""}, {"model": " m"}, {"provider": "x"}, {"timeout_seconds": 0}, {"timeout_seconds": float("inf")}, {"timeout_seconds": float("nan")}, {"max_chunks": 0}, {"max_chunks": 101}, {"max_chunks": True}, {"max_output_tokens": 63}, {"max_response_bytes": 1 << 21}, {"max_evidence_chars": 1.5}]
+    bad += [{"base_url": u} for u in ("ftp://h", "http://", "http://u:p@h", "http://h/x", "http://h?q", "http://h#f", "h:1")]
+    for more in bad:
+        with pytest.raises(ValueError):  # noqa: PT011
+            provider.GenerationConfig(**({"model": "m"} | more))
+
+
+def test_replies_of_a_service(spark):
+    import http.server
+    import json
+    import threading
+
+    seen = []
+
+    class Service(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            seen.append(json.loads(self.rfile.read(int(self.headers["Content-Length"]))))
+            self.send_response(302 if "away" in str(seen[-1]) else 200)
+            self.send_header("Location", "http://127.0.0.1:1/")
+            self.end_headers()
+            self.wfile.write(json.dumps({"done": True, "message": {"role": "assistant", "content": "hi"}}).encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    config = provider.GenerationConfig("m", base_url=f"http://127.0.0.1:{server.server_port}", max_response_bytes=1024)
+    ask = provider.chat_client(config, {"type": "object"})()
+    assert ask("s", "u") == "hi" and seen[0]["model"] == "m" and seen[0]["format"] == {"type": "object"} and [m["role"] for m in seen[0]["messages"]] == ["system", "user"]
+    with pytest.raises(provider.ProviderError, match="cannot be asked"):
+        ask("s", "away")
+    server.shutdown()
+    fine = {"done": True, "message": {"role": "assistant", "content": "x"}}
+    for raw, why in ((b"{", "not JSON"), (b"x" * 1025, "longer"), ({**fine, "done": False}, "complete"), ({**fine, "done_reason": "length"}, "token limit"), ({"done": True}, "no text"), ({"done": True, "message": {"role": "user", "content": "x"}}, "no text"), ({"done": True, "message": {"role": "assistant", "content": " "}}, "no text"), ([], "complete")):
+        with pytest.raises(provider.ProviderError, match=why):
+            provider.read_envelope(raw if isinstance(raw, bytes) else json.dumps(raw).encode(), config)
+
+
+def test_chunking_driver_leaves_poor_pages_out(spark):
+    ddl = "doc_id string, page_number int, text string, tables array<string>, headings array<string>, char_count int, text_quality double"
+    text = "Plain words that fill a page. " * 10
+    rows = [("d", 1, f"Item 1. Business\n{text}", [], ["Item 1. Business"], 1, 1.0), ("d", 2, "bad " * 50, ["| a | b |\n| - | - |\n| c | d |"], ["Item 2. Bad"], 1, 0.5), ("d", 3, text, [], [], 1, 0.95)]
+    chunks, skipped = chunking.chunk_documents(spark.createDataFrame(rows, ddl), "structure_aware", 60, 5, 5)
+    got = chunks.orderBy("chunk_index").collect()
+    assert {r["page_start"] for r in got} == {1, 3} and {r["section_heading"] for r in got} == {"Item 1. Business"}
+    assert {(r["page_start"], r["text_quality"]) for r in got} == {(1, 1.0), (3, 0.95)}
+    assert [tuple(r) for r in skipped.collect()] == [("d", 1)]
+
+
+def test_chunks_that_contain_a_query(spark):
+    docs = spark.createDataFrame([("a", "one two three four"), ("b", "xone two threex"), ("c", "one, two three"), ("d", None), ("e", "two"), ("f", "twofold")], "chunk_id string, text string")
+    asked = spark.createDataFrame([("q1", "one two three"), ("q2", "two"), ("q3", "e two t"), ("q4", None)], "query_id string, query string")
+    got = sorted(map(tuple, evaluate.containing(asked, docs).collect()))
+    rows = [(r["chunk_id"], r["text"] or "") for r in docs.collect()]
+    assert got == sorted((q["query_id"], k) for q in asked.collect() if q["query"] for k, t in rows if q["query"] in t)
+
+
+def test_record_table_replaces_documents(spark, tmp_path):
+    path = str(tmp_path / "records")
+    for rows in ([("a", 1, "x"), ("a", 2, "y"), ("b", 1, "z")], [("a", 1, "new")], [("c", 1, "w")]):
+        files.write_pages(spark.createDataFrame(rows, "doc_id string, page_number int, text string"), path)
+    got = sorted((r["doc_id"], r["page_number"], r["text"]) for r in files.read_pages(spark, path).collect())
+    assert got == [("a", 1, "new"), ("b", 1, "z"), ("c", 1, "w")]
+
+
+def test_states_of_a_hot_document_stream(spark):
+    rows = [("d", k, e) for k, e in enumerate(["accept", "start", "parsed", "indexed", "delete", "erased", "accept"] * 200)] + [("e", 0, None), ("e", 1, "start")]
+    got = {r["doc_id"]: (r["status"], r["readable"]) for r in service.document_states(spark.createDataFrame(rows, "doc_id string, seq int, event string")).collect()}
+    assert got == {"d": ("queued", True), "e": ("none", True)}
+
+
+def test_bm25_finds_terms_once_a_scan(spark, trio):
+    """A scan for lengths, and postings whose two uses share a shuffle; no branch finds the terms again."""
+    plan = retrieval.bm25(spark.createDataFrame([("q", "apple berry")], "query_id string, query string"), trio)
+    plan.collect()
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(lower(coalesce(text") == 3
+    assert "ReusedExchange" in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_model_token_counts(spark):
+    df = spark.createDataFrame([("a b c",), (None,), ("",), ("one",)], "t string").coalesce(1)
+    count = embed.model_token_counts(lambda: lambda texts: [len(t.split()) for t in texts], 2)
+    assert [r["n"] for r in df.select(count("t").alias("n")).collect()] == [3, 0, 0, 1]
+    with pytest.raises(Exception, match="counts for"):
+        df.select(embed.model_token_counts(lambda: lambda texts: [1])("t")).collect()
