@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.llm.shared import bounded
+
 KINDS = ("assign", "access", "hex", "crf")
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -141,13 +143,13 @@ def examples(count: int, seed: int = 5) -> list[tuple[list[str], list[int], tupl
             labels.extend([label] * len(items))
 
         put(*(word() for _ in range(r.randint(1, 4))))
-        kind = r.randrange(22)
+        kind = r.randrange(26)
         if kind == 0:
             put(r.choice(("password", "passphrase", "pwd", "secret")), r.choice(("is", "was", ":", "=")))
             put(rand(mixed + "_+", 10, 20) + r.choice(digits), label=1)
         elif kind == 1:
             put(r.choice(("Bearer", "Authorization", "token", "key")))
-            put(rand(mixed, 24, 60), label=1)
+            put(rand(r.choice((mixed, mixed, digits + "abcdef")), 24, 60), label=1)
         elif kind == 2:
             put(r.choice(("ghp_", "sk-", "eyJ", "glpat-")) + rand(r.choice((mixed, letters + digits)), 24, 40) + r.choice(digits), label=1)
         elif kind == 3:
@@ -182,11 +184,17 @@ def examples(count: int, seed: int = 5) -> list[tuple[list[str], list[int], tupl
             put(rand(r.choice((cased, cased, letters)), 24, 60), label=1)
         elif kind == 16:
             put(r.choice((camel, dashed))(2, 4), word(), rand(r.choice((cased, letters)), 12, 60))
-        elif kind in (17, 19):
+        elif kind in (17, 19, 24, 25):
             put(*r.choice((("password", "is"), ("key", "is"), ("token", "was"), ("password:",), ("passphrase:",), ("pwd", "is"), ("secret", ":"))), rand(letters, 1, 13), *(word() for _ in range(r.randrange(3))))
+        elif kind in (20, 21):
+            put(*r.choice((("password", "is"), ("the", "key", "is"), ("passphrase:",), ("pwd", "="), ("the", "password", "was"), ("token", "is"))))
+            put(rand(letters, 3, 10) + rand(digits, 1, 4), label=1)
+        elif kind in (22, 23):
+            put(*r.choice((("the", "password", "is"), ("passphrase", "was"), ("password:",), ("the", "passphrase", "is"), ("secret:",))))
+            put(r.choice((camel(2, 4), "".join(rand(letters, 2, 6).title() for _ in range(r.randint(3, 5))), rand(letters, 16, 36))), label=1)
         elif kind == 18:
             put(r.choice(("key", "token", "secret", "password")), r.choice((camel, dashed))(2, 3))
-        put(*(word() for _ in range(r.randint(1, 4))))
+        put(*(word() for _ in range(r.randint(0, 4))))
         out.append((tokens, labels, file_features(r.choice((20, 400)), r.choice((1, 3)), r.randrange(2))))
     return out
 
@@ -304,11 +312,11 @@ def model_spans(text: str, model: ChainModel, base: list[tuple[int, int, int]],
     if not tokens:
         return []
     hits = sum(1 for _ in _TRIGGER.finditer(text))
-    file = file_features(text.count(" ") + text.count("\n") + 1, hits, len(base))
+    file = file_features(len(tokens), hits, len(base))
     if whole:
         runs = [(0, len(tokens))]
     else:
-        if len(model.known) > 1 << 18:
+        if len(model.known) > 1 << 17:
             model.known.clear()
         known = model.known
         kinds = np.fromiter(map(known.__getitem__, tokens), np.int32, len(tokens))
@@ -394,41 +402,32 @@ def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", model
     Spans are kind:start:end in code points, the end exclusive, by start and then kind, joined by commas. A null or empty text has none
     (zeros and empty strings). Null keys and repeated rows are kept. An empty table gives no rows. Other columns are not read.
     """
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("body"))
+    rows = bounded(docs).select(F.col(key).cast("long").alias("key"), F.col(text).alias("body"))
     return rows.mapInArrow(_scan(model or fit()), "key long, n_assign long, n_access long, n_hex long, base string, spans string").withColumnRenamed("key", key)
 
 
-def _redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = []
-        for body, spans in zip(batch.column("__body"), batch.column("__spans"), strict=True):
-            text, spans = body.as_py(), spans.as_py()
-            if text is not None and spans:
-                at, parts = 0, []
-                for kind, a, b in sorted((s.split(":") for s in spans.split(",")), key=lambda s: (int(s[1]), -int(s[2]))):
-                    a, b = int(a), int(b)
-                    if a >= at:
-                        parts += [text[at:a], f"[{kind}]"]
-                    at = max(at, b)
-                text = "".join([*parts, text[at:]])
-            out.append(text)
-        keep = [n for n in batch.schema.names if n != "__spans"]
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if n == "__body" else batch.column(n) for n in keep], names=keep)
+def redacted(text: str, model: ChainModel) -> str:
+    """text with every secret span replaced by its kind in brackets; of spans that overlap, the first by start, then the longest."""
+    base = base_spans(text)
+    at, parts = 0, []
+    for a, b, kind in sorted(base + model_spans(text, model, base), key=lambda s: (s[0], -s[1])):
+        if a >= at:
+            parts += [text[at:a], f"[{KINDS[kind]}]"]
+        at = max(at, b)
+    return "".join([*parts, text[at:]]) if parts else text
 
 
 def redact_secrets(docs: DataFrame, text: str = "text", model: ChainModel | None = None) -> DataFrame:
-    """docs with every secret span replaced by its kind in brackets; all columns, rows and nulls stay."""
+    """docs with every secret span replaced by its kind in brackets; only the texts go to Python.
+
+    All rows and columns stay, whatever their names; null and empty texts, and those without secrets, stay as they are. An empty table
+    gives no rows.
+    """
     model = model or fit()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scan = _scan(model)
-        for batch in batches:
-            at = batch.schema.get_field_index(text)
-            pair = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.column(at)], names=["key", "body"])
-            spans = next(scan(iter([pair]))).column("spans")
-            names = batch.schema.names
-            temp = pa.RecordBatch.from_arrays([*batch.columns, spans], names=["__body" if n == text else n for n in names] + ["__spans"])
-            done = next(_redact(iter([temp])))
-            yield pa.RecordBatch.from_arrays(done.columns, names=names)
-
-    return docs.mapInArrow(run, docs.schema)
+    @F.arrow_udf("string")
+    def redact(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in texts:
+            yield pa.array([x and redacted(x, model) for x in column.to_pylist()], pa.string())
+
+    return bounded(docs).withColumn(text, redact(docs[text]))
