@@ -1,6 +1,6 @@
 """MPEG audio as a media column: frame headers with resynchronisation, tags, variable-bitrate tables, checksums, durations and offsets.
 
-parse() reads MPEG-1, 2 and 2.5 streams of Layers I to III; free-format frames are not frames to it. store_bytes() writes a lossless
+parse() reads MPEG-1, 2 and 2.5 streams of Layers I to III, free-format frames among them, with ID3v1, ID3v2.2 to 2.4 and APEv2 tags. store_bytes() writes a lossless
 carrier for arbitrary bytes: Layer III frames at 48 kHz whose side information says silence, with the bytes as ancillary data, a
 checksum in every frame, an ID3v2 tag with the length, a Xing table and an ID3v1 tag.
 """
@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from fractions import Fraction
 from functools import lru_cache
 
@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.llm.shared import bounded
 from corpusmill.llm.words import text_buffer
 
 # Fixed values of ISO/IEC 11172-3 and 13818-3: kbit/s by bit rate index for (MPEG-1?, layer), and sampling rates by version bits.
@@ -62,14 +63,37 @@ def header(four: bytes) -> Header | None:
         return None
     version, layer = four[1] >> 3 & 3, 4 - (four[1] >> 1 & 3)
     index, rate = four[2] >> 4, four[2] >> 2 & 3
-    if version == 1 or layer == 4 or index in (0, 15) or rate == 3 or four[3] & 3 == 2:
+    if version == 1 or layer == 4 or index == 15 or rate == 3 or four[3] & 3 == 2:
         return None
     kbps, hz, pad = BITRATES[version == 3, layer][index], RATES[version][rate], four[2] >> 1 & 1
     samples = 384 if layer == 1 else 576 if layer == 3 and version != 3 else 1152
     size = (12 * kbps * 1000 // hz + pad) * 4 if layer == 1 else samples // 8 * kbps * 1000 // hz + pad
+    # of a free-format frame the size is that of its padding: the next frame tells the rest
     return Header(version, layer, not four[1] & 1, kbps, hz, four[3] >> 6, four[3] >> 4 & 3, size, samples)
 
 
+#: Longest frame of free format that is looked for.
+FREE = 1 << 13
+
+
+def alike(a: Header | None, b: Header | None) -> bool:
+    """Frames of one stream: equal version, layer, rate, and both or neither of free format."""
+    return a is not None and b is not None and (a.version, a.layer, a.rate, a.kbps == 0) == (b.version, b.layer, b.rate, b.kbps == 0)
+
+
+def free_size(data: bytes, p: int, end: int, h: Header) -> int:
+    """Bytes of free-format frames without their padding: the way to the next header that is alike, if the one after it is as far; else 0."""
+    q = p + 4
+    while 0 <= (q := data.find(data[p : p + 2], q, min(p + FREE, end))):
+        size = q - p - h.size
+        if alike(h, after := header(data[q : q + 4])) and size >= 32:
+            r = q + size + after.size
+            if r == end or alike(h, header(data[r : r + 4])):
+                return size
+        q += 1
+    return 0
+
+
 def _steps() -> list[int]:
     table = []
     for byte in range(256):
@@ -119,7 +143,10 @@ def protected_bits(h: Header, body: bytes) -> int:
 
 @dataclass
 class Stream:
-    """What parse() finds. Offsets are from the start of the data; duration() is exact."""
+    """What parse() finds. Offsets are from the start of the data; duration() is exact.
+
+    delay and padding: samples that the encoder put before and after the sound, from the table's extension; they do not count.
+    """
 
     tags: dict[str, str] = field(default_factory=dict)
     offsets: list[int] = field(default_factory=list)
@@ -129,16 +156,19 @@ class Stream:
     checked: int = 0
     bad: int = 0
     skipped: int = 0
+    delay: int = 0
+    padding: int = 0
 
     def samples(self) -> int:
-        return sum(h.samples for h in self.headers)
+        return max(0, sum(h.samples for h in self.headers) - self.delay - self.padding)
 
     def duration(self) -> Fraction:
-        return sum((Fraction(h.samples, h.rate) for h in self.headers), Fraction(0))
+        whole = sum((Fraction(sum(h.samples for h in self.headers if h.rate == rate), rate) for rate in {h.rate for h in self.headers}), Fraction(0))
+        return max(Fraction(0), whole - Fraction(self.delay + self.padding, self.headers[0].rate)) if self.headers else whole
 
     def seek(self, seconds: Fraction | float) -> int:
         """Offset of the frame that plays at that time; of the last one beyond the end."""
-        left = Fraction(seconds)
+        left = Fraction(seconds) + (Fraction(self.delay, self.headers[0].rate) if self.headers else 0)
         for at, h in zip(self.offsets, self.headers, strict=True):
             if left < (d := Fraction(h.samples, h.rate)):
                 return at
@@ -152,22 +182,32 @@ def _syncsafe(b: bytes) -> int:
 
 def _id3v2(data: bytes, at: int, tags: dict[str, str]) -> int:
     """Read the tag at `at`; return where it ends. A tag that runs beyond the data ends with it."""
-    major, size = data[at + 3], _syncsafe(data[at + 6 : at + 10])
-    end = min(at + 10 + size + (10 if data[at + 5] & 0x10 else 0), len(data))
-    p = at + 10
-    while p + 10 <= end and data[p] and major >= 3:
-        name = data[p : p + 4].decode("latin-1")
-        n = _syncsafe(data[p + 4 : p + 8]) if major == 4 else int.from_bytes(data[p + 4 : p + 8], "big")
-        if p + 10 + n > end:
+    major, flags, size = data[at + 3], data[at + 5], _syncsafe(data[at + 6 : at + 10])
+    end = min(at + 10 + size + (10 if flags & 0x10 else 0), len(data))
+    body = data[at + 10 : min(at + 10 + size, len(data))]
+    if flags & 0x80 and major < 4:
+        body = body.replace(b"\xff\0", b"\xff")  # unsynchronisation, of the whole tag
+    p, name_size = 0, 3 if major == 2 else 4
+    if flags & 0x40 and major > 2 and len(body) >= 4:  # an extended header counts itself in version 4 alone
+        p = _syncsafe(body[:4]) if major == 4 else 4 + int.from_bytes(body[:4], "big")
+    head = 6 if major == 2 else 10
+    while p + head <= len(body) and body[p]:
+        name, raw = body[p : p + name_size].decode("latin-1"), body[p + name_size : p + 2 * name_size]
+        n = _syncsafe(raw) if major == 4 else int.from_bytes(raw, "big")
+        if p + head + n > len(body):
             break
-        body = data[p + 10 : p + 10 + n]
-        if name.startswith("T") and body:
-            text = body[1:].decode({0: "latin-1", 1: "utf-16", 2: "utf-16-be"}.get(body[0], "utf-8"), "replace").rstrip("\0")
-            if name == "TXXX" and "\0" in text:
+        value, more = body[p + head : p + head + n], body[p + 9] if major > 2 else 0
+        if major == 4 and more & 1:
+            value = value[4:]  # the length before compression and unsynchronisation
+        if major == 4 and (more & 2 or flags & 0x80):
+            value = value.replace(b"\xff\0", b"\xff")
+        if name.startswith("T") and value:
+            text = value[1:].decode({0: "latin-1", 1: "utf-16", 2: "utf-16-be"}.get(value[0], "utf-8"), "replace").rstrip("\0")
+            if name in ("TXXX", "TXX") and "\0" in text:
                 what, text = text.split("\0", 1)
                 name = f"TXXX:{what}"
             tags[name] = text
-        p += 10 + n
+        p += head + n
     return end
 
 
@@ -182,6 +222,11 @@ def _table(frame: bytes, h: Header) -> dict | None:
                     p += 4
             if flags & 4:
                 out["toc"] = list(frame[p : p + 100])
+                p += 100
+            p += 4 if flags & 8 else 0
+            if frame[p : p + 4] in (b"LAME", b"Lavc", b"Lavf") and len(frame) >= p + 24:
+                gap = int.from_bytes(frame[p + 21 : p + 24], "big")
+                out["delay"], out["padding"] = gap >> 12, gap & 0xFFF
             return out
     if frame[36:40] == b"VBRI" and len(frame) >= 62:
         _, _, _, n_bytes, frames, entries, scale, width, per = struct.unpack(">HHHIIHHHH", frame[40:62])
@@ -203,15 +248,19 @@ def parse(data: bytes) -> Stream:
         head = 32 if data[end - 9] & 0x80 else 0
         end = max(0, end - size - head)
     known: Header | None = None
+    free = 0
     while p < end:
         if data[p : p + 3] == b"ID3" and p + 10 <= end:
             p = _id3v2(data, p, out.tags)
             continue
         h = header(data[p : p + 4])
+        if h is not None and not h.kbps:
+            free = free if free and alike(h, known) else free_size(data, p, end, h)
+            h = replace(h, size=free + h.size) if free else None
         fits = h is not None and p + h.size <= end
-        if fits and not (known and (h.version, h.layer, h.rate) == (known.version, known.layer, known.rate)):
-            nxt = header(data[p + h.size : p + h.size + 4])  # a first header counts only if another follows, or nothing does
-            fits = p + h.size == end or nxt is not None and (nxt.version, nxt.layer, nxt.rate) == (h.version, h.layer, h.rate)
+        if fits and not alike(h, known):
+            # a first header counts only if another follows, or nothing does
+            fits = p + h.size == end or alike(h, header(data[p + h.size : p + h.size + 4]))
         if not fits:
             q = data.find(b"\xff", p + 1, end)
             tag = data.find(b"ID3", p + 1, q if q >= 0 else end)
@@ -227,6 +276,7 @@ def parse(data: bytes) -> Stream:
             out.bad += checksum(frame[2:4] + body[: (bits + 7) // 8], 16 + bits) != int.from_bytes(frame[4:6], "big")
         if not out.offsets and out.table is None and h.layer == 3 and (table := _table(frame, h)):
             out.table, out.table_frame = table, True
+            out.delay, out.padding = table.get("delay", 0), table.get("padding", 0)
         else:
             out.offsets.append(p)
             out.headers.append(h)
@@ -323,7 +373,7 @@ def text_media(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     A null text counts as empty and becomes 192 blanks. Null keys and repeated rows are kept; equal texts give equal streams. An
     empty table gives no rows. Other columns are not read.
     """
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("body"))
+    rows = bounded(docs).select(F.col(key).cast("long").alias("key"), F.col(text).alias("body"))
     return rows.mapInArrow(_store, "key long, n_bytes long, media binary")
 
 
@@ -338,5 +388,5 @@ def _round_trip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def media_round_trip(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """read_media(text_media(docs)) with one worker for both, which halves what Python holds."""
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("body"))
+    rows = bounded(docs).select(F.col(key).cast("long").alias("key"), F.col(text).alias("body"))
     return rows.mapInArrow(_round_trip, _PARSED)
