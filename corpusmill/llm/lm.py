@@ -4,9 +4,11 @@ Vocabulary: the HEAD most frequent training words are predicted one by one, with
 belongs to one of TAILS classes by its last letters, within which its probability follows the training counts, an unknown word being one more
 type of its class. So the probabilities of all words and the end of the text sum to one. Counts are exact and of all training texts.
 
-Training runs on every training text. Each partition starts from the same weights, carries the state across its windows and
-resets it at a text's start; the partitions' weights are then averaged by tokens. Scoring carries the state through the complete
-text. Counts of words beyond a table of bounded size meet the texts in a join on the word's hash.
+Training runs on every training text. The texts, as ids, are dealt by a hash of key and text into units of about UNIT tokens, and the
+units into rounds, ROUNDS of them where the tokens are enough. In a round every unit starts from the same weights, carries the
+state across its windows and resets it at a text's start; the units' weights, averaged by tokens in whole numbers, are the next round's
+start. So neither the files nor the partitions that hold the texts have a part in the weights. Scoring carries the state through
+the complete text. Counts of words beyond a table of bounded size meet the texts in a join on the word's hash.
 """
 
 from __future__ import annotations
@@ -20,15 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.shared import materialize
+from corpusmill.llm.shared import bounded, discard, materialize, shuffle_width
 from corpusmill.llm.words import Lookup, mix, words
 
 HEAD, CLASS, TAILS, HIDDEN = 1024, 32, 32, 16
 N_HEAD = HEAD // CLASS
 #: Word counts held in every worker: at most so many, 16 bytes each. Steps of a window in training and in scoring; widest batch.
 LOCAL, WINDOW, SPAN, LANES = 1 << 18, 20, 32, 512
-#: Tokens taken together in a worker.
-CHUNK = 5 << 18
+#: Tokens taken together in a worker; tokens of a unit of training, rounds of averaging, steps of weights a unit when they are averaged.
+CHUNK, UNIT, ROUNDS, GRID = 1 << 19, 1 << 19, 8, 1 << 20
 END = int(mix(np.array([0x5EED], np.uint64))[0])
 RATE = 0.016
 
@@ -200,10 +202,10 @@ def gradients(p: dict, ids: np.ndarray, fresh: np.ndarray, target: np.ndarray, w
 
 
 class Trainer:
-    """Adam over windows of token streams; the state goes from window to window."""
+    """Adam over windows of token streams; the state goes from window to window. before: steps of earlier rounds, for the rate."""
 
-    def __init__(self, flat: np.ndarray):
-        self.flat, self.m, self.v, self.k, self.tokens = flat.copy(), np.zeros(SIZE, np.float32), np.zeros(SIZE, np.float32), 0, 0
+    def __init__(self, flat: np.ndarray, before: int = 0):
+        self.flat, self.m, self.v, self.k, self.tokens, self.before = flat.copy(), np.zeros(SIZE, np.float32), np.zeros(SIZE, np.float32), 0, 0, before
 
     def run(self, ids: np.ndarray, target: np.ndarray, fresh: np.ndarray) -> None:
         """One pass over a stream: inputs, targets, and where texts start."""
@@ -221,7 +223,7 @@ class Trainer:
             self.k += 1
             self.m += 0.1 * (grad - self.m)
             self.v += 0.001 * (grad * grad - self.v)
-            rate = RATE / (1 + self.k / 400) * np.sqrt(1 - 0.999**self.k) / (1 - 0.9**self.k)
+            rate = RATE / (1 + (self.before + self.k) / 400) * np.sqrt(1 - 0.999**self.k) / (1 - 0.9**self.k)
             self.flat += np.float32(rate) * self.m / (np.sqrt(self.v) + np.float32(1e-8))
         self.tokens += n
 
@@ -348,19 +350,77 @@ def _ready(shared) -> Vocabulary:
     return v
 
 
-def _train(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _encoded(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(mark, ids) of rows (mark, body): target ids of a text and its end, two bytes each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = _ready(shared)
+        for marks, _, _, _, _, target, _, _, at in _streams(batches, v, 1):
+            data, ends = target.astype("<u2").tobytes(), (2 * at).astype(np.int32)
+            ids = pa.Array.from_buffers(pa.binary(), len(marks), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data)])
+            yield pa.RecordBatch.from_arrays([pa.array(marks), ids], names=["mark", "ids"])
+
+    return run
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(unit, part, ids) of rows (unit, ids), those of a unit together. A unit has one part, but where equal rows make it long."""
+    held, size, last, part = [], 0, None, 0
+
+    def row() -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"unit": pa.array([last], pa.int64()), "part": pa.array([part], pa.int32()), "ids": pa.array([b"".join(held)], pa.binary())})
+
+    for batch in batches:
+        for unit, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if held and (unit != last or size >= 4 * UNIT):  # bytes: twice a unit's tokens
+                yield row()
+                held, size, part = [], 0, part + 1 if unit == last else 0
+            part = part if unit == last else 0
+            last = unit
+            held.append(ids)
+            size += len(ids)
+    if held:
+        yield row()
+
+
+def _train(weights) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (pos, value): a unit's weights in steps of 1 / GRID, times its tokens; at SIZE its tokens."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, trainer = _ready(shared), None
-        for _, _, _, _, _, target, inputs, fresh, _ in _streams(batches, v, 1):
-            trainer = trainer or Trainer(initial(v))
-            trainer.run(inputs, target, fresh)
-        if trainer:
-            flat = trainer.flat.astype(np.float64) * trainer.tokens
-            yield pa.RecordBatch.from_pydict({"pos": pa.array(np.arange(SIZE + 1), pa.int32()), "value": pa.array(np.r_[flat, trainer.tokens])})
+        flat, before = weights.value
+        for batch in batches:
+            for ids in batch.column(0):
+                target = np.frombuffer(ids.as_buffer(), "<u2").astype(np.int32)
+                fresh = np.r_[True, target[:-1] == END_ID]
+                trainer = Trainer(flat, before)
+                trainer.run(np.where(fresh, START, np.r_[START, target[:-1]]).astype(np.int32), target, fresh)
+                steps = np.round(np.clip(trainer.flat.astype(np.float64), -64, 64) * GRID).astype(np.int64) * trainer.tokens
+                yield pa.RecordBatch.from_pydict({"pos": pa.array(np.arange(SIZE + 1), pa.int32()), "value": pa.array(np.r_[steps, trainer.tokens])})
 
     return run
 
 
+def train(texts: DataFrame, shared, flat: np.ndarray, tokens: int) -> np.ndarray:
+    """Weights after all rounds. texts: key, body; flat: where training starts; tokens: those of all texts, which set rounds and units."""
+    spark = texts.sparkSession
+    rounds = min(ROUNDS, max(1, -(-tokens // UNIT)))
+    units = rounds * max(1, -(-tokens // (rounds * UNIT)))
+    marked = texts.select(F.xxhash64("key", "body").alias("mark"), "body").mapInArrow(_encoded(shared), "mark long, ids binary")
+    dealt = marked.withColumn("unit", F.pmod("mark", F.lit(units))).repartition(shuffle_width(spark), "unit").sortWithinPartitions("unit", "mark").select("unit", "ids")
+    table = materialize(dealt.mapInArrow(_packed, "unit long, part int, ids binary"), "units")
+    for k in range(rounds):
+        weights = spark.sparkContext.broadcast((flat, k * UNIT // (WINDOW * int(np.clip(UNIT // 2500, 8, LANES)))))
+        rows = table.where(F.col("unit") % rounds == k).select("ids").repartition(units // rounds)
+        got = rows.mapInArrow(_train(weights), "pos int, value long").groupBy("pos").agg(F.sum("value").alias("value")).toArrow()  # SIZE + 1 rows
+        weights.destroy()
+        if got.num_rows:
+            sums = np.zeros(SIZE + 1)
+            sums[got.column("pos").to_numpy()] = got.column("value").to_numpy()
+            flat = (sums[:-1] / sums[-1] / GRID).astype(np.float32)
+    discard(table)
+    return flat
+
+
 _SCORED = "uid long, h long, tf int, n_tokens long, known long, base double, score double"
 
 
@@ -400,23 +460,18 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", mo
 
     Training texts are those whose crc32 of the key as text does not leave 1; a null key trains. A null or empty text consists of the
     end token. Repeated rows are texts of their own. Without training texts the counts are 0 and all probabilities uniform over one
-    unknown type. An empty table gives no rows. Other columns are not read.
+    unknown type. An empty table gives no rows. Other columns are not read. Equal tables give equal scores, but for the rounding of
+    single-precision sums, whatever files and partitions hold them. Counting and training run when this is called.
     """
     spark = docs.sparkSession
     held = F.coalesce(F.crc32(F.col("key").cast("string").cast("binary")) % modulus == 1, F.lit(False))
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("body"))
-    train = rows.where(~held).select("key", F.coalesce("body", F.lit("")).alias("body"))
-    counts = train.select("body").mapInArrow(_count, "h long, n long, k int").groupBy("h").agg(F.sum("n").alias("c"), F.max("k").alias("k"))
+    rows = bounded(docs).select(F.col(key).cast("long").alias("key"), F.col(text).alias("body"))
+    learned = rows.where(~held).select("key", F.coalesce("body", F.lit("")).alias("body"))
+    counts = learned.select("body").mapInArrow(_count, "h long, n long, k int").groupBy("h").agg(F.sum("n").alias("c"), F.max("k").alias("k"))
     counts = materialize(counts, "counts")
     v, n_train, n_types = vocabulary(counts)
     shared = spark.sparkContext.broadcast(v)
-    got = train.mapInArrow(_train(shared), "pos int, value double").groupBy("pos").agg(F.sum("value").alias("value")).toArrow()  # SIZE + 1 rows
-    if got.num_rows:
-        sums = np.zeros(SIZE + 1)
-        sums[got.column("pos").to_numpy()] = got.column("value").to_numpy()
-        flat = (sums[:-1] / sums[-1]).astype(np.float32)
-    else:
-        flat = initial(v)
+    flat = train(learned, shared, initial(v), n_train)
     numbered = rows.withColumn("uid", F.monotonically_increasing_id())
     scored = materialize(_scored_rows(numbered, shared, flat), "scored")
     texts = scored.where("h is null").select("uid", "row_key", "n_tokens", "known", "base", "score")
