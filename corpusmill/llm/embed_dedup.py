@@ -1,10 +1,12 @@
 """Near-duplicate vectors of equal label by cosine: PCA-ordered tiled comparison with suffix-norm bounds.
 
 Equal vectors of a label form a class, counted once. Classes are rotated to the principal axes of all vectors, ordered by variance, and
-laid in tiles along the first axis. Two tiles meet only if their ranges on that axis are close enough for the threshold. Within a
-pair of tiles, products are added up over leading axes; what the other axes can add is at most the product of the suffix norms, so a pair
-is dropped as soon as that cannot lift it to the threshold. What is left is decided by the cosine of the original
-vectors in double precision. A task returns its classes' numbers of partners and a forest of their links, never all pairs.
+laid in blocks along a curve through the leading axes. Two blocks meet in a task only if their boxes on the leading axes are close enough
+for the threshold; a block is as large as memory allows, so a vector goes to few tasks. In the task, blocks are cut into tiles; two tiles
+whose centres are further apart than their radii and the threshold allow are passed over. For the rest, products are added up over
+leading axes; what the other axes can add is at most the product of the suffix norms, so a pair is dropped as soon as that cannot
+lift it to the threshold. What is left is decided by the cosine of the original vectors in double precision. A task returns its classes'
+numbers of partners and a forest of their links, never all pairs.
 """
 
 from __future__ import annotations
@@ -18,10 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm.graph import components
-from corpusmill.llm.shared import materialize
+from corpusmill.llm.shared import bounded, materialize
 
-#: Classes of a tile, bins of the first axis, axes added at a time, and slack for rounding in the bounds.
-TILE, BINS, STEP, SLACK = 512, 2048, 16, 1e-9
+#: Vectors of a tile, axes added at a time, and slack for rounding in the bounds.
+TILE, STEP, SLACK = 512, 16, 1e-9
+#: Components of a block's vectors, together (8 bytes each in a task), and least vectors of a block.
+BLOCK, LEAST = 1 << 20, 512
+#: Leading axes of the curve and bits of each; leading axes of a block's box.
+CURVE, CURVE_BITS, LEAD = 4, 4, 8
 
 
 def _matrix(column: pa.ListArray) -> np.ndarray:
@@ -64,13 +70,21 @@ def principal_axes(vectors: DataFrame) -> dict[int, np.ndarray]:
     return out
 
 
-def _first_axis(axes: dict[int, np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _leading(axes: dict[int, np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Adds the projections of the unit vectors on the leading axes, and their place on the curve (bits of the axes in turn)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            first = np.zeros(batch.num_rows)
+            lead, curve = np.zeros((batch.num_rows, LEAD)), np.zeros(batch.num_rows, np.int32)
             for rows, x in _by_width(batch, batch.schema.get_field_index("vec")):
-                first[rows] = (x @ axes[x.shape[1]][:, 0]) / np.linalg.norm(x, axis=1)
-            yield batch.append_column("first", pa.array(first))
+                p = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ axes[x.shape[1]][:, :LEAD]
+                lead[rows, : p.shape[1]] = p
+            cell = np.clip((lead[:, :CURVE] + 1) / 2 * (4 << CURVE_BITS), 0, (4 << CURVE_BITS) - 1).astype(np.int32)
+            cell = np.clip(cell - ((4 << CURVE_BITS) - (1 << CURVE_BITS)) // 2, 0, (1 << CURVE_BITS) - 1)  # the middle quarter holds most vectors
+            for bit in range(CURVE_BITS):
+                for axis in range(CURVE):
+                    curve |= (cell[:, axis] >> bit & 1) << (bit * CURVE + CURVE - 1 - axis)
+            yield batch.append_column("lead", pa.FixedSizeListArray.from_arrays(pa.array(lead.ravel()), LEAD).cast(pa.list_(pa.float64()))).append_column("curve", pa.array(curve))
 
     return run
 
@@ -104,21 +118,36 @@ def near_pairs(x: np.ndarray, y: np.ndarray, axes: np.ndarray, threshold: float,
     return i[good], j[good]
 
 
+def tiled_pairs(x: np.ndarray, y: np.ndarray, axes: np.ndarray, threshold: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """near_pairs() of the tiles of x and y that are not too far apart. Unit vectors with cosine t are sqrt(2 - 2t) apart."""
+    reach = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-6
+
+    def tiles(z: np.ndarray) -> list[tuple[slice, np.ndarray, float]]:
+        out = []
+        for k in range(0, len(z), TILE):
+            unit = z[k : k + TILE] / np.linalg.norm(z[k : k + TILE], axis=1, keepdims=True)
+            centre = unit.mean(0)
+            out.append((slice(k, k + len(unit)), centre, float(np.sqrt(((unit - centre) ** 2).sum(1).max()))))
+        return out
+
+    left = tiles(x)
+    right = left if same else tiles(y)
+    for p, (s, centre, radius) in enumerate(left):
+        for q, (t, other, far) in enumerate(right):
+            if (same and q < p) or np.linalg.norm(centre - other) - radius - far > reach:
+                continue
+            i, j = near_pairs(x[s], y[t], axes, threshold, same and p == q)
+            yield i + s.start, j + t.start
+
+
 def _compare(axes: dict[int, np.ndarray], threshold: float) -> Callable[[pa.Table], pa.Table]:
     def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("block", "ascending"), ("curve", "ascending"), ("rep", "ascending")])
         rep, many = table.column("rep").to_numpy(), table.column("many").to_numpy()
         x = _matrix(table.column("vec").combine_chunks())
-        tile, a = table.column("tile").to_numpy(), table.column("a")[0].as_py()
-        left, right = np.flatnonzero(tile == a), np.flatnonzero(tile != a)
-        same = table.column("a")[0] == table.column("b")[0]
-        if same:
-            right = left
-        i, j = near_pairs(x[left], x[right], axes[x.shape[1]], threshold, same)
-        i, j = left[i], right[j]
-        degree = np.zeros(len(rep), np.int64)
-        np.add.at(degree, i, many[j])
-        np.add.at(degree, j, many[i])
-        up = np.arange(len(rep))
+        block, same = table.column("block").to_numpy(), table.column("a")[0] == table.column("b")[0]
+        cut = len(rep) if same else int(np.searchsorted(block, table.column("a")[0].as_py(), "right"))
+        degree, up = np.zeros(len(rep), np.int64), np.arange(len(rep))
 
         def root(k: int) -> int:
             while up[k] != k:
@@ -126,10 +155,14 @@ def _compare(axes: dict[int, np.ndarray], threshold: float) -> Callable[[pa.Tabl
                 k = up[k]
             return k
 
-        for p, q in zip(i.tolist(), j.tolist(), strict=True):
-            p, q = root(p), root(q)
-            if p != q:
-                up[max(p, q)] = min(p, q)
+        for i, j in tiled_pairs(x[:cut], x if same else x[cut:], axes[x.shape[1]], threshold, same):
+            j = j if same else j + cut
+            np.add.at(degree, i, many[j])
+            np.add.at(degree, j, many[i])
+            for p, q in zip(i.tolist(), j.tolist(), strict=True):
+                p, q = root(p), root(q)
+                if p != q:
+                    up[max(p, q)] = min(p, q)
         hit = np.flatnonzero(degree)
         return pa.table({"rep": pa.array(rep[hit], pa.int64()), "degree": pa.array(degree[hit], pa.int64()), "root": pa.array(rep[[root(k) for k in hit.tolist()]] if len(hit) else rep[:0], pa.int64())})
 
@@ -142,31 +175,34 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
     n_links: other rows of the same label with cosine at or above the threshold; component_id: least key reachable by links; kept:
     it is the row's own key. Vectors that are null, empty, zero or hold null or non-finite components, rows with a null label and
     rows with a null key link with nothing and are their own component (kept is false for a null key). Vectors of different
-    lengths do not link. Repeated rows count as rows of their own. An empty table gives no rows. Other columns are not read.
+    lengths do not link. Vectors of numbers other than floats are compared as doubles. Repeated rows count as rows of their own. An empty
+    table gives no rows. Other columns are not read. The jobs run when this is called.
     """
     v = F.col("vec")
-    rows = vectors.select(F.col(key).cast("long").alias("key"), F.col(vector).alias("vec"), F.col(label).cast("string").alias("label"))
+    kind = "float" if dict(vectors.dtypes)[vector] == "array<float>" else "double"
+    rows = bounded(vectors).select(F.col(key).cast("long").alias("key"), F.col(vector).cast(f"array<{kind}>").alias("vec"), F.col(label).cast("string").alias("label"))
     usable = F.col("label").isNotNull() & F.col("key").isNotNull() & v.isNotNull() & F.forall(v, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists(v, lambda e: e != 0)
     rows = rows.withColumn("usable", F.coalesce(usable, F.lit(False)))
     classes = rows.where("usable").groupBy("label", "vec").agg(F.min("key").alias("rep"), F.count("*").alias("many"))
     classes = materialize(classes, "vectors")
     axes = principal_axes(classes.select("vec"))
-    placed = classes.mapInArrow(_first_axis(axes), "label string, vec array<float>, rep long, many long, first double" if dict(classes.dtypes)["vec"] == "array<float>" else "label string, vec array<double>, rep long, many long, first double")
-    placed = placed.withColumn("width", F.size("vec")).withColumn("bin", F.least(F.floor((F.col("first") + 1) / 2 * BINS), F.lit(BINS - 1)).cast("int"))
+    placed = classes.mapInArrow(_leading(axes), f"label string, vec array<{kind}>, rep long, many long, lead array<double>, curve int").withColumn("width", F.size("vec"))
     placed = materialize(placed, "placed")
-    bins = placed.groupBy("label", "width", "bin").agg(F.count("*").alias("n"), F.min("first").alias("lo"), F.max("first").alias("hi"))
-    bins = bins.withColumn("ahead", F.expr("sum(n) over (partition by label, width order by bin) - n"))
-    tiled = placed.join(bins.select("label", "width", "bin", "ahead", "n"), ["label", "width", "bin"])
-    tiled = tiled.withColumn("tile", F.floor((F.col("ahead") + F.pmod(F.xxhash64("rep"), F.col("n"))) / TILE).cast("int"))
-    tiled = materialize(tiled.select("label", "width", "tile", "vec", "rep", "many", "first"), "tiles")
-    tiles = tiled.groupBy("label", "width", "tile").agg(F.min("first").alias("lo"), F.max("first").alias("hi"))
-    other = tiles.select("label", "width", F.col("tile").alias("tile2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-    # unit vectors with cosine t differ by at most sqrt(2 - 2t) on any axis
-    reach = float(np.sqrt(2 - 2 * threshold)) + SLACK
-    meets = tiles.join(other, ["label", "width"]).where((F.col("lo2") - F.col("hi") <= reach) & (F.col("lo") - F.col("hi2") <= reach))
-    meets = meets.groupBy("label", "width", "tile").agg(F.collect_list("tile2").alias("partners"))  # as many as a label has tiles
-    spread = tiled.join(meets, ["label", "width", "tile"]).select("label", "width", "tile", "vec", "rep", "many", F.explode("partners").alias("partner"))
-    spread = spread.withColumn("a", F.least("tile", "partner")).withColumn("b", F.greatest("tile", "partner")).drop("partner")
+    # places on the curve are 2 ** (CURVE * CURVE_BITS) at most; a crowded one is dealt by hash
+    spots = placed.groupBy("label", "width", "curve").agg(F.count("*").alias("n"))
+    spots = spots.withColumn("ahead", F.expr("sum(n) over (partition by label, width order by curve) - n"))
+    blocked = placed.join(spots, ["label", "width", "curve"])
+    room = F.greatest(F.lit(LEAST), F.floor(F.lit(BLOCK) / F.col("width")))
+    blocked = blocked.withColumn("block", F.floor((F.col("ahead") + F.pmod(F.xxhash64("rep"), F.col("n"))) / room).cast("int"))
+    blocked = materialize(blocked.select("label", "width", "block", "curve", "vec", "rep", "many", "lead"), "blocks")
+    ends = [e for k in range(LEAD) for e in (F.min(F.col("lead")[k]).alias(f"lo{k}"), F.max(F.col("lead")[k]).alias(f"hi{k}"))]
+    boxes = blocked.groupBy("label", "width", "block").agg(*ends)
+    # unit vectors with cosine t are sqrt(2 - 2t) apart, on some axes no further
+    gap = sum((F.greatest(F.lit(0.0), F.col(f"x.lo{k}") - F.col(f"y.hi{k}"), F.col(f"y.lo{k}") - F.col(f"x.hi{k}")) ** 2 for k in range(LEAD)), F.lit(0.0))
+    meets = boxes.alias("x").join(boxes.alias("y"), ["label", "width"]).where((F.col("x.block") <= F.col("y.block")) & (gap <= 2 - 2 * threshold + 1e-6))
+    meets = materialize(meets.select("label", "width", F.col("x.block").alias("a"), F.col("y.block").alias("b")), "meets")
+    ways = meets.withColumn("block", F.col("a")).unionByName(meets.where("a < b").withColumn("block", F.col("b")))
+    spread = blocked.drop("lead").join(ways, ["label", "width", "block"])
     found = spread.groupBy("label", "width", "a", "b").applyInArrow(_compare(axes, threshold), "rep long, degree long, root long")
     found = materialize(found, "links")
     degrees = found.groupBy("rep").agg(F.sum("degree").alias("degree"))
