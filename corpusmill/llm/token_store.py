@@ -7,8 +7,9 @@ A container holds consecutive documents in ascending key order:
     uint64 offsets[documents + 1] of the frames, from the end of the header
     int64 keys[documents] | uint32 ids[documents] | uint8 null key[documents] | frames
 
-An offset and the dictionary are all that reading one document takes. Ids are little-endian unsigned, two bytes where the
-vocabulary allows it.
+An offset and the dictionary are all that reading one document takes. Beside a container stand the least and greatest of its keys, so that
+Parquet's statistics lead to the few containers that can hold a document. Ids are little-endian unsigned, two bytes where the vocabulary
+allows it.
 """
 
 from __future__ import annotations
@@ -25,16 +26,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm.shared import shuffle_width
-from corpusmill.llm.tokenizers_io import library, pieces, rank_encoder, vocabulary_path
+from corpusmill.llm.shared import bounded, shuffle_width
+from corpusmill.llm.tokenizers_io import Words, library, vocabulary_path
 
 MAGIC = b"TKD1"
 #: Documents of a container, and bytes of frames after which one ends.
 DOCS, BYTES = 64, 1 << 20
-#: The dictionary is trained on at most SAMPLE documents of at most SAMPLE_CHARS characters, the least by a hash of the key.
+#: The dictionary is trained on pieces of at most SAMPLE_CHARS characters of at most SAMPLE documents, the least by a hash of key and text.
 SAMPLE, SAMPLE_CHARS, DICTIONARY = 1500, 1 << 14, 1 << 16
-#: A part of a text without a safe place to cut within so many characters goes to the tokenizers library.
-PIECE = 1 << 16
+#: Characters encoded together.
+TOGETHER = 1 << 20
 
 
 def pack(ids: np.ndarray, width: int) -> bytes:
@@ -45,14 +46,6 @@ def unpack(data: bytes, width: int) -> np.ndarray:
     return np.frombuffer(data, "<u2" if width == 2 else "<u4")
 
 
-def encode_text(text: str, path: str, ranks: str) -> np.ndarray:
-    fast = rank_encoder(path, ranks)
-    if len(text) <= PIECE:
-        return np.asarray(fast.encode_to_numpy(text, allowed_special="all", disallowed_special=()))
-    parts = [np.asarray(fast.encode_to_numpy(p, allowed_special="all", disallowed_special=())) if len(p) <= 2 * PIECE else np.array(library(path).encode(p, add_special_tokens=False).ids, np.uint32) for p in pieces(text, PIECE)]
-    return np.concatenate(parts)
-
-
 def train_dictionary(samples: list[bytes], size: int = DICTIONARY) -> bytes:
     """Dictionary bytes; empty where the samples are too few to train one."""
     try:
@@ -87,6 +80,10 @@ class Container:
         self.start, self.blob = at + 13 * self.n, blob
         self.reader = decompressor(dictionary)
 
+    def find(self, key: int) -> list[int]:
+        """Places of the documents with this key."""
+        return [k for k, x in enumerate(self.keys) if x == key]
+
     def ids(self, k: int) -> np.ndarray:
         a, b = (self.start + int(self.offsets[k + i]) for i in (0, 1))
         return unpack(self.reader.decompress(self.blob[a:b]), self.width)
@@ -102,54 +99,76 @@ def decompressor(dictionary: bytes) -> zstandard.ZstdDecompressor:
     return _READERS[dictionary]
 
 
-def _write(path: str, ranks: str, end_id: int, width: int, dictionary: bytes) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+_CONTAINERS = "shard int, block int, tokens long, low long, high long, blob binary"
+
+
+def _write(path: str, end_id: int, width: int, dictionary: bytes) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         more = {"dict_data": zstandard.ZstdCompressionDict(dictionary)} if dictionary else {}
-        writer = zstandard.ZstdCompressor(level=1, **more)
-        digest, shard, number = hashlib.sha256(dictionary).digest(), TaskContext.get().partitionId(), 0
+        writer, encoder = zstandard.ZstdCompressor(level=1, **more), Words(path, width)
+        digest, shard, number, end = hashlib.sha256(dictionary).digest(), TaskContext.get().partitionId(), 0, pack(np.array([end_id]), width)
         keys: list[int | None] = []
         counts: list[int] = []
         frames: list[bytes] = []
         held = 0
 
         def flush() -> pa.RecordBatch:
-            row = {"shard": pa.array([shard], pa.int32()), "block": pa.array([number], pa.int32()), "tokens": pa.array([sum(counts)], pa.int64()), "blob": pa.array([build_container(keys, counts, frames, width, digest)], pa.binary())}
-            return pa.RecordBatch.from_pydict(row)
+            there = [k for k in keys if k is not None]
+            columns = [pa.array([shard], pa.int32()), pa.array([number], pa.int32()), pa.array([sum(counts)], pa.int64()), pa.array([min(there, default=None)], pa.int64()), pa.array([max(there, default=None)], pa.int64()), pa.array([build_container(keys, counts, frames, width, digest)], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _CONTAINERS.split(", ")])
 
         for batch in batches:
-            for key, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.append(encode_text(value.as_py() or "", path, ranks), np.uint32(end_id))
-                frames.append(writer.compress(pack(ids, width)))
-                keys.append(key)
-                counts.append(len(ids))
-                held += len(frames[-1])
-                if len(keys) >= DOCS or held >= BYTES:
-                    yield flush()
-                    keys, counts, frames, held, number = [], [], [], 0, number + 1
+            for part_keys, texts in _together(batch):
+                for key, ids in zip(part_keys, encoder.encode(texts), strict=True):
+                    frames.append(writer.compress(ids + end))
+                    keys.append(key)
+                    counts.append(len(ids) // width + 1)
+                    held += len(frames[-1])
+                    if len(keys) >= DOCS or held >= BYTES:
+                        yield flush()
+                        keys, counts, frames, held, number = [], [], [], 0, number + 1
         if keys:
             yield flush()
 
     return run
 
 
-def write_store(docs: DataFrame, where: str, key: str = "doc_id", text: str = "text", path: str | None = None, ranks: str | None = None, end_id: int = 2) -> None:
+def _together(batch: pa.RecordBatch) -> Iterator[tuple[list[int | None], list[str]]]:
+    """Keys and texts of the batch in runs of about TOGETHER characters."""
+    keys, texts, size = [], [], 0
+    for key, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        keys.append(key)
+        texts.append(value.as_py() or "")
+        size += len(texts[-1])
+        if size >= TOGETHER:
+            yield keys, texts
+            keys, texts, size = [], [], 0
+    if keys:
+        yield keys, texts
+
+
+def write_store(docs: DataFrame, where: str, key: str = "doc_id", text: str = "text", path: str | None = None, end_id: int = 2) -> None:
     """Write the token ids of every document, `end_id` appended, to the store at `where`, in ascending order of key, then text.
 
-    Documents are dealt by range of (key, hash of the text), so a repeated key is no hot one. Null keys come first; null texts count as
-    empty and consist of the end id; repeated rows are all written. An empty table gives a store without containers.
+    Ids are those of the tokenizers library for the file at `path`. Documents are dealt by range of (key, hash of the text), so a
+    repeated key is no hot one. Null keys come first; null texts count as empty and consist of the end id; repeated rows are all written.
+    An empty table gives a store without containers. With too few texts to train a dictionary (fewer than 16 that are not empty) the
+    frames have none, and the dictionary's table says so: its bytes are empty.
     """
     spark = docs.sparkSession
-    path, ranks = path or vocabulary_path(), ranks or vocabulary_path("byte_bpe_50k.tiktoken")
+    path = path or vocabulary_path()
     size = library(path).get_vocab_size(with_added_tokens=True)
     width = 2 if max(size, end_id + 1) <= 1 << 16 else 4
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("body"))
-    picked = rows.select("key").where("key is not null").distinct().orderBy(F.xxhash64("key"), "key").limit(SAMPLE)
-    texts = rows.join(F.broadcast(picked), "key").where(F.length("body").between(1, SAMPLE_CHARS)).orderBy(F.xxhash64("key"), "key", "body").limit(SAMPLE).select("body").toArrow().column(0).to_pylist()
-    dictionary = train_dictionary([pack(encode_text(t, path, ranks), width) for t in texts])
-    spark.createDataFrame([(bytearray(dictionary), hashlib.sha256(dictionary).hexdigest())], "dictionary binary, sha256 string").coalesce(1).write.parquet(f"{where}/dictionary")
-    salt = F.xxhash64("body").alias("salt")
-    dealt = rows.withColumn("salt", salt).repartitionByRange(shuffle_width(spark), "key", "salt").sortWithinPartitions("key", "salt", "body").select("key", "body")
-    dealt.mapInArrow(_write(path, ranks, end_id, width, dictionary), "shard int, block int, tokens long, blob binary").write.option("compression", "none").parquet(f"{where}/containers")
+    rows = bounded(docs).select(F.col(key).cast("long").alias("key"), F.xxhash64(F.col(text)).alias("salt"), F.col(text).alias("body"))
+    mark = F.xxhash64("key", "salt")
+    picked = rows.where(F.length("body") > 0).select(mark.alias("mark")).distinct().orderBy("mark").limit(SAMPLE)
+    # a piece of each text, from anywhere in it
+    begin = F.pmod(F.col("mark"), F.greatest(F.length("body") - SAMPLE_CHARS, F.lit(0)) + 1) + 1
+    texts = rows.withColumn("mark", mark).join(F.broadcast(picked), "mark").select("mark", F.substring("body", begin.cast("int"), F.lit(SAMPLE_CHARS)).alias("piece")).distinct().orderBy("mark", "piece").limit(SAMPLE)
+    dictionary = train_dictionary(Words(path, width).encode(texts.select("piece").toArrow().column(0).to_pylist()))
+    spark.createDataFrame([(bytearray(dictionary), hashlib.sha256(dictionary).hexdigest(), path)], "dictionary binary, sha256 string, vocabulary string").coalesce(1).write.parquet(f"{where}/dictionary")
+    dealt = rows.repartitionByRange(shuffle_width(spark), "key", "salt").sortWithinPartitions("key", "salt", "body").select("key", "body")
+    dealt.mapInArrow(_write(path, end_id, width, dictionary), _CONTAINERS).write.option("compression", "none").parquet(f"{where}/containers")
 
 
 def load_dictionary(spark: SparkSession, where: str) -> bytes:
@@ -173,6 +192,15 @@ def read_store(spark: SparkSession, where: str, per_document: Callable[[Iterator
     return spark.read.parquet(f"{where}/containers").select("shard", "block", "blob").mapInArrow(run, schema)
 
 
+def read_document(spark: SparkSession, where: str, key: int) -> list[np.ndarray]:
+    """The ids of the documents with this key, in the store's order: of the containers only those whose bounds hold the key are
+    read, and of these only the document's own frame is decompressed."""
+    dictionary = load_dictionary(spark, where)
+    found = spark.read.parquet(f"{where}/containers").where((F.col("low") <= key) & (F.col("high") >= key)).orderBy("shard", "block").select("blob")
+    boxes = (Container(bytes(r["blob"]), dictionary) for r in found.toLocalIterator())
+    return [box.ids(k) for box in boxes for k in box.find(key)]
+
+
 def _checksums(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
     names, out, before, last = ("key", "shard", "block", "before", "n_tokens", "ids_crc32"), [], 0, None
     for shard, block, _, key, ids in rows:

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-import base64
 import json
 import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import public_tokenizers
 
-#: White space after a non-space character: the byte-level patterns never match across this point.
-_SAFE = re.compile(r"(?<=\S)(?=\s)")
+#: ASCII white space after a non-space character: the byte-level patterns never match across this point. (Python also takes 0x1C to 0x1F
+#: for space, the patterns do not; so they stand on neither side of a cut.)
+_SAFE = re.compile(r"(?<=\S)(?=[ \t-\r])")
+_PIECES = re.compile(r"[\s\S]+?(?<=\S)(?=[ \t-\r])|[\s\S]+")
+#: A blank after white space, and white space other than ASCII's: where these are, a blank alone is no safe place.
+_DOUBLE = tuple(c + " " for c in " \t\n\r\x0b\x0c")
+_ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -38,18 +43,41 @@ def library(path: str):
     return t
 
 
-@lru_cache(4)
-def rank_encoder(path: str, ranks_path: str):
-    """tiktoken over the rank file of the same vocabulary, with the special strings of the .json file."""
-    import tiktoken
+class Words:
+    """The tokenizers library with a memory of the words it has encoded: texts are cut at safe places, and equal parts are encoded once.
+
+    Ids are kept as bytes of a fixed width. The memory is emptied when it holds `most` words; long ones are not kept.
+    """
 
-    with open(ranks_path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special_strings(path))
+    def __init__(self, path: str, width: int, most: int = 1 << 18):
+        self.path, self.kind, self.most, self.known = path, "<u2" if width == 2 else "<u4", most, {}
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, as bytes."""
+        if len(self.known) > self.most:
+            self.known.clear()
+        cut = [small_pieces(t) for t in texts]
+        new = [p for p in dict.fromkeys(p for c in cut for p in c) if p not in self.known]
+        for p, e in zip(new, library(self.path).encode_batch_fast(new, add_special_tokens=False), strict=True):
+            self.known[p] = np.array(e.ids, self.kind).tobytes()
+        get = self.known.__getitem__
+        out = [b"".join(map(get, c)) for c in cut]
+        for p in new:
+            if len(p) > 256:
+                del self.known[p]
+        return out
+
+
+def small_pieces(text: str) -> list[str]:
+    """The parts of a text between safe places: all blanks that follow a non-space character, and maybe other white space that does."""
+    if any(x in text for x in _DOUBLE) or _ODD.search(text):
+        return _PIECES.findall(text)
+    first, *rest = text.split(" ")
+    return [first, *(" " + w for w in rest)]
 
 
 def pieces(text: str, limit: int) -> Iterator[str]:
-    """Consecutive parts of text of about `limit` characters, cut at white space that follows a non-space character.
+    """Consecutive parts of text of about `limit` characters, cut at ASCII white space that follows a non-space character.
 
     Encoding the parts and joining the ids equals encoding the text. A part without such a place stays whole.
     """
