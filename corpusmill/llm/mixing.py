@@ -3,7 +3,8 @@
 The documents of a source, in an order shuffled by hash, form a stream of words that may be passed twice. The stream is cut into blocks of
 equal length. Slot t of the schedule takes the point frac(t * golden ratio); the source whose interval of the cumulative weights
 holds the point owns the slot, and the k-th slot of a source reads the k-th block of its stream, until the source's target is
-reached. Ranks within a source and places within a stream are sums over groups of bounded size first, and over the groups
+reached. What the mix takes of a source is fixed by its target; the schedule says when. A document comes where the first of its blocks comes,
+in each pass. Ranks within a source and places within a stream are sums over groups of bounded size first, and over the groups
 then, so a source with a third of all rows is not one task's work.
 """
 
@@ -12,9 +13,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.shared import materialize
+from corpusmill.llm.shared import materialize, shuffle_width
 
-#: Words of a block; hash groups of a source's documents; slots of a group of the schedule.
+#: Words of a block; hash groups of a source's documents, at least; slots of a group of the schedule.
 BLOCK, GROUPS, CHUNK = 128, 4096, 4096
 GOLDEN = 0.6180339887498949
 #: Fraction of 2**20 times the golden ratio's fraction, so that points keep their precision at any slot.
@@ -54,7 +55,8 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: flo
 
 def _placed(rows: DataFrame) -> DataFrame:
     """rows with `start`, the words before the document in its source's stream. rows: source, size, mark, copy."""
-    rows = rows.withColumn("part", F.pmod(F.col("mark"), F.lit(GROUPS)).cast("int"))
+    groups = max(GROUPS, 16 * shuffle_width(rows.sparkSession))  # follows the cluster's partitions
+    rows = rows.withColumn("part", F.pmod(F.col("mark"), F.lit(groups)).cast("int"))
     rows = rows.withColumn("within", F.expr("sum(size) over (partition by source, part order by mark, copy rows between unbounded preceding and current row) - size"))
     parts = rows.groupBy("source", "part").agg(F.sum("size").alias("part_size"))
     parts = parts.withColumn("ahead", F.expr("sum(part_size) over (partition by source order by part rows between unbounded preceding and current row) - part_size"))
@@ -92,11 +94,12 @@ def schedule(plan: DataFrame, n_slots: int, n_sources: int, block: int = BLOCK)
 
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, block: int = BLOCK) -> DataFrame:
-    """key, body, source, size, source_size, target, taken, passes for every row of docs: what the mix takes of it.
+    """key, body, source, size, source_size, target, taken, passes, slots, first_slot, second_slot for every row of docs: what the mix takes of it.
 
     body: hash of the text. size: words of the text, 0 for null and empty texts. taken: words of the document in the scheduled blocks,
     those of a second pass counted again; passes: in how many passes any of it, or a document without words where it stands, is
-    taken. The taken words of a source add up to its target, rounded down. `most` is at most 2. A null source is a source like others,
+    taken; slots: how many slots of the schedule hold any of it; first_slot, second_slot: the first of them in either pass, or null. The
+    taken words of a source add up to its target, rounded down. `most` is at most 2. A null source is a source like others,
     the last. Repeated rows and null keys count as documents of their own. Equal tables give equal results whatever their order.
     An empty table gives no rows. Other columns are not read.
     """
@@ -114,26 +117,33 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     placed = placed.withColumn("passes", (F.col("start") < F.col("goal")).cast("int") + (F.col("start") + F.col("source_size") < F.col("goal")).cast("int"))
     placed = materialize(placed, "mix-placed")
     keys = ["key", "body", "copy", "source", "size", "source_size", "target", "passes"]
-    # the documents' words in both passes are runs of the doubled stream; each meets the blocks it touches
-    runs = placed.where("size > 0 and passes > 0").select(*keys, "start", F.explode(F.sequence(F.lit(0), F.col("passes") - 1)).alias("pass"))
+    # the documents' words in both passes are runs of the doubled stream; each meets the blocks it touches, one without words that where it stands
+    runs = placed.where("passes > 0").select(*keys, "start", F.explode(F.sequence(F.lit(0), F.col("passes") - 1)).alias("pass"))
     runs = runs.withColumn("a", F.col("start") + F.col("pass") * F.col("source_size")).withColumn("b", F.col("a") + F.col("size"))
-    runs = runs.select(*keys, "a", "b", F.explode(F.sequence(F.floor(F.col("a") / block), F.floor((F.col("b") - 1) / block))).alias("block"))
-    s = slots.select(F.col("source").alias("s_source"), F.col("block").alias("s_block"), "tokens")
+    runs = runs.select(*keys, "pass", "a", "b", F.explode(F.sequence(F.floor(F.col("a") / block), F.floor(F.greatest(F.col("a"), F.col("b") - 1) / block))).alias("block"))
+    s = slots.select(F.col("source").alias("s_source"), F.col("block").alias("s_block"), "tokens", "slot")
     met = runs.join(s, F.col("source").eqNullSafe(F.col("s_source")) & (F.col("block") == F.col("s_block")))
     part = F.least(F.col("b"), F.col("block") * block + F.col("tokens")) - F.greatest(F.col("a"), F.col("block") * block)
-    taken = met.groupBy(*keys).agg(F.sum(F.greatest(part, F.lit(0))).alias("taken"))
-    rest = placed.where("size = 0 or passes = 0").select(*keys, F.lit(0).cast("long").alias("taken"))
+    of_pass = [F.min(F.when(F.col("pass") == k, F.col("slot"))).alias(name) for k, name in enumerate(("first_slot", "second_slot"))]
+    taken = met.groupBy(*keys).agg(F.sum(F.greatest(part, F.lit(0))).alias("taken"), F.count("*").alias("slots"), *of_pass)
+    rest = placed.where("passes = 0").select(*keys, *(F.lit(k).cast("long").alias(n) for n, k in (("taken", 0), ("slots", 0), ("first_slot", None), ("second_slot", None))))
     out = taken.unionByName(rest)
-    return out.select(F.col("key").alias(key), "body", "source", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"), "passes")
+    return out.select(F.col("key").alias(key), "body", "source", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"), "passes", "slots", "first_slot", "second_slot")
 
 
 def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
-    """The rows of docs, all columns, once for each pass in which the mix takes any of the document; rows it does not take are left out."""
+    """The rows of docs, all columns, once for each pass in which the mix takes any of the document, in the order of the schedule's slots.
+
+    Rows that the mix does not take are left out. Null keys, sources and texts, repeated rows and empty texts are treated as in mix(); an
+    empty table gives no rows; columns may have any names.
+    """
     plan = mix(docs, key, text, source, **options).where("passes > 0")
-    plan = plan.select(F.col(key).cast("long").alias("__key"), F.col("body").alias("__body"), F.col("source").alias("__source"), "passes")
+    plan = plan.select(F.col(key).cast("long").alias("__key"), F.col("body").alias("__body"), F.col("source").alias("__source"), "passes", "first_slot", "second_slot")
     # equal rows are alike: the n-th of them takes the n-th greatest number of passes
-    plan = plan.withColumn("__copy", F.expr("row_number() over (partition by __key, __source, __body order by passes desc)"))
+    plan = plan.withColumn("__copy", F.expr("row_number() over (partition by __key, __source, __body order by passes desc, first_slot)"))
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")).select("row", F.col(f"row.`{key}`").cast("long").alias("k"), F.col(f"row.`{source}`").cast("string").alias("s"), F.xxhash64(f"row.`{text}`").alias("b"))
     rows = rows.withColumn("c", F.expr("row_number() over (partition by k, s, b order by k)"))
     met = rows.join(plan, F.col("k").eqNullSafe(F.col("__key")) & F.col("s").eqNullSafe(F.col("__source")) & (F.col("b") == F.col("__body")) & (F.col("c") == F.col("__copy")))
-    return met.select("row", F.explode(F.sequence(F.lit(1), F.col("passes")))).select("row.*")
+    passed = met.select("row", "k", F.explode(F.slice(F.array("first_slot", "second_slot"), F.lit(1), F.col("passes"))).alias("slot"))
+    ordered = passed.repartitionByRange(shuffle_width(docs.sparkSession), "slot", "k").sortWithinPartitions("slot", "k")
+    return ordered.select("row.*")
