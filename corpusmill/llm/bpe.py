@@ -21,11 +21,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.llm.shared import bounded
 from corpusmill.llm.tokenizers_io import vocabulary_path
 from corpusmill.llm.words import Lookup, text_buffer
 
 #: Bytes of text taken together, and most words whose ids a worker keeps.
-BLOCK, KEPT = 6 << 20, 400_000
+BLOCK, KEPT = 2 << 20, 200_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -136,13 +137,12 @@ class PairIndexBPE:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text; special strings get their ids."""
-        split = []
+        split: list[list[str]] = []
+        fresh: dict[str, str] = {}  # of equal words one object stays
+        same = fresh.setdefault
         for text in texts:
             parts = self.split.split(text) if self.split and any(s in text for s in self.special) else [text]
-            split.append([x for k, part in enumerate(parts) for x in ([part] if k % 2 else self.pattern.findall(part))])
-        fresh: set[str] = set()
-        for parts in split:
-            fresh.update(parts)
+            split.append([same(x, x) for k, part in enumerate(parts) for x in ([part] if k % 2 else self.pattern.findall(part))])
         cache = self.cache
         if len(cache) > KEPT:
             cache.clear()
@@ -192,5 +192,5 @@ def encode_decode(docs: DataFrame, key: str = "doc_id", text: str = "text", path
     A null or empty text has no ids and decodes to "". Null keys and repeated rows are kept. An empty table gives no rows. Other
     columns are not read. Special strings inside texts become their single ids and decode to themselves.
     """
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("body"))
+    rows = bounded(docs).select(F.col(key).cast("long").alias("key"), F.col(text).alias("body"))
     return rows.mapInArrow(_round_trip(path or vocabulary_path()), "key long, ids array<int>, decoded string").withColumnRenamed("key", key)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Most bytes of a batch of rows between the JVM and Python, where the session has Spark's own default.
-BATCH, _BATCH_KEY = "4m", "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH, _BATCH_KEY = "2m", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 #: A key with more than one in HOT of a table's rows is hot; so a table has fewer than HOT of them.
 HOT = 256

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm.shared import discard, materialize
+from corpusmill.llm.shared import bounded, discard, materialize
 from corpusmill.llm.words import PUNCTUATED, Lookup, mix, words
 
 #: Discount of counts, bound of a word's ratio, and the ratio above which an expression is a strong one.
@@ -167,6 +167,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     `calibration` rows whose remainder is 2, scored by a model of the rows whose remainder is 0. Both samples are the first rows by a
     hash of the key. A key with several labels has the largest; null labels are no labels.
     """
+    bounded(docs)
     known = labels.select(F.col(key).cast("long").alias("key"), F.col(label).cast("int").alias("y")).where("key is not null and y is not null").groupBy("key").agg(F.max("y").alias("y"))
     rest = F.crc32(F.col("key").cast("string").cast("binary")) % 3
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("body")).where("key is not null and body is not null")
