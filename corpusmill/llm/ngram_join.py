@@ -322,7 +322,7 @@ def _close(percent: int):
 
 
 def _candidates(posts: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (a < b) of components that share an n-gram and pass the filters. posts: gram, comp, single, n, pos, m, dealt by gram.
+    """Distinct pairs (a < b) of components that share an n-gram and pass the filters. posts: gram, comp, single, n, pos, m.
 
     single, of a pair: both components are of one class. One row an n-gram and component is paired, with the best figures of its members. For two components of one class each, every common
     member up to the last shared prefix one is counted, and bounds the overlap once more.
@@ -420,15 +420,15 @@ def ngram_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", size
     # The pivot of an n-gram is the member with most of its prefix in shared lists: an original rather than an edited copy.
     full = F.col("held") / (F.col("n") - F.expr(f"cast(ceil({percent} * n / 100.0) as int)") + 1)
     side = F.struct("cls", "n", F.col("n").alias("most"), "m", (F.col("n") - F.col("pos") - 1).alias("rest"))
-    lists = posts.repartition(shuffle_width(spark), "gram").select("gram", F.struct(full.alias("f"), (-F.col("cls")).alias("c"), side.alias("side")).alias("p"))
-    star = lists.select(F.col("p.side").alias("x"), F.expr("max(p) over (partition by gram)")["side"].alias("y")).where((F.col("x.cls") != F.col("y.cls")) & _close(percent))
+    pivots = posts.groupBy("gram").agg(F.max(F.struct(full.alias("f"), (-F.col("cls")).alias("c"), side.alias("y"))).alias("p")).select("gram", "p.y")
+    star = posts.select("gram", side.alias("x")).join(pivots, "gram").where((F.col("x.cls") != F.col("y.cls")) & _close(percent))
     star = materialize(star.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct(), "pairs")
     links = verified(star)
     comp = materialize(components(links), "stars")
 
     tagged = posts.join(comp.withColumnRenamed("node", "cls"), "cls", "left").select("gram", F.coalesce("component", "cls").alias("comp"), F.col("component").isNull().alias("single"), "n", "pos", "m")
     tried = star.withColumn("single", F.lit(True))  # pairs of classes that were compared above
-    across = materialize(_candidates(tagged.repartition(shuffle_width(spark), "gram"), percent).join(tried, ["a", "b", "single"], "left_anti").select("a", "b"), "pairs")
+    across = materialize(_candidates(tagged, percent).join(tried, ["a", "b", "single"], "left_anti").select("a", "b"), "pairs")
     more = verified(across, comp.select(F.col("component").alias("grp"), F.col("node").alias("cls")))
     comp = materialize(components(links.union(more)), "classes")
     for t in (posts, star, across):
