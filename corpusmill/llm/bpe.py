@@ -22,20 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm.shared import bounded
-from corpusmill.llm.tokenizers_io import vocabulary_path
+from corpusmill.llm.tokenizers_io import byte_alphabet, vocabulary_path
 from corpusmill.llm.words import Lookup, text_buffer
 
 #: Bytes of text taken together, and most words whose ids a worker keeps.
 BLOCK, KEPT = 2 << 20, 200_000
 
 
-def byte_alphabet() -> dict[str, int]:
-    """Characters that stand for bytes in byte-level vocabularies: printable Latin-1 for itself, the others from U+0100 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
-
-
 class PairIndexBPE:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:

@@ -27,15 +27,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm.shared import bounded, shuffle_width
-from corpusmill.llm.tokenizers_io import Words, library, vocabulary_path
+from corpusmill.llm.tokenizers_io import library, pieces, rank_encoder, vocabulary_path
 
 MAGIC = b"TKD1"
 #: Documents of a container, and bytes of frames after which one ends.
 DOCS, BYTES = 64, 1 << 20
 #: The dictionary is trained on pieces of at most SAMPLE_CHARS characters of at most SAMPLE documents, the least by a hash of key and text.
 SAMPLE, SAMPLE_CHARS, DICTIONARY = 1500, 1 << 14, 1 << 16
-#: Characters encoded together.
-TOGETHER = 1 << 20
+#: A part of a text without a safe place to cut within so many characters goes to the tokenizers library.
+PIECE = 1 << 16
 
 
 def pack(ids: np.ndarray, width: int) -> bytes:
@@ -46,6 +46,19 @@ def unpack(data: bytes, width: int) -> np.ndarray:
     return np.frombuffer(data, "<u2" if width == 2 else "<u4")
 
 
+def encode_text(text: str, path: str) -> np.ndarray:
+    """The ids that the tokenizers library gives. The same vocabulary is read by a faster encoder, the library takes what that cannot:
+    other kinds of vocabularies and long parts without a safe place to cut."""
+    fast = rank_encoder(path)
+
+    def one(part: str) -> np.ndarray:
+        if fast is None or len(part) > 2 * PIECE:
+            return np.array(library(path).encode(part, add_special_tokens=False).ids, np.uint32)
+        return np.asarray(fast.encode_to_numpy(part, allowed_special="all", disallowed_special=()))
+
+    return one(text) if len(text) <= PIECE else np.concatenate([one(p) for p in pieces(text, PIECE)])
+
+
 def train_dictionary(samples: list[bytes], size: int = DICTIONARY) -> bytes:
     """Dictionary bytes; empty where the samples are too few to train one."""
     try:
@@ -105,8 +118,8 @@ _CONTAINERS = "shard int, block int, tokens long, low long, high long, blob bina
 def _write(path: str, end_id: int, width: int, dictionary: bytes) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         more = {"dict_data": zstandard.ZstdCompressionDict(dictionary)} if dictionary else {}
-        writer, encoder = zstandard.ZstdCompressor(level=1, **more), Words(path, width)
-        digest, shard, number, end = hashlib.sha256(dictionary).digest(), TaskContext.get().partitionId(), 0, pack(np.array([end_id]), width)
+        writer = zstandard.ZstdCompressor(level=1, **more)
+        digest, shard, number = hashlib.sha256(dictionary).digest(), TaskContext.get().partitionId(), 0
         keys: list[int | None] = []
         counts: list[int] = []
         frames: list[bytes] = []
@@ -118,35 +131,21 @@ def _write(path: str, end_id: int, width: int, dictionary: bytes) -> Callable[[I
             return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _CONTAINERS.split(", ")])
 
         for batch in batches:
-            for part_keys, texts in _together(batch):
-                for key, ids in zip(part_keys, encoder.encode(texts), strict=True):
-                    frames.append(writer.compress(ids + end))
-                    keys.append(key)
-                    counts.append(len(ids) // width + 1)
-                    held += len(frames[-1])
-                    if len(keys) >= DOCS or held >= BYTES:
-                        yield flush()
-                        keys, counts, frames, held, number = [], [], [], 0, number + 1
+            for key, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                ids = np.append(encode_text(value.as_py() or "", path), np.uint32(end_id))
+                frames.append(writer.compress(pack(ids, width)))
+                keys.append(key)
+                counts.append(len(ids))
+                held += len(frames[-1])
+                if len(keys) >= DOCS or held >= BYTES:
+                    yield flush()
+                    keys, counts, frames, held, number = [], [], [], 0, number + 1
         if keys:
             yield flush()
 
     return run
 
 
-def _together(batch: pa.RecordBatch) -> Iterator[tuple[list[int | None], list[str]]]:
-    """Keys and texts of the batch in runs of about TOGETHER characters."""
-    keys, texts, size = [], [], 0
-    for key, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-        keys.append(key)
-        texts.append(value.as_py() or "")
-        size += len(texts[-1])
-        if size >= TOGETHER:
-            yield keys, texts
-            keys, texts, size = [], [], 0
-    if keys:
-        yield keys, texts
-
-
 def write_store(docs: DataFrame, where: str, key: str = "doc_id", text: str = "text", path: str | None = None, end_id: int = 2) -> None:
     """Write the token ids of every document, `end_id` appended, to the store at `where`, in ascending order of key, then text.
 
@@ -165,7 +164,7 @@ def write_store(docs: DataFrame, where: str, key: str = "doc_id", text: str = "t
     # a piece of each text, from anywhere in it
     begin = F.pmod(F.col("mark"), F.greatest(F.length("body") - SAMPLE_CHARS, F.lit(0)) + 1) + 1
     texts = rows.withColumn("mark", mark).join(F.broadcast(picked), "mark").select("mark", F.substring("body", begin.cast("int"), F.lit(SAMPLE_CHARS)).alias("piece")).distinct().orderBy("mark", "piece").limit(SAMPLE)
-    dictionary = train_dictionary(Words(path, width).encode(texts.select("piece").toArrow().column(0).to_pylist()))
+    dictionary = train_dictionary([pack(encode_text(t, path), width) for t in texts.select("piece").toArrow().column(0).to_pylist()])
     spark.createDataFrame([(bytearray(dictionary), hashlib.sha256(dictionary).hexdigest(), path)], "dictionary binary, sha256 string, vocabulary string").coalesce(1).write.parquet(f"{where}/dictionary")
     dealt = rows.repartitionByRange(shuffle_width(spark), "key", "salt").sortWithinPartitions("key", "salt", "body").select("key", "body")
     dealt.mapInArrow(_write(path, end_id, width, dictionary), _CONTAINERS).write.option("compression", "none").parquet(f"{where}/containers")

@@ -8,16 +8,11 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
-import numpy as np
 import public_tokenizers
 
 #: ASCII white space after a non-space character: the byte-level patterns never match across this point. (Python also takes 0x1C to 0x1F
 #: for space, the patterns do not; so they stand on neither side of a cut.)
 _SAFE = re.compile(r"(?<=\S)(?=[ \t-\r])")
-_PIECES = re.compile(r"[\s\S]+?(?<=\S)(?=[ \t-\r])|[\s\S]+")
-#: A blank after white space, and white space other than ASCII's: where these are, a blank alone is no safe place.
-_DOUBLE = tuple(c + " " for c in " \t\n\r\x0b\x0c")
-_ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -43,37 +38,27 @@ def library(path: str):
     return t
 
 
-class Words:
-    """The tokenizers library with a memory of the words it has encoded: texts are cut at safe places, and equal parts are encoded once.
+def byte_alphabet() -> dict[str, int]:
+    """Characters that stand for bytes in byte-level vocabularies: printable Latin-1 for itself, the others from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
-    Ids are kept as bytes of a fixed width. The memory is emptied when it holds `most` words; long ones are not kept.
-    """
 
-    def __init__(self, path: str, width: int, most: int = 1 << 18):
-        self.path, self.kind, self.most, self.known = path, "<u2" if width == 2 else "<u4", most, {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as bytes."""
-        if len(self.known) > self.most:
-            self.known.clear()
-        cut = [small_pieces(t) for t in texts]
-        new = [p for p in dict.fromkeys(p for c in cut for p in c) if p not in self.known]
-        for p, e in zip(new, library(self.path).encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[p] = np.array(e.ids, self.kind).tobytes()
-        get = self.known.__getitem__
-        out = [b"".join(map(get, c)) for c in cut]
-        for p in new:
-            if len(p) > 256:
-                del self.known[p]
-        return out
-
-
-def small_pieces(text: str) -> list[str]:
-    """The parts of a text between safe places: all blanks that follow a non-space character, and maybe other white space that does."""
-    if any(x in text for x in _DOUBLE) or _ODD.search(text):
-        return _PIECES.findall(text)
-    first, *rest = text.split(" ")
-    return [first, *(" " + w for w in rest)]
+@lru_cache(4)
+def rank_encoder(path: str):
+    """tiktoken over the vocabulary of a tokenizers .json file of byte-level BPE; None where its ids do not follow its merges."""
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    vocab, letters, special = spec["model"]["vocab"], byte_alphabet(), special_strings(path)
+    made = [vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in spec["model"]["merges"]]
+    tokens = {t: i for t, i in vocab.items() if t not in special}
+    if spec["model"].get("end_of_word_suffix") or made != sorted(set(made)) or not all(c in letters for t in tokens for c in t):
+        return None
+    ranks = {bytes(letters[c] for c in t): i for t, i in tokens.items()}
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
 def pieces(text: str, limit: int) -> Iterator[str]:
