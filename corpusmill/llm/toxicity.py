@@ -3,8 +3,8 @@
 p(w | class, v) backs off to p(w | class), whose counts are the distinct words before w in the class, and that to a distribution
 shared by both classes, whose counts are the number of classes that know w. Every word of the counted texts has its probability, a rare
 one near the shared one, so that it says little. A pair is discounted by DISCOUNT, and one seen fewer than `cutoff` times in both
-classes together by all it has (Katz's cut-off): its mass goes to the backoff, which speaks for it. Words that no counted text holds have
-the shared distribution's part for new words in both classes and say nothing. A text's evidence is its log-likelihood ratio, normalised by
+classes together by all it has (Katz's cut-off): its mass goes to the backoff, which speaks for it. A word that no counted text
+holds says nothing. A text's evidence is its log-likelihood ratio, normalised by
 length, and the part of it that strong expressions carry; a logistic function fitted on other labelled rows turns it into a score.
 """
 
