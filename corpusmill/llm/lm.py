@@ -30,7 +30,7 @@ N_HEAD = HEAD // CLASS
 #: Word counts held in every worker: at most so many, 16 bytes each. Steps of a window in training and in scoring; widest batch.
 LOCAL, WINDOW, SPAN, LANES = 1 << 18, 20, 32, 512
 #: Tokens taken together in a worker; tokens of a unit of training, rounds of averaging, steps of weights a unit when they are averaged.
-CHUNK, UNIT, ROUNDS, GRID = 1 << 19, 1 << 19, 8, 1 << 20
+CHUNK, UNIT, ROUNDS, GRID = 1 << 20, 1 << 19, 8, 1 << 20
 END = int(mix(np.array([0x5EED], np.uint64))[0])
 RATE = 0.016
 
@@ -384,10 +384,11 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _train(weights) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows (pos, value): a unit's weights in steps of 1 / GRID, times its tokens; at SIZE its tokens."""
+    """Rows (pos, value): the units' weights in steps of 1 / GRID, times their tokens, added up; at SIZE their tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat, before = weights.value
+        total = np.zeros(SIZE + 1, np.int64)
         for batch in batches:
             for ids in batch.column(0):
                 target = np.frombuffer(ids.as_buffer(), "<u2").astype(np.int32)
@@ -395,7 +396,9 @@ def _train(weights) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBa
                 trainer = Trainer(flat, before)
                 trainer.run(np.where(fresh, START, np.r_[START, target[:-1]]).astype(np.int32), target, fresh)
                 steps = np.round(np.clip(trainer.flat.astype(np.float64), -64, 64) * GRID).astype(np.int64) * trainer.tokens
-                yield pa.RecordBatch.from_pydict({"pos": pa.array(np.arange(SIZE + 1), pa.int32()), "value": pa.array(np.r_[steps, trainer.tokens])})
+                total += np.r_[steps, trainer.tokens]
+        if total[SIZE]:
+            yield pa.RecordBatch.from_pydict({"pos": pa.array(np.arange(SIZE + 1), pa.int32()), "value": pa.array(total)})
 
     return run
 
@@ -410,7 +413,8 @@ def train(texts: DataFrame, shared, flat: np.ndarray, tokens: int) -> np.ndarray
     table = materialize(dealt.mapInArrow(_packed, "unit long, part int, ids binary"), "units")
     for k in range(rounds):
         weights = spark.sparkContext.broadcast((flat, k * UNIT // (WINDOW * int(np.clip(UNIT // 2500, 8, LANES)))))
-        rows = table.where(F.col("unit") % rounds == k).select("ids").repartition(units // rounds)
+        # a task for each core at most: whole numbers add up to the same whatever task a unit is in
+        rows = table.where(F.col("unit") % rounds == k).select("ids").repartition(min(units // rounds, spark.sparkContext.defaultParallelism))
         got = rows.mapInArrow(_train(weights), "pos int, value long").groupBy("pos").agg(F.sum("value").alias("value")).toArrow()  # SIZE + 1 rows
         weights.destroy()
         if got.num_rows:
