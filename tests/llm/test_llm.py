@@ -447,15 +447,17 @@ def test_a_dictionary_is_trained_on_long_texts(spark):
     assert token_store.load_dictionary(spark, where)
 
 
-def test_words_equal_whole_texts(lib):
+def test_ids_of_the_store_are_the_library_s(lib, monkeypatch):
+    monkeypatch.setattr(token_store, "PIECE", 60)  # most texts are cut, and some parts have no place to cut
     r = random.Random(8)
     pool = ["word", "Wört", "1234", "!", "!!", "\x1c", "\xa0", "<|endoftext|>", "'s", "🙂", "x" * 300, "\u3000"]
-    texts = ["", " ", "  a", "a \t b", "a\n b\n\n c ", "a\n \tb"] + ["".join(r.choice([*pool, " ", " ", "  ", "\n", "\t ", "\r\n"]) for _ in range(r.randrange(1, 40))) for _ in range(400)]
-    got = tokenizers_io.Words(vocabulary_path(), 2, most=50)
-    for k in range(0, len(texts), 40):
-        for t, ids in zip(texts[k : k + 40], got.encode(texts[k : k + 40]), strict=True):
-            assert "".join(tokenizers_io.small_pieces(t)) == t
-            assert np.frombuffer(ids, "<u2").tolist() == ids_of(lib, t), repr(t)
+    texts = ["", " ", "  a", "a \t b", "a\n b\n\n c ", "a\n \tb"] + ["".join(r.choice([*pool, " ", " ", "  ", "\n", "\t ", "\r\n"]) for _ in range(r.randrange(1, 60))) for _ in range(400)]
+    assert tokenizers_io.rank_encoder(vocabulary_path()) is not None and tokenizers_io.rank_encoder(vocabulary_path("word_bpe_49k.json")) is None
+    for t in texts:
+        assert token_store.encode_text(t, vocabulary_path()).tolist() == ids_of(lib, t), repr(t)
+    other = tokenizers.Tokenizer.from_file(vocabulary_path("word_bpe_49k.json"))
+    for t in ("Some words here", "", "x" * 40):
+        assert token_store.encode_text(t, vocabulary_path("word_bpe_49k.json")).tolist() == ids_of(other, t)
 
 
 def test_one_document_is_read_by_its_offset():
