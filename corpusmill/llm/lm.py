@@ -210,7 +210,7 @@ class Trainer:
     def run(self, ids: np.ndarray, target: np.ndarray, fresh: np.ndarray) -> None:
         """One pass over a stream: inputs, targets, and where texts start."""
         n = len(ids)
-        lanes = int(np.clip(n // 2500, 8, LANES))
+        lanes = int(np.clip(n // 1500, 8, LANES))
         length = -(-n // lanes)
         length = -(-length // WINDOW) * WINDOW
         pad = lanes * length - n
@@ -412,7 +412,7 @@ def train(texts: DataFrame, shared, flat: np.ndarray, tokens: int) -> np.ndarray
     dealt = marked.withColumn("unit", F.pmod("mark", F.lit(units))).repartition(shuffle_width(spark), "unit").sortWithinPartitions("unit", "mark").select("unit", "ids")
     table = materialize(dealt.mapInArrow(_packed, "unit long, part int, ids binary"), "units")
     for k in range(rounds):
-        weights = spark.sparkContext.broadcast((flat, k * UNIT // (WINDOW * int(np.clip(UNIT // 2500, 8, LANES)))))
+        weights = spark.sparkContext.broadcast((flat, k * UNIT // (WINDOW * int(np.clip(UNIT // 1500, 8, LANES)))))
         # a task for each core at most: whole numbers add up to the same whatever task a unit is in
         rows = table.where(F.col("unit") % rounds == k).select("ids").repartition(min(units // rounds, spark.sparkContext.defaultParallelism))
         got = rows.mapInArrow(_train(weights), "pos int, value long").groupBy("pos").agg(F.sum("value").alias("value")).toArrow()  # SIZE + 1 rows
