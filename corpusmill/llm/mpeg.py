@@ -57,8 +57,15 @@ class Header:
         return (17 if self.channels == 1 else 32) if self.version == 3 else (9 if self.channels == 1 else 17)
 
 
-@lru_cache(4096)
 def header(four: bytes) -> Header | None:
+    """The header of a frame whose size it tells."""
+    h = any_header(four)
+    return h if h and h.kbps else None
+
+
+@lru_cache(4096)
+def any_header(four: bytes) -> Header | None:
+    """header(), or that of a free-format frame, of 0 kbit/s."""
     if len(four) < 4 or four[0] != 0xFF or four[1] & 0xE0 != 0xE0:
         return None
     version, layer = four[1] >> 3 & 3, 4 - (four[1] >> 1 & 3)
@@ -86,9 +93,9 @@ def free_size(data: bytes, p: int, end: int, h: Header) -> int:
     q = p + 4
     while 0 <= (q := data.find(data[p : p + 2], q, min(p + FREE, end))):
         size = q - p - h.size
-        if alike(h, after := header(data[q : q + 4])) and size >= 32:
+        if alike(h, after := any_header(data[q : q + 4])) and size >= 32:
             r = q + size + after.size
-            if r == end or alike(h, header(data[r : r + 4])):
+            if r == end or alike(h, any_header(data[r : r + 4])):
                 return size
         q += 1
     return 0
@@ -253,14 +260,14 @@ def parse(data: bytes) -> Stream:
         if data[p : p + 3] == b"ID3" and p + 10 <= end:
             p = _id3v2(data, p, out.tags)
             continue
-        h = header(data[p : p + 4])
+        h = any_header(data[p : p + 4])
         if h is not None and not h.kbps:
             free = free if free and alike(h, known) else free_size(data, p, end, h)
             h = replace(h, size=free + h.size) if free else None
         fits = h is not None and p + h.size <= end
         if fits and not alike(h, known):
             # a first header counts only if another follows, or nothing does
-            fits = p + h.size == end or alike(h, header(data[p + h.size : p + h.size + 4]))
+            fits = p + h.size == end or alike(h, any_header(data[p + h.size : p + h.size + 4]))
         if not fits:
             q = data.find(b"\xff", p + 1, end)
             tag = data.find(b"ID3", p + 1, q if q >= 0 else end)
