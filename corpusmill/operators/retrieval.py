@@ -21,6 +21,8 @@ from corpusmill.functions import text as X
 K1, B = 1.2, 0.75
 #: Query vectors compared at once; their table goes to every worker, and longer ones go in several rounds.
 QUERY_BLOCK = 4096
+#: Most distinct terms of queries by which the chunks' terms are filtered, and most cells that are scored at once in a task.
+VOCABULARY, PIECE = 2**15, 2**20
 
 
 def validate_top_k(top_k: int) -> int:
@@ -51,28 +53,145 @@ def ranked(scores: DataFrame, top_k: int, *ties: Column) -> DataFrame:
     return rows.drop(*(f"__t{k}" for k in range(len(ties))))
 
 
+class _Scorer:
+    """BM25 of chunks that come in order of their ids, for the queries of one block; keeps what can be among each query's best."""
+
+    def __init__(self, queries: pa.Table, top_k: int) -> None:
+        lists, idf = queries.column("terms").combine_chunks(), queries.column("idf").combine_chunks().flatten().to_numpy()
+        coded = lists.flatten().dictionary_encode()
+        code = coded.indices.to_numpy()
+        order = np.argsort(code, kind="stable")
+        self.vocabulary, self.top_k, self.mean = coded.dictionary, top_k, queries.column("mean")[0].as_py()
+        self.query_ids, self.n = queries.column("id").combine_chunks(), len(lists)
+        # the queries of a term stand side by side; a term's idf is the same in all of them
+        self.query = np.repeat(np.arange(self.n), pc.list_value_length(lists).to_numpy())[order]
+        self.asked = np.bincount(code, minlength=len(self.vocabulary))
+        self.first = np.cumsum(self.asked) - self.asked
+        self.idf = idf[order][self.first]
+        self.top = np.zeros((top_k, self.n))
+        self.rest, self.found = None, []
+
+    def add(self, rows: pa.RecordBatch) -> None:
+        """Rows of one id are one chunk; the last id's rows wait, as more of them can follow."""
+        rows = pa.concat_batches([self.rest, rows]) if self.rest else rows
+        ids = rows.column("id")
+        null, plain = ids.is_null().to_numpy(zero_copy_only=False), ids.fill_null("")
+        other = pc.not_equal(plain[1:], plain[:-1]).to_numpy(zero_copy_only=False) | (null[1:] != null[:-1])
+        starts = np.r_[0, np.flatnonzero(other) + 1]
+        self.rest = rows.slice(starts[-1])
+        self._score(rows.slice(0, starts[-1]), starts[:-1])
+
+    def _score(self, rows: pa.RecordBatch, starts: np.ndarray) -> None:
+        if not len(starts):
+            return
+        lists, length = rows.column("terms"), rows.column("length").to_numpy()
+        term = pc.index_in(lists.flatten(), self.vocabulary)
+        known = term.is_valid().to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy())[known]
+        key, tf = np.unique(row * len(self.vocabulary) + term.drop_null().to_numpy().astype(np.int64), return_counts=True)
+        row, term = np.divmod(key, len(self.vocabulary))
+        part = self.idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[row] / (self.mean or 1)))
+        chunk = np.searchsorted(starts, row, "right") - 1
+        # pieces of whole chunks, by cells of the score table and by pairs of a posting and a query
+        work = np.bincount(chunk, self.asked[term], len(starts)) + self.n
+        piece = np.cumsum(work) // PIECE
+        cuts = np.r_[np.flatnonzero(np.diff(piece, prepend=-1)), len(starts)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            x, y = np.searchsorted(chunk, [a, b])
+            times = self.asked[term[x:y]]
+            at = np.arange(times.sum()) + np.repeat(self.first[term[x:y]] - np.cumsum(times) + times, times)
+            cell = np.repeat((chunk[x:y] - a) * self.n, times) + self.query[at]
+            score = np.bincount(cell, np.repeat(part[x:y], times), (b - a) * self.n).astype(np.float64)  # whole numbers where none matches
+            self._keep(score.reshape(b - a, self.n), rows.column("id").take(pa.array(starts[a:b])))
+
+    def _keep(self, score: np.ndarray, ids: pa.Array) -> None:
+        self.top = np.partition(np.concatenate([self.top, score]), len(score), axis=0)[len(score) :]
+        # a score more than one step of the rounding below top_k others has no rank
+        rows, cols = np.nonzero((score > 0) & (score >= self.top.min(0) - 2e-9))
+        self.found.append(pa.table({"query": cols, "score": score[rows, cols], "id": ids.take(pa.array(rows))}))
+        if sum(map(len, self.found)) > max(PIECE // 4, 4 * self.top_k * self.n):
+            self.found = [self._best()]
+
+    def _best(self) -> pa.Table:
+        """What is found and can still have a rank; of equal scores the first top_k ids."""
+        t = pa.concat_tables(self.found)
+        t = t.filter(pa.array(t.column("score").to_numpy() >= (self.top.min(0) - 2e-9)[t.column("query").to_numpy()]))
+        t = t.take(pc.sort_indices(t, [("query", "ascending"), ("score", "descending"), ("id", "ascending")], null_placement="at_start"))
+        query, score, at = t.column("query").to_numpy(), t.column("score").to_numpy(), np.arange(len(t))
+        new = np.r_[True, (query[1:] != query[:-1]) | (score[1:] != score[:-1])][: len(t)]
+        return t.filter(pa.array(at - np.maximum.accumulate(np.where(new, at, 0)) < self.top_k))
+
+    def end(self) -> Iterator[pa.RecordBatch]:
+        if self.rest:
+            rows, self.rest = self.rest, None
+            self._score(rows, np.array([0]))
+        if self.found:
+            t = self._best()
+            yield from pa.table({"query_id": self.query_ids.take(t.column("query").combine_chunks()), "chunk_id": t.column("id"), "score": t.column("score")}).to_batches()
+
+
+def _scored(top_k: int):
+    """The best scores of each unit of a block of queries and a part of the chunks; a unit's queries come first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, held, scorer = None, [], None
+        for batch in batches:
+            keys = np.stack([batch.column(k).to_numpy() for k in range(3)], 1)
+            cuts = np.r_[0, np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1, len(keys)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if a == b:
+                    continue
+                if (here := tuple(keys[a][:2])) != unit:
+                    if scorer:
+                        yield from scorer.end()
+                    unit, held, scorer = here, [], None
+                part = batch.slice(a, b - a)
+                if keys[a][2] == 0:
+                    held.append(part)
+                elif held:
+                    scorer = scorer or _Scorer(pa.Table.from_batches(held), top_k)
+                    scorer.add(part)
+        if scorer:
+            yield from scorer.end()
+
+    return run
+
+
 def bm25(queries: DataFrame, index: DataFrame, top_k: int = 5, min_score: float | None = None, **equal: str | None) -> DataFrame:
     """query_id, chunk_id, score, rank by BM25 over the filtered index, whose statistics these are. Scores of 0 and less are left out.
 
-    queries: query_id, query; index: chunk_id, text and what is filtered by.
+    queries: query_id, query; index: chunk_id, text and what is filtered by. Queries of one id are one query, rows of one id one chunk.
+
+    The queries' terms are looked up when this is called. Each chunk's list of them is sent once for the counts and once a block of
+    queries to be scored: a task adds up the scores of some chunks for a block and passes on only what can be among the best, so that no
+    pair of a term, or of a query, and a chunk is a row. With more than VOCABULARY terms, all terms of the chunks are sent.
     """
     validate_top_k(top_k)
     index = filtered(index, **equal)
+    wanted = queries.select("query_id", F.explode(X.terms(F.coalesce("query", F.lit("")))).alias("term")).distinct()
+    n, known, pairs = wanted.agg(F.count_distinct("query_id"), F.count_distinct("term"), F.count("*")).first()
     # a generator of one array keeps the terms from being found again in each place that uses them
     lists = index.select("chunk_id", F.explode(F.array(X.terms(F.coalesce("text", F.lit(""))))).alias("terms"))
-    # lengths are counted without building the arrays again
-    stats = index.select(X.term_count(F.coalesce("text", F.lit(""))).alias("length")).agg(F.count("*").alias("total"), F.avg("length").alias("mean"))
-    wanted = queries.select("query_id", F.explode(F.array_distinct(X.terms(F.coalesce("query", F.lit(""))))).alias("term"))
-    tokens = lists.select("chunk_id", F.size("terms").alias("length"), F.explode("terms").alias("term"))
-    # only the queries' terms are counted
-    posts = tokens.join(wanted.select("term").distinct(), "term", "left_semi").groupBy("term", "chunk_id", "length").agg(F.count("*").alias("tf"))
-    # a sum over tf, so that both uses of posts read the same columns and share one shuffle
-    df = posts.groupBy("term").agg(F.sum((F.col("tf") > 0).cast("long")).alias("df"))
-    weights = wanted.join(df, "term").join(F.broadcast(stats))  # one row of statistics
+    kept = F.col("terms")
+    if 0 < known <= VOCABULARY:  # terms are letters, digits and underscores
+        words = ", ".join(f"'{r[0]}'" for r in wanted.select("term").distinct().toLocalIterator())
+        kept = F.expr(f"filter(terms, t -> t in ({words}))")
+    # every use reads both columns, so that all share one shuffle
+    chunks = lists.select("chunk_id", F.size("terms").cast("long").alias("length"), kept.alias("terms")).groupBy("chunk_id", "length").agg(F.collect_list("terms").alias("lists"))
+    copies = F.size("lists").cast("long")
+    stats = chunks.agg(F.sum(copies).alias("total"), (F.sum(F.col("length") * copies) / F.sum(copies)).alias("mean"))
+    df = chunks.select(F.explode(F.array_distinct(F.flatten("lists"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log1p((F.col("total") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = weights.select("query_id", "term", idf.alias("idf"), "mean")
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    scores = posts.join(weights, "term").groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score")).where("score > 0")
+    weights = wanted.join(df, "term").join(F.broadcast(stats))  # one row of statistics
+    weights = weights.groupBy("query_id").agg(F.collect_list(F.struct("term", idf.alias("idf"))).alias("w"), F.first("mean").alias("mean"))
+    width = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = max(1, -(-n // QUERY_BLOCK), -(-pairs // (2 * PIECE)))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = weights.select(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"), every(width).alias("part"), F.lit(0).alias("role"), F.col("query_id").cast("string").alias("id"), F.lit(0).cast("long").alias("length"), F.col("w.term").alias("terms"), F.col("w.idf").alias("idf"), "mean")
+    p = chunks.select(every(blocks).alias("block"), F.pmod(F.xxhash64("chunk_id"), F.lit(width)).cast("int").alias("part"), F.lit(1).alias("role"), F.col("chunk_id").cast("string").alias("id"), "length", F.flatten("lists").alias("terms"), F.lit(None).cast("array<double>").alias("idf"), F.lit(None).cast("double").alias("mean"))
+    dealt = q.unionByName(p).repartition(width, "block", "part").sortWithinPartitions("block", "part", "role", "id")
+    scores = dealt.mapInArrow(_scored(top_k), _SCORES)
+    scores = scores.select(F.col("query_id").cast(queries.schema["query_id"].dataType), F.col("chunk_id").cast(index.schema["chunk_id"].dataType), "score")
     if min_score is not None:
         scores = scores.where(F.col("score") >= min_score)
     return ranked(scores, top_k)

@@ -1,9 +1,12 @@
 """Pinned values and small references for single operators."""
 
 import math
+import random
 import re
 import uuid
+from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -565,3 +568,52 @@ def test_model_token_counts(spark):
     assert [r["n"] for r in df.select(count("t").alias("n")).collect()] == [3, 0, 0, 1]
     with pytest.raises(Exception, match="counts for"):
         df.select(embed.model_token_counts(lambda: lambda texts: [1])("t")).collect()
+
+
+def bm25_by_hand(asked, rows, top_k):
+    """query_id, chunk_id, rank and rounded score, from the postings (chunk, length, term) of rows."""
+    words = lambda t: re.findall(r"\w+", (t or "").lower())
+    posts, lengths = Counter((k, len(words(t)), w) for k, t in rows for w in words(t)), [len(words(t)) for _, t in rows]
+    df, mean, out = Counter(w for _, _, w in posts), sum(lengths) / len(lengths), []
+    for q in sorted({q for q, _ in asked}):
+        terms, scores = {w for i, t in asked if i == q for w in words(t)}, Counter()
+        for (k, n, w), tf in posts.items():
+            if w in terms:
+                scores[k] += math.log1p((len(rows) - df[w] + 0.5) / (df[w] + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))
+        best = sorted(scores.items(), key=lambda s: (-round(s[1], 9), s[0] or ""))[:top_k]
+        out += [(q, k, r + 1, round(s, 6)) for r, (k, s) in enumerate(best)]
+    return out
+
+
+@pytest.mark.parametrize("block, vocabulary", [(4096, 2**15), (2, 2**15), (4096, 0)])
+def test_bm25_scores_chunks_in_place(spark, monkeypatch, block, vocabulary):
+    """Equal to the formula for repeated and null ids, copies, null texts and several blocks; no row is a pair of query and chunk, or of term and chunk."""
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", block)
+    monkeypatch.setattr(retrieval, "VOCABULARY", vocabulary)
+    pick = random.Random(3)
+    text = lambda n: " ".join(pick.choice("apple berry cherry dune élan fig 7 _x".split()) for _ in range(n))
+    rows = [(f"c{k:02}", text(pick.randint(0, 9))) for k in range(40)] + [(f"d{k}", "fig fig 7") for k in range(12)]
+    rows += [("c00", rows[0][1]), ("c00", "fig"), ("c00", "7"), (None, "apple"), (None, "apple berry"), ("n", None), ("e", "")]
+    asked = [("q1", "Apple berry"), ("q1", "apple"), ("q2", "fig 7 7"), ("q3", "ÉLAN zzz"), ("q4", "unknown"), ("q5", None)]
+    got = retrieval.bm25(spark.createDataFrame(asked, "query_id string, query string"), spark.createDataFrame(rows, "chunk_id string, text string"), 6)
+    assert sorted(((r["query_id"], r["chunk_id"], r["rank"], round(r["score"], 6)) for r in got.collect()), key=str) == sorted(bm25_by_hand(asked, rows, 6), key=str)
+    plan = re.sub(r"#\d+L?", "", got._jdf.queryExecution().executedPlan().toString())
+    assert "hashpartitioning(query_id, chunk_id" not in plan and "hashpartitioning(term, chunk_id" not in plan
+
+
+def test_bm25_scorer_in_small_pieces(spark, monkeypatch):
+    """Pieces, batches that cut a chunk, and many equal scores change nothing; few rows stay in memory."""
+    ids = pa.table({"id": ["q"], "terms": [["a", "b"]], "idf": [[1.0, 2.0]], "mean": [2.0]})
+    rows = pa.RecordBatch.from_pydict({"id": [f"{k // 2:04}" for k in range(4000)], "terms": [["a"] if k % 6 else ["a", "b", "x"] for k in range(4000)], "length": [2] * 4000})
+
+    def best(size):
+        scorer = retrieval._Scorer(ids, 3)
+        for k in range(0, 4000, size):
+            scorer.add(rows.slice(k, size))
+        assert sum(map(len, scorer.found)) <= retrieval.PIECE // 4 + size
+        return sorted((-r["score"], r["chunk_id"]) for b in scorer.end() for r in b.to_pylist())[:3]
+
+    want = best(4000)
+    assert [k for _, k in want] == ["0000", "0003", "0006"]
+    monkeypatch.setattr(retrieval, "PIECE", 64)
+    assert best(7) == want == best(4000)
