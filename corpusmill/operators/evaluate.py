@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as X
+from corpusmill.operators import retrieval
 
 DEFAULT_KS = (1, 3, 5, 10)
 
@@ -23,16 +24,25 @@ def containing(queries: DataFrame, index: DataFrame) -> DataFrame:
     """query_id, chunk_id for every chunk whose text contains the query's text. queries: query_id, query; index: chunk_id, text.
 
     A chunk that contains a query has its inner terms, all but the first and last, as terms of its own; so the longest inner term finds
-    the candidates in an equi-join. Queries without an inner term are compared with all chunks, as they must be.
+    the candidates. Queries without an inner term are compared with all chunks, as they must be. Up to QUERY_BLOCK queries, whose number
+    is looked up when this is called, go to all workers and the chunks stay where they are; more are joined by term, and texts then by id.
     """
     terms = X.terms(F.col("query"))
     inner = F.slice(terms, 2, F.greatest(F.size(terms) - 2, F.lit(0)))
     longest = F.array_max(F.transform(inner, lambda t: F.struct(F.length(t).alias("n"), t.alias("term"))))["term"]
     probes = queries.where("query is not null").select("query_id", "query", longest.alias("term"))
-    found = index.select("chunk_id", F.explode(F.array_distinct(X.terms(F.col("text")))).alias("term")).join(probes.where("term is not null").select("term", "query_id"), "term").select("query_id", "chunk_id")
+    few = retrieval.few(probes)
+    sent = F.broadcast if few else lambda rows: rows
+    # a generator of one array keeps the terms from being found again in each place that uses them
+    lists = index.select("chunk_id", "text", F.explode(F.array(X.terms(F.col("text")))).alias("terms"))
+    kept = F.explode(F.array_distinct(retrieval.among("terms", probes.select("term").where("term is not null")))).alias("term")
     texts = index.select("chunk_id", "text")
-    near = found.join(probes.select("query_id", "query"), "query_id").join(texts, "chunk_id").where(F.contains("text", "query"))
-    short = probes.where("term is null").join(texts, F.contains("text", "query"))
+    if few:
+        near = lists.select("chunk_id", "text", kept).join(sent(probes), "term").where(F.contains("text", "query"))
+    else:
+        found = lists.select("chunk_id", kept).join(probes.where("term is not null").select("term", "query_id"), "term").select("query_id", "chunk_id")
+        near = found.join(probes.select("query_id", "query"), "query_id").join(texts, "chunk_id").where(F.contains("text", "query"))
+    short = texts.join(sent(probes.where("term is null")), F.contains("text", "query"))
     return near.select("query_id", "chunk_id").union(short.select("query_id", "chunk_id"))
 
 

@@ -157,6 +157,20 @@ def _scored(top_k: int):
     return run
 
 
+def few(queries: DataFrame) -> bool:
+    """Whether there are at most QUERY_BLOCK queries, so that they and their best hits can go to all workers; they are counted now."""
+    return queries.limit(QUERY_BLOCK + 1).count() <= QUERY_BLOCK
+
+
+def among(name: str, words: DataFrame) -> Column:
+    """Those of the terms in the array column that are a term of words, which is looked up now; all terms with more than VOCABULARY words."""
+    known = [r["term"] for r in words.distinct().limit(VOCABULARY + 1).toLocalIterator()]
+    if len(known) > VOCABULARY:
+        return F.col(name)
+    # terms are letters, digits and underscores
+    return F.expr(f"filter({name}, t -> t in ({', '.join(repr(w) for w in sorted(known))}))" if known else f"filter({name}, t -> false)")
+
+
 def bm25(queries: DataFrame, index: DataFrame, top_k: int = 5, min_score: float | None = None, **equal: str | None) -> DataFrame:
     """query_id, chunk_id, score, rank by BM25 over the filtered index, whose statistics these are. Scores of 0 and less are left out.
 
@@ -169,15 +183,11 @@ def bm25(queries: DataFrame, index: DataFrame, top_k: int = 5, min_score: float
     validate_top_k(top_k)
     index = filtered(index, **equal)
     wanted = queries.select("query_id", F.explode(X.terms(F.coalesce("query", F.lit("")))).alias("term")).distinct()
-    n, known, pairs = wanted.agg(F.count_distinct("query_id"), F.count_distinct("term"), F.count("*")).first()
+    n, pairs = wanted.agg(F.count_distinct("query_id"), F.count("*")).first()
     # a generator of one array keeps the terms from being found again in each place that uses them
     lists = index.select("chunk_id", F.explode(F.array(X.terms(F.coalesce("text", F.lit(""))))).alias("terms"))
-    kept = F.col("terms")
-    if 0 < known <= VOCABULARY:  # terms are letters, digits and underscores
-        words = ", ".join(f"'{r[0]}'" for r in wanted.select("term").distinct().toLocalIterator())
-        kept = F.expr(f"filter(terms, t -> t in ({words}))")
     # every use reads both columns, so that all share one shuffle
-    chunks = lists.select("chunk_id", F.size("terms").cast("long").alias("length"), kept.alias("terms")).groupBy("chunk_id", "length").agg(F.collect_list("terms").alias("lists"))
+    chunks = lists.select("chunk_id", F.size("terms").cast("long").alias("length"), among("terms", wanted.select("term")).alias("terms")).groupBy("chunk_id", "length").agg(F.collect_list("terms").alias("lists"))
     copies = F.size("lists").cast("long")
     stats = chunks.agg(F.sum(copies).alias("total"), (F.sum(F.col("length") * copies) / F.sum(copies)).alias("mean"))
     df = chunks.select(F.explode(F.array_distinct(F.flatten("lists"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))

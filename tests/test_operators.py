@@ -1,5 +1,6 @@
 """Pinned values and small references for single operators."""
 
+import hashlib
 import math
 import random
 import re
@@ -617,3 +618,26 @@ def test_bm25_scorer_in_small_pieces(spark, monkeypatch):
     assert [k for _, k in want] == ["0000", "0003", "0006"]
     monkeypatch.setattr(retrieval, "PIECE", 64)
     assert best(7) == want == best(4000)
+
+
+@pytest.fixture
+def no_small_tables(spark):
+    """No join sends a table to all workers unless it is told to, as with large tables."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_chunks_that_contain_a_query_stay_in_place(spark, no_small_tables, monkeypatch):
+    docs = spark.createDataFrame([("a", "one two three four"), ("b", "two"), ("a", "one two three"), (None, "one two three"), ("d", None)], "chunk_id string, text string")
+    asked = spark.createDataFrame([("q1", "one two three"), ("q2", "two"), ("q3", None)], "query_id string, query string")
+    got, want = evaluate.containing(asked, docs), [("q1", "a"), ("q1", None), ("q2", "a"), ("q2", "b"), ("q2", None)]
+    assert "SortMergeJoin" not in plan_of(got) and "Exchange hashpartitioning" not in plan_of(got)
+    assert {tuple(r) for r in got.collect()} == set(want)
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 1)
+    many = evaluate.containing(asked, docs)
+    assert "SortMergeJoin" in plan_of(many) and {tuple(r) for r in many.where("chunk_id is not null").collect()} == {r for r in want if r[1]}
