@@ -387,10 +387,13 @@ def rerank(hits: DataFrame, queries: DataFrame, index: DataFrame, config: Rerank
     return ranked(rows, config.top_k, F.col("first_rank"))
 
 
-def with_payload(hits: DataFrame, index: DataFrame, retriever: str) -> DataFrame:
-    """Hits as records with citation; a hit without file or text is an error."""
+def with_payload(hits: DataFrame, index: DataFrame, retriever: str, queries: DataFrame | None = None) -> DataFrame:
+    """Hits as records with citation; a hit without file or text is an error.
+
+    queries: those of the hits. If they are few() the hits go to all workers, and the payloads stay where they are.
+    """
     def required(name: str) -> Column:
         return F.when(F.nullif(F.col(name), F.lit("")).isNull(), F.raise_error(F.lit(f"a hit has no {name}")).cast("string")).otherwise(F.col(name))
 
-    rows = hits.join(index, "chunk_id")
+    rows = (F.broadcast(hits) if queries is not None and few(queries) else hits).join(index, "chunk_id")
     return rows.select("query_id", "rank", "chunk_id", "doc_id", required("source_file").alias("source_file"), "page_start", "page_end", "section_heading", "subheading", "chunk_type", required("text").alias("text"), "score", F.lit(retriever).alias("retriever"), X.citation(F.col("source_file"), F.col("page_start"), F.col("page_end"), F.col("section_heading")).alias("citation"))

@@ -66,7 +66,7 @@ def retrieve(queries: DataFrame, index: DataFrame, request: Request = Request("b
         name = "reranked"
     else:
         hits, name = RETRIEVERS[request.strategy](asked, index, request, request.top_k), request.strategy
-    return retrieval.with_payload(hits.select("query_id", "chunk_id", "score", "rank"), index, name)
+    return retrieval.with_payload(hits.select("query_id", "chunk_id", "score", "rank"), index, name, asked)
 
 
 def answer(queries: DataFrame, hits: DataFrame, client: Callable[[], Callable[[str, str], str]]) -> DataFrame:

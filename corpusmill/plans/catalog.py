@@ -116,7 +116,8 @@ def rerank_fake(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def hit_records(spark: SparkSession, d: str) -> DataFrame:
-    hits = retrieval.with_payload(retrieval.bm25(asked(spark, d), corpus(spark, d)), corpus(spark, d), "bm25")
+    q = asked(spark, d)
+    hits = retrieval.with_payload(retrieval.bm25(q, corpus(spark, d)), corpus(spark, d), "bm25", q)
     return hits.select("query_id", F.col("rank").cast("int").alias("rank"), "chunk_id", "doc_id", "source_file", "page_start", "page_end", "section_heading", "chunk_type", F.round("score", 6).alias("score"), "retriever", "citation", X.snippet(F.col("text")).alias("snippet"))
 
 

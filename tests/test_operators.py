@@ -641,3 +641,13 @@ def test_chunks_that_contain_a_query_stay_in_place(spark, no_small_tables, monke
     monkeypatch.setattr(retrieval, "QUERY_BLOCK", 1)
     many = evaluate.containing(asked, docs)
     assert "SortMergeJoin" in plan_of(many) and {tuple(r) for r in many.where("chunk_id is not null").collect()} == {r for r in want if r[1]}
+
+
+def test_payloads_stay_in_place(spark, no_small_tables, monkeypatch):
+    index = spark.createDataFrame([("a", "d", "f.pdf", 1, 2, "H", None, "text", "body")], "chunk_id string, doc_id string, source_file string, page_start int, page_end int, section_heading string, subheading string, chunk_type string, text string")
+    hits, q = spark.createDataFrame([("0", "a", 1.0, 1)], "query_id string, chunk_id string, score double, rank int"), ask(spark, "q")
+    got = retrieval.with_payload(hits, index, "bm25", q)
+    assert "hashpartitioning(chunk_id" not in plan_of(got)
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 0)
+    for many in (retrieval.with_payload(hits, index, "bm25", q), retrieval.with_payload(hits, index, "bm25")):
+        assert "hashpartitioning(chunk_id" in plan_of(many) and many.collect() == got.collect()
