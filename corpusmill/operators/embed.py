@@ -66,8 +66,9 @@ def model_token_counts(load: Callable[[], Callable[[list[str]], list[int]]], bat
 
 def hash_embedding(text: Column, dimension: int = 32) -> Column:
     """Deterministic built-in embedding: the bytes of the text's SHA-256 over 255, repeated to the dimension."""
-    digest = F.sha2(text, 256)
-    return F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda k: F.conv(F.substring(digest, (k % 32) * 2 + 1, F.lit(2)), 16, 10).cast("double") / 255)
+    # the lambda's variable holds the digest, which would else be found again for each component
+    digests = F.array(F.sha2(text, 256))
+    return F.transform(digests, lambda d: F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda k: F.conv(F.substring(d, (k % 32) * 2 + 1, F.lit(2)), 16, 10).cast("double") / 255))[0]
 
 
 def token_stats(rows: DataFrame, keys: list[str], tokens: str = "token_count", limit: int = 512) -> DataFrame:

@@ -651,3 +651,10 @@ def test_payloads_stay_in_place(spark, no_small_tables, monkeypatch):
     monkeypatch.setattr(retrieval, "QUERY_BLOCK", 0)
     for many in (retrieval.with_payload(hits, index, "bm25", q), retrieval.with_payload(hits, index, "bm25")):
         assert "hashpartitioning(chunk_id" in plan_of(many) and many.collect() == got.collect()
+
+
+def test_hash_embedding_finds_the_digest_once(spark):
+    df = spark.createDataFrame([("a",), (None,)], "t string").select(embed.hash_embedding(F.col("t"), 40).alias("v"))
+    assert "transform(array(sha2(" in df._jdf.queryExecution().optimizedPlan().toString()
+    digest = hashlib.sha256(b"a").digest()
+    assert [r["v"] for r in df.collect()] == [[digest[k % 32] / 255 for k in range(40)], [None] * 40]
