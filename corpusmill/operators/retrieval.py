@@ -374,11 +374,13 @@ def length_score(query: Column, text: Column) -> Column:
 def rerank(hits: DataFrame, queries: DataFrame, index: DataFrame, config: RerankConfig, scorer: Callable[[Column, Column], Column] | CrossEncoder = length_score) -> DataFrame:
     """The candidates of each query in the order of the scorer's values, then of their first ranks. A score that is no finite number is an error.
 
-    scorer: a function of the query and text columns, or a CrossEncoder, which is asked in batches of config.batch_size.
+    scorer: a function of the query and text columns, or a CrossEncoder, which is asked in batches of config.batch_size. The candidates of
+    few() queries go to all workers, and the texts stay where they are.
     """
     if hasattr(scorer, "load"):
         scorer = encoder_scorer(scorer, config.batch_size)
-    rows = hits.where(F.col("rank") <= config.candidate_count).join(index.select("chunk_id", "text"), "chunk_id").join(queries.select("query_id", "query"), "query_id")
+    rows = hits.where(F.col("rank") <= config.candidate_count)
+    rows = (F.broadcast(rows) if few(queries) else rows).join(index.select("chunk_id", "text"), "chunk_id").join(queries.select("query_id", "query"), "query_id")
     value = scorer(F.col("query"), F.col("text"))
     bad = value.isNull() | F.isnan(value) | (F.abs(value) == float("inf"))
     rows = rows.withColumn("first_rank", F.col("rank")).withColumn("score", F.when(bad, F.raise_error(F.lit("the scorer gave no finite number")).cast("double")).otherwise(value)).drop("rank", "text", "query")

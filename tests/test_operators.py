@@ -658,3 +658,15 @@ def test_hash_embedding_finds_the_digest_once(spark):
     assert "transform(array(sha2(" in df._jdf.queryExecution().optimizedPlan().toString()
     digest = hashlib.sha256(b"a").digest()
     assert [r["v"] for r in df.collect()] == [[digest[k % 32] / 255 for k in range(40)], [None] * 40]
+
+
+def test_rerank_leaves_texts_in_place(spark, no_small_tables, monkeypatch):
+    texts = spark.createDataFrame([("a", "long text of a"), ("b", "b"), ("c", "other")], "chunk_id string, text string")
+    hits = spark.createDataFrame([("0", "a", 1.0, 1), ("0", "b", 0.5, 2)], "query_id string, chunk_id string, score double, rank int")
+    got = retrieval.rerank(hits, ask(spark, "q"), texts, retrieval.RerankConfig())
+    assert "hashpartitioning(chunk_id" not in plan_of(got)
+    want = [tuple(r) for r in got.orderBy("rank").collect()]
+    assert [r[1] for r in want] == ["b", "a"]
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 0)
+    many = retrieval.rerank(hits, ask(spark, "q"), texts, retrieval.RerankConfig())
+    assert "hashpartitioning(chunk_id" in plan_of(many) and [tuple(r) for r in many.orderBy("rank").collect()] == want
