@@ -199,7 +199,8 @@ def bm25(queries: DataFrame, index: DataFrame, top_k: int = 5, min_score: float
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     q = weights.select(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"), every(width).alias("part"), F.lit(0).alias("role"), F.col("query_id").cast("string").alias("id"), F.lit(0).cast("long").alias("length"), F.col("w.term").alias("terms"), F.col("w.idf").alias("idf"), "mean")
     p = chunks.select(every(blocks).alias("block"), F.pmod(F.xxhash64("chunk_id"), F.lit(width)).cast("int").alias("part"), F.lit(1).alias("role"), F.col("chunk_id").cast("string").alias("id"), "length", F.flatten("lists").alias("terms"), F.lit(None).cast("array<double>").alias("idf"), F.lit(None).cast("double").alias("mean"))
-    dealt = q.unionByName(p).repartition(width, "block", "part").sortWithinPartitions("block", "part", "role", "id")
+    # a task has one part of each block; by hash of both some tasks would have several and others none
+    dealt = q.unionByName(p).repartitionById(width, F.pmod(F.col("part") + F.col("block"), F.lit(width))).sortWithinPartitions("block", "part", "role", "id")
     scores = dealt.mapInArrow(_scored(top_k), _SCORES)
     scores = scores.select(F.col("query_id").cast(queries.schema["query_id"].dataType), F.col("chunk_id").cast(index.schema["chunk_id"].dataType), "score")
     if min_score is not None:

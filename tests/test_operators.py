@@ -670,3 +670,9 @@ def test_rerank_leaves_texts_in_place(spark, no_small_tables, monkeypatch):
     monkeypatch.setattr(retrieval, "QUERY_BLOCK", 0)
     many = retrieval.rerank(hits, ask(spark, "q"), texts, retrieval.RerankConfig())
     assert "hashpartitioning(chunk_id" in plan_of(many) and [tuple(r) for r in many.orderBy("rank").collect()] == want
+
+
+def test_bm25_deals_one_part_to_each_task(spark, trio):
+    plan = retrieval.bm25(ask(spark, "apple berry"), trio)
+    assert "hashpartitioning(block" not in plan_of(plan)
+    assert sorted(r["chunk_id"] for r in plan.collect()) == ["c1", "c2"]
