@@ -676,3 +676,16 @@ def test_bm25_deals_one_part_to_each_task(spark, trio):
     plan = retrieval.bm25(ask(spark, "apple berry"), trio)
     assert "hashpartitioning(block" not in plan_of(plan)
     assert sorted(r["chunk_id"] for r in plan.collect()) == ["c1", "c2"]
+
+
+def test_evaluation_reads_the_gold_set_once(spark, no_small_tables):
+    docs = spark.createDataFrame([("a", "one two three four"), ("b", "two"), ("a", "one two three"), (None, "one two three"), ("d", None)], "chunk_id string, text string")
+    asked = spark.createDataFrame([("q1", "one two three"), ("q2", "two"), ("q3", None)], "query_id string, query string")
+    ranking = spark.createDataFrame([("q1", None, 1), ("q1", "a", 2), ("q2", "d", 1), ("q3", "a", 1), (None, "a", 1)], "query_id string, chunk_id string, rank int")
+    gold = evaluate.containing(asked, docs)
+    at, means = evaluate.at_k(asked, ranking, gold, (1, 2)), evaluate.summary(asked, ranking, gold, (2,))
+    # a null id is relevant and is no hit
+    assert {(r["query_id"], r["k"]): (r["precision"], r["recall"]) for r in at.collect()} == {(q, k): (0.5, 0.5) if (q, k) == ("q1", 2) else (0.0, 0.0) for q in ("q1", "q2", "q3") for k in (1, 2)}
+    assert [tuple(r) for r in means.collect()] == [(2, pytest.approx(1 / 6), pytest.approx(1 / 6), pytest.approx(1 / 6))]
+    for got in (at, means):
+        assert plan_of(got).split("Initial Plan")[0].count("Generate explode(array(regexp_extract_all(lower(text") == 1
